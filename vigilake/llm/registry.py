@@ -1,7 +1,7 @@
 """The queries of this subpackage, gathered from its modules in the order of their numbers."""
 
-from vigilake.llm import decontaminate, jaccard_join, line_dedup
+from vigilake.llm import decontaminate, jaccard_join, line_dedup, url_filter, warc
 
-MODULES = (line_dedup, decontaminate, jaccard_join)
+MODULES = (line_dedup, decontaminate, warc, jaccard_join, url_filter)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
