@@ -32,7 +32,9 @@ WORDS, SHARE = 5, (75, 100)
 #: The n-gram space is cut into so many fragments for counting.
 FRAGMENTS = 8
 #: At most so many n-grams are ordered by frequency (any common order is right; this one keeps the prefixes' lists short).
-ORDERED_BY_COUNT = 200_000
+ORDERED_BY_COUNT = 400_000
+#: Shingles that a task looks through at a time for shared ones.
+COUNTED = 3_000_000
 #: Lists of more documents than this are dealt over several leaders.
 LEADER_LOAD = 50_000
 
@@ -54,17 +56,27 @@ def _gathered(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
 
 def _profile(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+
+        def shared() -> pa.RecordBatch:
+            """The n-grams that several different documents of the last ones share."""
+            token, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            token, count = token[count >= 2], count[count >= 2]
+            none = pa.nulls(len(token), pa.int64())
+            held.clear()
+            seen.clear()
+            return pa.record_batch([pa.array(np.ones(len(token), np.int32)), none, pa.array(count.astype(np.int64)), pa.array(token.view(np.int64)), none], ["kind", "doc_id", "n", "a", "b"])
+
         for part, data, offsets in slices(batches, "text"):
             every, ends = _gathered(data, offsets, n)
             size, a, b = np.diff(ends), _sums(mix(every ^ _A), ends), _sums(mix(every ^ _B), ends)
             yield pa.record_batch([pa.array(np.zeros(len(size), np.int32)), part.column(0), pa.array(size), pa.array(a), pa.array(b)], ["kind", "doc_id", "n", "a", "b"])
-            # n-grams that several different documents of this slice share
-            once = np.zeros(len(size), bool)
-            once[np.unique(a, return_index=True)[1]] = True
-            token, count = np.unique(every[np.repeat(once, size)], return_counts=True)
-            token, count = token[count >= 3], count[count >= 3]
-            none = pa.nulls(len(token), pa.int64())
-            yield pa.record_batch([pa.array(np.ones(len(token), np.int32)), none, pa.array(count.astype(np.int64)), pa.array(token.view(np.int64)), none], ["kind", "doc_id", "n", "a", "b"])
+            once = np.array([not (x in seen or seen.add(x)) for x in a.tolist()], bool)
+            held.append(every[np.repeat(once, size)])
+            if sum(map(len, held)) >= COUNTED:
+                yield shared()
+        yield shared()
 
     return run
 
@@ -120,8 +132,8 @@ def _segments(n: int):
 def _common(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shared n-grams, ORDERED_BY_COUNT at most, sorted by hash, with their counts."""
     counts = profile.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("count"))
-    counts = save(counts.where("count >= 6"), "counts")
-    least = 6
+    counts = save(counts, "counts")
+    least = 0
     by_size = sorted(counts.groupBy(F.floor(F.log2("count")).cast("int").alias("p")).count().collect(), reverse=True)
     total = 0
     for p, n in by_size:  # 64 rows at most
@@ -147,8 +159,23 @@ def _links(docs: DataFrame, pairs: DataFrame, share: tuple[int, int], n: int) ->
     return total.where(share[1] * F.col("both") >= share[0] * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _close(na: str, nb: str, share: tuple[int, int]):
-    return (share[1] * F.least(na, nb) >= share[0] * F.greatest(na, nb))
+def _candidates(rows: DataFrame, posts: DataFrame, x: tuple[str, str, str], y: tuple[str, str, str], share: tuple[int, int]) -> DataFrame:
+    """The pairs a < b (with sizes na, nb) in rows, each row having an n-gram that two documents (id, size, place) share, that may still reach the threshold.
+
+    Three exact tests: the sizes are close enough; the first n-gram that a pair shares leaves room for the overlap that
+    is needed; and the prefixes share enough of their n-grams. The last holds since of the document whose prefix ends
+    first in the global order, every n-gram of the prefix that the other document has is in the other's prefix as well,
+    and only so many n-grams may be missing.
+    """
+    needed = F.ceil((F.col(x[1]) + F.col(y[1])) * share[0] / (share[0] + share[1]))
+    rows = rows.where(F.col(x[0]) != F.col(y[0])).where(share[1] * F.least(x[1], y[1]) >= share[0] * F.greatest(x[1], y[1]))
+    rows = rows.where(F.least(F.col(x[1]) - F.col(x[2]), F.col(y[1]) - F.col(y[2])) >= needed)
+    up = F.col(x[0]) < F.col(y[0])
+    pairs = rows.select(*(F.when(up, F.col(p)).otherwise(F.col(q)).alias(k) for p, q, k in ((x[0], y[0], "a"), (y[0], x[0], "b"), (x[1], y[1], "na"), (y[1], x[1], "nb")))).distinct()
+    both = pairs.join(posts.select(F.col("doc_id").alias("a"), "token"), "a").join(posts.select(F.col("doc_id").alias("b"), "token"), ["b", "token"])
+    needed = F.ceil((F.col("na") + F.col("nb")) * share[0] / (share[0] + share[1]))
+    spare = lambda n: F.col(n) - F.ceil(F.col(n) * share[0] / share[1]) + 1 - (F.col(n) - needed)
+    return both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.least(spare("na"), spare("nb"))).drop("shared")
 
 
 def similarity_components(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -165,33 +192,24 @@ def similarity_components(docs: DataFrame, n: int = WORDS, share: tuple[int, int
 
     posts = alone.mapInArrow(_prefixes(n, share, token, count), "token long, salt int, doc_id long, n int, place int")
     posts = posts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(share[1] / share[0]))).cast("int"))
-    run = Window.partitionBy("token", "salt").orderBy("band", "n", "doc_id")
-    led = Window.partitionBy("token", "salt", "band").orderBy("n", "doc_id")
-    posts = posts.select("*", F.lag("doc_id").over(run).alias("before"), F.lead("doc_id").over(run).alias("after"), F.first("doc_id").over(led).alias("leader"), F.first("n").over(led).alias("leader_n"))
-    posts = save(posts.where("before is not null or after is not null or salt > 0").drop("before", "after"), "posts")
-
-    def pairs_of(df: DataFrame, x: str, nx: str, y: str, ny: str) -> DataFrame:
-        up = F.col(x) < F.col(y)
-        return df.where(F.col(x) != F.col(y)).where(_close(nx, ny, share)).select(
-            F.when(up, F.col(x)).otherwise(F.col(y)).alias("a"), F.when(up, F.col(y)).otherwise(F.col(x)).alias("b"),
-            F.when(up, F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(up, F.col(ny)).otherwise(F.col(nx)).alias("nb")).distinct()
-
-    first = save(pairs_of(posts, "leader", "leader_n", "doc_id", "n"), "pairs")
-    links = save(_links(docs, first, share, n), "links")
-    groups = save(connected_components(links), "groups")
+    several = F.count("*").over(Window.partitionBy("token", "salt")) > 1
+    posts = save(posts.withColumn("several", several).where("several or salt > 0").drop("several"), "posts")
+    # a list's leaders: the document that shares most of its own prefix (the one that others were made from), and one by hash
+    support = posts.groupBy("doc_id").agg((F.count("*") / F.first("n")).alias("support"))
+    led = Window.partitionBy("token", "salt", "band")
+    me = F.struct("doc_id", "n", "place")
+    ranked = posts.join(support, "doc_id").withColumns({"by_share": F.max(F.struct("support", me.alias("x"))).over(led)["x"], "by_hash": F.min(F.struct(F.xxhash64("doc_id").alias("h"), me.alias("x"))).over(led)["x"]})
+    rows = ranked.select(me.alias("x"), F.explode(F.array("by_share", "by_hash")).alias("y")).select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("doc_id", "n", "place")))
+    first = save(_candidates(rows, posts, ("doc_id_x", "n_x", "place_x"), ("doc_id_y", "n_y", "place_y"), share), "pairs")
+    groups = save(connected_components(_links(docs, first, share, n)), "groups")
 
     # what the leaders did not settle: lists that still hold several components
-    posts = posts.select("token", "doc_id", "n", "place").join(groups, posts["doc_id"] == groups["node"], "left").select("token", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"))
-    open_ = posts.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    posts = save(posts.join(open_, "token", "left_semi"), "open")
-    x, y = (posts.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "place", "component"))) for s in "xy")
-    needed = F.ceil((F.col("n_x") + F.col("n_y")) * share[0] / (share[0] + share[1]))
-    room = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    rest = x.join(y, "token").where("component_x < component_y").where(_close("n_x", "n_y", share))
-    # the first n-gram that two documents share leaves room for the overlap that is needed
-    rest = rest.where(room >= needed)
-    rest = pairs_of(rest, "doc_id_x", "n_x", "doc_id_y", "n_y").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    rest = save(rest, "rest")
+    mine = posts.select("token", "doc_id", "n", "place").join(groups, posts["doc_id"] == groups["node"], "left").select("token", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"))
+    open_ = mine.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    mine = save(mine.join(open_, "token", "left_semi"), "open")
+    x, y = (mine.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "place", "component"))) for s in "xy")
+    rest = x.join(y, "token").where("component_x < component_y")
+    rest = save(_candidates(rest, posts, ("doc_id_x", "n_x", "place_x"), ("doc_id_y", "n_y", "place_y"), share).join(first.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
         more = _links(docs, rest, share, n)
         groups = save(connected_components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))), "groups")
