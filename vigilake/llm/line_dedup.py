@@ -14,10 +14,16 @@ once per site and each give a row; extra columns are kept by `dedup_lines`. Empt
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilake.llm.common import save, table
+from vigilake.llm.words import slices
 
 #: A line on at least so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -26,6 +32,8 @@ MIN_SITES = 10
 LG_K, NEAR = 12, 0.1
 #: From so many boilerplate lines on, a majority of them means that the document is a copy.
 MANY = 3
+#: A task holds at most so many keys of boilerplate lines (16 bytes each); more are joined by a shuffle.
+HELD_KEYS = 500_000
 
 _EDGES = " \t\r\x0b\x0c"
 
@@ -51,9 +59,43 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sketch.where(~near).select("line_key", "estimate").unionByName(exact)
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, held: int = HELD_KEYS) -> DataFrame:
     """docs (text, source, ...) with the boilerplate lines cut from text, and the columns __lines and __removed (numbers of lines)."""
     common = save(boilerplate_lines(docs.select("text", "source"), min_sites).select("line_key"), "boilerplate")
+    keys = common.limit(held + 1).collect()
+    if len(keys) <= held:
+        known = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r.line_key) for r in keys))
+        schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("__lines long, __removed long").fields])
+        return docs.mapInArrow(_cut(known), schema)
+    return _cut_by_join(docs, common)
+
+
+def _cut(known):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = known.value
+        for part, _, _ in slices(batches, "text"):
+            at, new, lines, removed = part.schema.get_field_index("text"), [], [], []
+            for text in part.column(at):
+                text = text.as_py()
+                parts = [] if text is None else text.split("\n")
+                bare = [x.strip(_EDGES) for x in parts]
+                stays = [not x or md5(x.encode()).digest() not in keys for x in bare]
+                hits = len(stays) - sum(stays)
+                kept = "\n".join(x for x, y in zip(parts, stays, strict=True) if y) if hits else text
+                if hits and (hits >= MANY and 2 * hits > sum(map(bool, bare)) or not kept.strip(_EDGES + "\n")):
+                    kept, hits = text, 0
+                new.append(kept)
+                lines.append(len(parts))
+                removed.append(hits)
+            columns = [*part.columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())]
+            columns[at] = pa.array(new, pa.string())
+            yield pa.record_batch(columns, [*part.schema.names, "__lines", "__removed"])
+
+    return run
+
+
+def _cut_by_join(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """As _cut, for more boilerplate lines than a task may hold: their places are found by a join and brought back to each text."""
     # which lines of which text: texts are keyed by their digest, so that copies are looked up once
     texts = docs.select("text").where("text is not null").withColumn("text_key", _key(F.col("text")))
     spots = texts.select("text_key", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("text_key", "at", _key(_line(F.col("line"))).alias("line_key")).distinct()
