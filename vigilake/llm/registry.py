@@ -1,7 +1,7 @@
 """The queries of this subpackage, gathered from its modules in the order of their numbers."""
 
-from vigilake.llm import best_fit_packing, decontaminate, jaccard_join, line_dedup, suffix_dedup, url_filter, warc
+from vigilake.llm import best_fit_packing, decontaminate, jaccard_join, line_dedup, quality_lm, suffix_dedup, url_filter, warc
 
-MODULES = (line_dedup, decontaminate, warc, best_fit_packing, jaccard_join, url_filter, suffix_dedup)
+MODULES = (line_dedup, decontaminate, warc, best_fit_packing, jaccard_join, url_filter, quality_lm, suffix_dedup)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
