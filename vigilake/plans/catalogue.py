@@ -1,6 +1,375 @@
-"""Every query of the engine's own operators, with its SQL twin."""
+"""Every query of the engine's own operators, each with its SQL twin.
+
+The events table is rendered as raw log files (sources.raw.event_sources) and goes through the flow from there. Arrays are
+returned as joined text and times as text, so that both engines' values compare equal.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigilake.operators import audit, collections_, design, policy, replay, scan, triage, workflow
+from vigilake.plans.flow import COLLECTIONS, RUN_AT, Flow, flow_states, invariants, outcomes, run_flow
+from vigilake.sources import raw
+
+GROUPS_PER_FLOW = 50
+CHUNK, STEP = 500, 400
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _joined(c: str) -> Column:
+    return F.array_join(c, ",").alias(c)
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> Flow:
+    return run_flow(raw.event_sources(_table(spark, sf_dir, "events")))
+
+
+def parse_auth_lines(spark, d):
+    return _flow(spark, d).alerts.where("source = 'linux_auth'").select("title", "asset_id", "event_time", "dedup_key", "severity", _joined("evidence_ids"))
+
+
+def parse_eve_lines(spark, d):
+    return _flow(spark, d).alerts.where("source = 'suricata_eve'").select("title", "asset_id", "event_time", "dedup_key", "severity", _joined("evidence_ids"))
+
+
+def alert_ids_numbered(spark, d):
+    return _flow(spark, d).alerts.select("alert_id", "source", "dedup_key", "event_time")
+
+
+def alert_groups_scored(spark, d):
+    return _flow(spark, d).alert_groups.select("dedup_key", "signature", "asset_id", "severity", "count", _joined("alert_ids"), _joined("evidence_ids"), "first_seen", "last_seen", "risk_score", "risk_band")
+
+
+def group_first_appearance(spark, d):
+    return _flow(spark, d).alert_groups.select("group_id", "dedup_key")
+
+
+def triage_dispositions(spark, d):
+    return _flow(spark, d).triaged.select("group_id", "disposition", "confidence", "rationale", _joined("attack_techniques"), F.array_join("recommended_action_types", ",").alias("actions"))
+
+
+def agent_runs(spark, d):
+    return _flow(spark, d).agent_runs.select("agent_run_id", "agent_name", "agent_version", _joined("input_refs"), "output", "confidence", "status", "started_at")
+
+
+def escalation_gate(spark, d):
+    return _flow(spark, d).triaged.groupBy("disposition", triage.may_escalate().alias("passes")).agg(F.count("*").alias("groups"))
+
+
+def incidents(spark, d):
+    return _flow(spark, d).incidents.select("incident_id", "title", "severity", "status", "asset_id", _joined("alert_group_ids"), _joined("evidence_ids"), "triage_ref", _joined("attack_techniques"), "created_at")
+
+
+def control_mappings(spark, d):
+    return _flow(spark, d).control_mappings.select("mapping_id", "incident_id", "control_id", "confidence", "rationale")
+
+
+def risk_register(spark, d):
+    return _flow(spark, d).risks.select("risk_id", "title", "statement", "likelihood", "impact", "inherent_band", "treatment_status", "related_incident_id")
+
+
+def action_plans(spark, d):
+    return _flow(spark, d).action_plans.select("action_plan_id", "title", "action_type", "risk_level", "status", "target", "parameters", "rollback", "requires_approval", "created_from")
+
+
+def policy_decisions(spark, d):
+    return _flow(spark, d).policy_decisions.select("request_ref", "effect", "reason_code", "message", "evaluated_at", "action_plan_id")
+
+
+def _scopes(spark: SparkSession) -> DataFrame:
+    rows = [
+        ("S-OK", 1, True, 3, ["ops"], ["web-01", "*.example.internal"], "2026-07-01T00:00:00Z", "2026-12-31T00:00:00Z"), ("S-HIGH", 2, True, 4, ["ops", "bot"], ["web-01", "host-2"], None, ""), ("S-DRAFT", 1, False, 5, ["ops"], ["web-01"], None, None), ("S-NULL", 1, None, 5, ["ops"], ["web-01"], None, None),
+        ("S-UNBOUND", 1, True, 5, ["ops"], ["web-01"], None, None), ("S-OLD", 3, True, 5, ["ops"], ["web-01"], "", "2026-07-01T00:00:00Z"), ("S-NOBODY", 1, True, 5, [], ["web-01"], None, None), ("S-NOWHERE", 1, True, 5, ["ops"], [], None, None),
+    ]
+    bound = policy.bound(spark.createDataFrame(rows, policy.SCOPE))
+    return bound.withColumn("policy_hash", F.when(F.col("scope_id") != "S-UNBOUND", F.col("policy_hash")).otherwise(""))
+
+
+def policy_gates(spark, d):
+    """Requests made of orders against scopes that each fail at another gate."""
+    n = F.col("o_orderkey")
+    requests = _table(spark, d, "orders").select(
+        F.concat(F.lit("R"), n.cast("string")).alias("request_id"), F.when(n % 5 == 0, "bot").when(n % 11 == 0, None).otherwise("ops").alias("actor"), F.when(n % 3 == 0, "low").when(n % 3 == 1, "medium").otherwise("high").alias("risk_level"),
+        F.when(n % 7 == 0, "a.example.internal").when(n % 7 == 1, "evil-example.internal").when(n % 7 == 2, "host-2").when(n % 7 == 3, "example.internal").otherwise("web-01").alias("target"), F.when(n % 13 == 0, None).otherwise(n % 2 == 0).alias("has_approval"),
+        F.when(n % 17 == 0, None).when(n % 4 == 0, "2026-06-30T00:00:00Z").otherwise("2026-07-06T21:15:00Z").alias("at"))
+    return policy.decide(requests, _scopes(spark), RUN_AT).groupBy("scope_id", "reason_code", "effect", "message").agg(F.count("*").alias("n"), F.min("request_ref").alias("first_request"))
+
+
+def target_allowlist(spark, d):
+    host = F.concat(F.lower(F.regexp_replace("s_name", "#", "-")), F.when(F.col("s_nationkey") % 3 == 0, ".example.internal").when(F.col("s_nationkey") % 3 == 1, "example.internal").otherwise(""))
+    allow = F.array(F.lit("supplier-000000001"), F.lit("*.example.internal"), F.lit("*"))
+    return _table(spark, d, "supplier").select("s_suppkey", host.alias("target")).withColumn("allowed", policy.target_allowed(F.col("target"), allow))
+
+
+def scope_policy_hash(spark, d):
+    return policy.bound(_scopes(spark).drop("policy_hash")).select("scope_id", "policy_hash")
+
+
+def _outcomes(spark, d) -> DataFrame:
+    return outcomes(_flow(spark, d), GROUPS_PER_FLOW).persist()
+
+
+def flow_outcomes(spark, d):
+    return _outcomes(spark, d).select("flow_id", "group_id", "signature", "risk_score", "risk_band", "disposition", "incident_id", "control_id", "risk_id", "inherent_band", "action_plan_id", "effect", "reason_code")
+
+
+def flow_summary(spark, d):
+    f = _flow(spark, d)
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    out = one(f.evidence, "evidence")
+    for df, name in ((f.alerts, "alerts"), (f.alert_groups, "groups"), (f.incidents, "incidents"), (f.action_plans, "plans")):
+        out = out.crossJoin(one(df, name))
+    return out.withColumn("alerts_per_group", F.round(F.try_divide("alerts", "groups"), 6))
+
+
+def inbox_by_disposition(spark, d):
+    return _flow(spark, d).triaged.groupBy("disposition", "risk_band", design.priority(F.col("disposition"), F.col("confidence")).alias("priority")).agg(F.count("*").alias("groups"), F.sum("count").alias("alerts"), F.max("risk_score").alias("top_score"))
+
+
+def queue_top(spark, d):
+    """The analyst's queue: the 20 groups of the highest risk (a top-k report)."""
+    return _flow(spark, d).triaged.orderBy(F.desc("risk_score"), F.desc("count"), "group_no").limit(20).select("group_id", "risk_score", "count", "disposition")
+
+
+def evidence_hashes(spark, d):
+    return _flow(spark, d).evidence.select("evidence_id", "name", "source_type", "media_type", "content_hash", "size_bytes", "captured_at", "storage_ref")
+
+
+def evidence_integrity(spark, d):
+    """Against a vault in which every third blob is damaged and every seventh is missing."""
+    f = _flow(spark, d)
+    store = raw.vault(f.evidence).join(f.evidence.select(F.col("storage_ref").alias("ref"), "evidence_no").dropDuplicates(["ref"]), "ref")
+    store = store.where(F.col("evidence_no") % 7 != 0).select("ref", F.when(F.col("evidence_no") % 3 == 0, F.concat("data", F.lit("x").cast("binary"))).otherwise(F.col("data")).alias("data"))
+    return replay.integrity(f.evidence.select("evidence_id", "storage_ref"), store).select("evidence_id", "intact")
+
+
+def _records(spark, d) -> DataFrame:
+    return workflow.records(_outcomes(spark, d))
+
+
+def _chains(spark, d) -> DataFrame:
+    states = flow_states(_outcomes(spark, d))
+    flows = states.select("flow_id", "status", F.lit("soc_investigation").alias("flow_type"), F.concat(F.lit("Investigation of "), "flow_id").alias("title"))
+    return audit.chained(workflow.events(_records(spark, d), flows, policy.ACTOR, RUN_AT)).persist()
+
+
+def audit_chain_build(spark, d):
+    return _chains(spark, d).select("chain_id", "event_id", "event_type", "actor", "prev_hash", "entry_hash")
+
+
+def audit_chain_verify(spark, d):
+    return audit.chain_state(_chains(spark, d)).select("chain_id", "intact", "events", "head")
+
+
+def audit_chain_tampered(spark, d):
+    """With the actor of one event in every second chain replaced."""
+    n = F.substring_index("event_id", "-", -1).cast("int")
+    even = F.substring_index("chain_id", "-", -1).cast("int") % 2 == 0
+    forged = _chains(spark, d).withColumn("actor", F.when(even & (n == 5), "intruder").otherwise(F.col("actor")))
+    state = audit.chain_state(forged)
+    return state.select("chain_id", "intact", F.col("first_broken").isNotNull().alias("found"))
+
+
+def workflow_counts(spark, d):
+    recs = _records(spark, d).where("record <> 'policy'").groupBy("flow_id", F.col("record").alias("kind")).agg(F.count("*").alias("n"))
+    return recs.unionByName(workflow.artifacts(_outcomes(spark, d)).groupBy("flow_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit("artifact")))
+
+
+def last_flow_state(spark, d):
+    return flow_states(_outcomes(spark, d))
+
+
+def state_changes(spark, d):
+    """The last state of orders from their lines as status changes."""
+    changes = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("flow_id"), F.col("l_linenumber").alias("seq"), F.concat("l_returnflag", "l_linestatus").alias("status"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("INC-"), F.col("l_partkey").cast("string"))).alias("incident_id"))
+    changes = changes.groupBy("flow_id", "seq").agg(F.max("status").alias("status"), F.max("incident_id").alias("incident_id"))
+    return workflow.last_state(changes)
+
+
+def invariant_checks(spark, d):
+    return invariants(_flow(spark, d), audit.chain_state(_chains(spark, d)))
+
+
+def replay_diff(spark, d):
+    """The run against one from its own evidence, with another partitioning."""
+    f = _flow(spark, d)
+    again = run_flow(replay.rebuilt_sources(f.evidence, raw.vault(f.evidence)).repartition(3, "name"))
+    return replay.compare(f, again, COLLECTIONS)
+
+
+def run_comparison(spark, d):
+    """Two different runs: the second lacks every tenth file."""
+    f = _flow(spark, d)
+    less = run_flow(raw.event_sources(_table(spark, d, "events")).where("file_no % 10 <> 9"))
+    return replay.difference(f.alert_groups.select("dedup_key", "count", "first_seen"), less.alert_groups.select("dedup_key", "count", "first_seen"), "alert_groups")
+
+
+def _notes(spark, d) -> DataFrame:
+    """Texts with secrets in them, made of parts and customers, and the documents."""
+    n = F.col("p_partkey")
+    text = F.concat(
+        F.lit("note of part "), n.cast("string"), F.lit("\n"),
+        F.when(n % 9 == 0, F.concat(F.lit("password = \"s3cr3t"), n.cast("string"), F.lit("xyz\""))).when(n % 9 == 1, "api_key: required").when(n % 9 == 2, F.concat(F.lit("mail bob"), n.cast("string"), F.lit("@corp.example.org now"))).when(n % 9 == 3, "host 10.1.2.3 and 192.168.0.7, 172.16.9.9 too")
+        .when(n % 9 == 4, F.concat(F.lit("AKIA"), F.lpad(n.cast("string"), 16, "A"))).when(n % 9 == 5, "see placeholder token secret=abcdefghij").when(n % 9 == 6, F.concat(F.lit("ghp_"), F.lpad(n.cast("string"), 24, "x"))).when(n % 9 == 7, "/Users/jane/work C:\\Users\\jane\\work").otherwise("nothing here"),
+        F.lit("\n\"uploaded_by\" : \"user "), n.cast("string"), F.lit("\" at /srv/home/work/x"))
+    return _table(spark, d, "part").select(F.concat(F.lit("part-"), n.cast("string")).alias("location"), text.alias("text"))
+
+
+def _texts(spark, d) -> DataFrame:
+    docs = _table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("location"), "text")
+    return _notes(spark, d).unionByName(docs)
+
+
+def secret_scan_lines(spark, d):
+    return scan.findings(_texts(spark, d)).groupBy("severity", "rule", "location", "line", "match").agg(F.count("*").alias("n"))
+
+
+def secret_scan_raw(spark, d):
+    return scan.findings(_texts(spark, d), skip_placeholders=False).groupBy("severity", "rule").agg(F.count("*").alias("n"), F.countDistinct("location").alias("places"), F.min("match").alias("first_match"))
+
+
+def secret_scan_counts(spark, d):
+    return scan.counts(scan.findings(_texts(spark, d)))
+
+
+def redact_identity(spark, d):
+    return _notes(spark, d).select("location", scan.redacted(F.col("text"), "/srv/home/work").alias("text"))
+
+
+def commit_email_dedup(spark, d):
+    n = F.col("c_custkey")
+    email = F.when(n % 6 == 0, "me@users.noreply.github.com").when(n % 6 == 1, F.concat(F.lit("dev"), (n % 40).cast("string"), F.lit("@box.local"))).otherwise(F.concat(F.lit("dev"), (n % 40).cast("string"), F.lit("@example.org")))
+    commits = _table(spark, d, "customer").select(n.alias("seq"), F.sha2(n.cast("string"), 256).alias("hash"), F.concat(F.lit("dev"), (n % 40).cast("string")).alias("name"), email.alias("email"))
+    return scan.author_findings(commits)
+
+
+def idempotent_merge(spark, d):
+    old = _table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), F.lit("old").alias("origin"), F.col("c_custkey").alias("seq"))
+    new = _table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.lit("new").alias("origin"), F.col("o_orderkey").alias("seq"))
+    once = collections_.merge_keep(old, new, "key", "seq")
+    return collections_.merge_keep(once, new, "key", "seq")
+
+
+def conditional_append(spark, d):
+    return _table(spark, d, "part").select("p_partkey", collections_.append_once(F.col("p_name"), "ring", "ring added", " + ").alias("p_name"))
+
+
+def upsert_last_write(spark, d):
+    writes = _table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"))
+    return collections_.last_written(writes, "key", "seq")
+
+
+def collection_documents(spark, d):
+    return collections_.documents(_table(spark, d, "nation").select(F.concat(F.lit("N-"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("note")), "id")
+
+
+def _labelled(spark, d) -> DataFrame:
+    """Predicted junk: texts in which letters are few. Expected: the label's quality 0."""
+    letters = F.length(F.regexp_replace("text", r"[^a-zA-Z ]", ""))
+    docs = _table(spark, d, "documents").select("doc_id", F.coalesce(letters < 0.85 * F.length("text"), F.lit(True)).alias("predicted"))
+    return docs.join(_table(spark, d, "labels").select("doc_id", (F.col("quality") == 0).alias("expected")), "doc_id")
+
+
+def eval_confusion(spark, d):
+    return design.confusion(_labelled(spark, d))
+
+
+def eval_metrics(spark, d):
+    return design.metrics(_labelled(spark, d))
+
+
+def candidate_ttl(spark, d):
+    rows = _table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("retrieved_on"), (F.col("o_orderkey") % 400 * 5).cast("int").alias("ttl_days"))
+    return design.fresh(rows, "1998-01-01").groupBy(F.year("retrieved_on").alias("year"), "expired").agg(F.count("*").alias("n"))
+
+
+def _registry(spark) -> DataFrame:
+    return spark.createDataFrame([("src0", "high", True), ("src1", "low", True), ("src2", "medium", False), ("src3", None, True), ("src4", "medium", True)], "source_id string, trust_level string, enabled boolean")
+
+
+def source_gate(spark, d):
+    items = _table(spark, d, "documents").select("doc_id", F.col("source").alias("source_id"))
+    return design.source_gate(items, _registry(spark)).groupBy("source_id", "gate").agg(F.count("*").alias("n"))
+
+
+RULES = [("platform_deny", "cidr", "192.0.2.0/29", False), ("scope_deny", "ip", "192.0.2.12", False), ("scope_allow", "cidr", "192.0.2.0/27", False), ("scope_allow", "domain", "Example.com", True), ("scope_allow", "host", "web-01.", False), ("tenant_deny", "domain", "net", False), ("scope_allow", "url_prefix", "https://a.example.org/", False)]
+
+
+def typed_target_match(spark, d):
+    ips = _flow(spark, d).alerts.select(F.col("asset_id").alias("target"))
+    hosts = _table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("target"))
+    rules = spark.createDataFrame(RULES, "layer string, kind string, value string, include_apex boolean")
+    return design.scope_verdict(ips.unionByName(hosts), rules).groupBy("target", "layer", "verdict").agg(F.count("*").alias("n"))
+
+
+ALLOWED = [("F", "F"), ("F", "O"), ("O", "O"), ("O", "P"), ("P", "F")]
+
+
+def transition_check(spark, d):
+    changes = _table(spark, d, "orders").select(F.col("o_custkey").alias("flow_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"))
+    return workflow.bad_transitions(changes, ALLOWED)
+
+
+def repeated_tool_calls(spark, d):
+    calls = _table(spark, d, "events").select(F.col("user_id").alias("flow_id"), F.col("event_type").alias("name"))
+    return workflow.repeated_calls(calls, 12)
+
+
+def document_dedup(spark, d):
+    return design.exact_copies(_table(spark, d, "documents"))
+
+
+def document_chunks(spark, d):
+    return design.chunks(_table(spark, d, "documents"), CHUNK, STEP).select("doc_id", "start", F.sha2("chunk", 256).alias("chunk_hash"), F.length("chunk").alias("chars"))
+
+
+def entity_extract(spark, d):
+    return design.entities(_table(spark, d, "documents"))
+
+
+def conflict_detect(spark, d):
+    claims = _table(spark, d, "lineitem").select(F.col("l_partkey").alias("entity"), F.lit("tax").alias("attribute"), F.col("l_tax").cast("string").alias("value"), (F.col("l_suppkey") % 4).alias("source"))
+    return design.conflicts(claims)
+
+
+def windowed_alert_counts(spark, d):
+    alerts = _table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"))
+    return design.windowed_counts(alerts, "6 hours").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "key", "n")
+
+
+def suppression_match(spark, d):
+    n = F.col("user_id")
+    rules = _table(spark, d, "events").where("event_id < 200").select(F.concat(F.lit("u"), n.cast("string")).alias("dedup_key"), F.lit("noise").alias("reason"), F.lit("EVID-0001").alias("evidence"), F.when(n % 4 == 0, None).otherwise("s").alias("scope"), F.lit("soc").alias("owner"), F.when(n % 3 == 0, "2023-01-01").otherwise("2025-01-01").alias("expiry"))
+    alerts = _table(spark, d, "events").select("event_id", F.concat(F.lit("u"), n.cast("string")).alias("dedup_key"))
+    return design.suppressed(alerts, rules, "2024-06-01").groupBy("dedup_key", "suppressed").agg(F.count("*").alias("n"))
+
+
+HEADERS = ["Content-Security-Policy", "X-Content-Type-Options", "X-Frame-Options"]
+
+
+def baseline_findings(spark, d):
+    n = F.col("s_suppkey")
+    have = F.filter(F.array(F.when(n % 2 == 0, HEADERS[0]), F.when(n % 3 == 0, HEADERS[1]), F.when(n % 5 == 0, HEADERS[2])), lambda x: x.isNotNull())
+    return design.missing_headers(_table(spark, d, "supplier").select(F.col("s_name").alias("asset_id"), have.alias("headers")), HEADERS)
+
+
+def approval_binding(spark, d):
+    n = F.col("o_orderkey")
+    plans = _table(spark, d, "orders").select(n.alias("plan_id"), F.concat(F.lit("h"), (n % 10).cast("string")).alias("policy_hash"))
+    approvals = _table(spark, d, "orders").where("o_orderkey % 2 = 0").select(n.alias("plan_id"), F.concat(F.lit("h"), (n % 8).cast("string")).alias("policy_hash"), F.when(n % 3 == 0, "rejected").otherwise("approved").alias("decision"), F.when(n % 5 == 0, "2026-01-01").otherwise("2027-01-01").alias("expires_at"))
+    return design.approvals_valid(plans, approvals, "2026-07-06")
+
+
+_NAMES = """alert_groups_scored parse_auth_lines parse_eve_lines alert_ids_numbered group_first_appearance triage_dispositions agent_runs escalation_gate incidents control_mappings risk_register action_plans
+policy_decisions policy_gates target_allowlist scope_policy_hash flow_outcomes flow_summary inbox_by_disposition queue_top evidence_hashes evidence_integrity audit_chain_build audit_chain_verify audit_chain_tampered
+workflow_counts last_flow_state state_changes invariant_checks replay_diff run_comparison secret_scan_lines secret_scan_raw secret_scan_counts redact_identity commit_email_dedup idempotent_merge conditional_append
+upsert_last_write collection_documents eval_confusion eval_metrics candidate_ttl source_gate typed_target_match transition_check repeated_tool_calls document_dedup document_chunks entity_extract conflict_detect
+windowed_alert_counts suppression_match baseline_findings approval_binding""".split()
+QUERIES = {name: globals()[name] for name in _NAMES}
+
+from vigilake.plans.twins import ORACLE_SQL  # noqa: E402, F401
