@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vigilake.operators import audit, collections_, design, policy, replay, scan, triage, workflow
 from vigilake.plans.flow import COLLECTIONS, RUN_AT, Flow, flow_states, invariants, outcomes, run_flow
 from vigilake.sources import raw
+from vigilake.sources.store import save
 
 GROUPS_PER_FLOW = 50
 CHUNK, STEP = 500, 400
@@ -111,7 +112,7 @@ def scope_policy_hash(spark, d):
 
 
 def _outcomes(spark, d) -> DataFrame:
-    return outcomes(_flow(spark, d), GROUPS_PER_FLOW).persist()
+    return save(outcomes(_flow(spark, d), GROUPS_PER_FLOW), "outcomes")
 
 
 def flow_outcomes(spark, d):
@@ -148,14 +149,11 @@ def evidence_integrity(spark, d):
     return replay.integrity(f.evidence.select("evidence_id", "storage_ref"), store).select("evidence_id", "intact")
 
 
-def _records(spark, d) -> DataFrame:
-    return workflow.records(_outcomes(spark, d))
-
-
 def _chains(spark, d) -> DataFrame:
-    states = flow_states(_outcomes(spark, d))
+    done = _outcomes(spark, d)
+    states = flow_states(done)
     flows = states.select("flow_id", "status", F.lit("soc_investigation").alias("flow_type"), F.concat(F.lit("Investigation of "), "flow_id").alias("title"))
-    return audit.chained(workflow.events(_records(spark, d), flows, policy.ACTOR, RUN_AT)).persist()
+    return save(audit.chained(workflow.events(workflow.records(done), flows, policy.ACTOR, RUN_AT)), "chains")
 
 
 def audit_chain_build(spark, d):
@@ -176,8 +174,9 @@ def audit_chain_tampered(spark, d):
 
 
 def workflow_counts(spark, d):
-    recs = _records(spark, d).where("record <> 'policy'").groupBy("flow_id", F.col("record").alias("kind")).agg(F.count("*").alias("n"))
-    return recs.unionByName(workflow.artifacts(_outcomes(spark, d)).groupBy("flow_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit("artifact")))
+    done = _outcomes(spark, d)
+    recs = workflow.records(done).where("record <> 'policy'").groupBy("flow_id", F.col("record").alias("kind")).agg(F.count("*").alias("n"))
+    return recs.unionByName(workflow.artifacts(done).groupBy("flow_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit("artifact")))
 
 
 def last_flow_state(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigilake.functions.text import number
 from vigilake.operators import grc, grouping, normalize, policy, remediation, triage
 from vigilake.sources import raw
+from vigilake.sources.store import save
 
 RUN_AT = "2026-07-06T21:15:00Z"
 #: What a replay must reproduce.
@@ -36,15 +37,15 @@ class Flow:
 def run_flow(sources: DataFrame, scope: DataFrame | None = None, actor: str = policy.ACTOR, at: str = RUN_AT) -> Flow:
     """sources: name, source_type, media_type, source_ord, file_no, data. Time is a parameter, so that a replay gives the same rows.
 
-    What several collections are made from is persisted, since numbering reads its input twice.
+    The collections that others are made from are written once as tables, which cuts the lineage: numbering reads its input twice.
     """
     scope = policy.default_scope(sources.sparkSession) if scope is None else scope
     evidence = raw.with_evidence(raw.checked_sources(sources), at)
-    alerts = normalize.parse(raw.source_lines(evidence)).persist()
-    groups = grouping.group(alerts).persist()
+    alerts = save(normalize.parse(raw.source_lines(evidence)), "alerts")
+    groups = save(grouping.group(alerts), "groups")
     triaged = triage.triage(groups)
-    incidents = triage.incidents(triaged, at).persist()
-    plans = remediation.action_plans(incidents, at).persist()
+    incidents = save(triage.incidents(triaged, at), "incidents")
+    plans = save(remediation.action_plans(incidents, at), "plans")
     requests = remediation.requests(plans, actor, at)
     return Flow(evidence, alerts, groups, triaged, triage.agent_runs(triaged, at), incidents, grc.control_mappings(incidents), grc.risks(incidents), plans, requests, policy.decide(requests, scope, at))
 
