@@ -7,8 +7,9 @@
    (ranks of prefixes of 8 bytes, doubled; only groups that are not yet settled are sorted again), and the common
    prefixes of neighbours by Kasai's walk along each neighbourhood, all neighbourhoods abreast.
    Neighbours with a common prefix of SPAN bytes are repeats.
-3. An anchor with more than HOT_ROWS neighbourhoods is dealt over several shards, which are merged pairwise: the starts
-   of one are looked up in the other's suffix array by binary search.
+   Equal neighbourhoods are one; if there are several of it, all its starts are repeats.
+3. An anchor with more than HOT_ROWS different neighbourhoods is dealt over several shards, which are merged pairwise:
+   the starts of one are looked up in the other's suffix array by binary search.
 
 Whole texts that occur more than once are repeats from end to end; one of them stands for all in the steps above.
 Texts count as UTF-8 bytes, matches never cross documents, overlaps count, and strings are judged on the input.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from vigilake.llm.common import checked, save, table
 from vigilake.llm.words import _BYTE, mix, slices
 
 SPAN, K = 400, 32
-#: Bytes of neighbourhoods in a shard, and the most neighbourhoods of one anchor in a shard.
+#: Bytes of neighbourhoods in a shard, and the most different neighbourhoods of one anchor in a shard.
 SHARD, HOT_ROWS = 3 << 20, 5000
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -81,7 +82,10 @@ def _anchors(span: int):
 
 
 def _contexts(span: int):
-    """Rows (anchor, rows, k1, k2, lo, context) from texts with their list of runs."""
+    """Rows (anchor, c1, c2, k1, k2, lo, starts, context) from texts with their list of runs.
+
+    c1, c2: a digest of the neighbourhood; its bytes come with the first of equal ones of a slice only.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches, "text", 1 << 20):
             runs = part.column(3)
@@ -90,8 +94,17 @@ def _contexts(span: int):
             row = np.repeat(np.arange(part.num_rows), size)
             lo, hi = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("lo", "hi"))
             a, b = offsets[row] + lo, offsets[row] + hi + span
-            raw = data.tobytes()
-            yield pa.record_batch([flat.field("anchor"), flat.field("rows"), pa.array(k1[row]), pa.array(k2[row]), pa.array(lo), pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], ["anchor", "rows", "k1", "k2", "lo", "context"])
+            raw, seen, digests, bodies = data.tobytes(), set(), [], []
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                body = raw[x:y]
+                digests.append(blake2b(body, digest_size=16).digest())
+                bodies.append(None if body in seen else body)
+                seen.add(body)
+            c = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.record_batch(
+                [flat.field("anchor"), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(k1[row]), pa.array(k2[row]), pa.array(lo), pa.array(hi - lo + 1), pa.array(bodies, pa.binary())],
+                ["anchor", "c1", "c2", "k1", "k2", "lo", "starts", "context"],
+            )
 
     return run
 
@@ -249,84 +262,69 @@ def repeats_between(left: list[bytes], right: list[bytes], span: int) -> tuple[l
     return [hit_a[s:e] for s, e in zip(a_starts, a_ends, strict=True)], [hit_b[s:e] for s, e in zip(b_starts, b_ends, strict=True)]
 
 
-def _cuts(k1, k2, lo, which, masks: list[np.ndarray], span: int) -> pa.Table:
-    """Rows (k1, k2, from, to): the bytes covered by the repeated starts of each row's context."""
-    spans = []
-    for m in masks:
-        edge = np.diff(np.concatenate(([0], m.view(np.int8), [0])))
-        spans.append((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1 + span))
-    n = np.array([len(spans[i][0]) for i in which], np.int64)
-    row = np.repeat(np.arange(len(which)), n)
-    first = np.concatenate([spans[i][0] for i in which]) if len(row) else np.zeros(0, np.int64)
-    last = np.concatenate([spans[i][1] for i in which]) if len(row) else np.zeros(0, np.int64)
-    return pa.table({"k1": pa.array(k1[row]), "k2": pa.array(k2[row]), "first": pa.array(lo[row] + first), "last": pa.array(lo[row] + last)})
-
-
-def _numbers(t: pa.Table, names: tuple[str, ...]) -> list[np.ndarray]:
-    return [t.column(c).to_numpy() for c in names]
-
+def _spans(t: pa.Table, masks: list[np.ndarray], span: int) -> pa.Table:
+    """Rows (anchor, c1, c2, first, last): the bytes of each context that are covered by its repeated starts.
 
-def _distinct(t: pa.Table) -> tuple[list[bytes], list[int], np.ndarray]:
-    """The distinct contexts of a shard's rows, how often each occurs, and each row's."""
-    ids: dict[bytes, int] = {}
-    which = np.array([ids.setdefault(c, len(ids)) for c in t.column("context").to_pylist()], np.int64)
-    return list(ids), np.bincount(which, minlength=len(ids)).tolist(), which
+    Contexts that occur several times are left out, since all of their starts are repeated.
+    """
+    rows, first, last = [], [], []
+    for i, (m, times) in enumerate(zip(masks, t.column("times").to_pylist(), strict=True)):
+        if times == 1 and m.any():
+            edge = np.diff(np.concatenate(([0], m.view(np.int8), [0])))
+            first.append(np.flatnonzero(edge == 1))
+            last.append(np.flatnonzero(edge == -1) - 1 + span)
+            rows += [i] * len(first[-1])
+    cut = t.select(["anchor", "c1", "c2"]).take(pa.array(rows, pa.int64()))
+    none = np.zeros(0, np.int64)
+    return cut.append_column("first", pa.array(np.concatenate(first) if first else none)).append_column("last", pa.array(np.concatenate(last) if last else none))
 
 
 def _within(span: int):
     def run(t: pa.Table) -> pa.Table:
-        k1, k2, lo, anchor = _numbers(t, ("k1", "k2", "lo", "anchor"))
-        contexts, counts, which = _distinct(t)
-        anchors = [0] * len(contexts)
-        for i, a in zip(which.tolist(), anchor.tolist(), strict=True):
-            anchors[i] = a
-        return _cuts(k1, k2, lo, which, repeats_within(contexts, counts, anchors, span), span)
+        return _spans(t, repeats_within(*(t.column(c).to_pylist() for c in ("context", "times", "anchor")), span), span)
 
     return run
 
 
 def _between(span: int):
     def run(t: pa.Table) -> pa.Table:
-        k1, k2, lo, side = _numbers(t, ("k1", "k2", "lo", "side"))
-        contexts, _, which = _distinct(t)
-        own = [[contexts[i] for i in np.unique(which[side == s])] for s in (0, 1)]
-        masks: dict[tuple[int, bytes], np.ndarray] = {}
-        if own[0] and own[1]:
-            for s, found in enumerate(repeats_between(own[0], own[1], span)):
-                masks |= {(s, c): m for c, m in zip(own[s], found, strict=True)}
-        parts = []
-        for s in (0, 1):
-            here = np.flatnonzero(side == s)
-            none = [masks.get((s, c), np.zeros(len(c) - span + 1, bool)) for c in contexts]
-            parts.append(_cuts(k1[here], k2[here], lo[here], which[here], none, span))
-        return pa.concat_tables(parts)
+        side = t.column("side").to_numpy()
+        halves = [t.take(pa.array(np.flatnonzero(side == s))) for s in (0, 1)]
+        own = [h.column("context").to_pylist() for h in halves]
+        if not own[0] or not own[1]:
+            return _spans(t, [np.zeros(1, bool)] * t.num_rows, span)
+        return pa.concat_tables([_spans(h, found, span) for h, found in zip(halves, repeats_between(own[0], own[1], span), strict=True)])
 
     return run
 
 
 def repeated_bytes(texts: DataFrame, span: int = SPAN, shard: int = SHARD, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows (k1, k2, first, last) of texts (k1, k2, text): byte ranges covered by repeats, one row per anchor's run; they overlap."""
+    """Rows (k1, k2, first, last) of texts (k1, k2, text): byte ranges covered by repeats, one row or more per anchor's run; they overlap."""
     runs = save(texts.where(F.octet_length("text") >= span).mapInArrow(_anchors(span), "anchor long, k1 long, k2 long, lo long, hi long"), "runs")
-    several = runs.groupBy("anchor").agg(F.count("*").alias("rows"), F.sum(F.col("hi") - F.col("lo") + span).alias("bytes")).where("rows > 1")
-    several = save(several, "several")
-    total = several.agg(F.sum("bytes")).first()[0] or 0
-    of_text = runs.join(several.select("anchor", "rows"), "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "rows", "lo", "hi")).alias("runs"))
-    of_text = save(of_text, "of_text")
+    several = save(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "several")
+    of_text = save(runs.join(several, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("runs")), "of_text")
     wanted = texts.join(checked(of_text.select("k1", "k2")), ["k1", "k2"], "left_semi")
-    rows = wanted.join(of_text, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(_contexts(span), "anchor long, rows long, k1 long, k2 long, lo long, context binary")
-    # a shard for many anchors, or several for one
+    places = wanted.join(of_text, ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(_contexts(span), "anchor long, c1 long, c2 long, k1 long, k2 long, lo long, starts long, context binary")
+    places = save(places, "places")
+    key = ["anchor", "c1", "c2"]
+    contexts = save(places.groupBy(*key).agg(F.count("*").alias("times"), F.max("starts").alias("starts"), F.max("context").alias("context")), "contexts")
+    # an anchor with a single context has nothing to be compared with
+    kinds = save(contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("starts") + span).alias("bytes")).where("kinds > 1"), "kinds")
+    total = kinds.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-int(total) // shard))
-    parts = F.ceil(F.col("rows") / hot_rows)
-    salt = F.pmod(F.xxhash64("k1", "k2", "lo"), parts)
-    rows = rows.withColumn("parts", parts).withColumn("salt", salt)
-    key = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.xxhash64("anchor", "salt"))
-    schema = "k1 long, k2 long, first long, last long"
-    found = rows.withColumn("shard", key).groupBy("shard").applyInArrow(_within(span), schema)
-    if several.where(F.col("rows") > hot_rows).take(1):
+    rows = contexts.join(kinds.select("anchor", "kinds"), "anchor").withColumn("parts", F.ceil(F.col("kinds") / hot_rows))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("c1", "c2"), F.col("parts"))).select(*key, "times", "context", "parts", "salt")
+    # a shard for many anchors, or several for one
+    own = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.xxhash64("anchor", "salt"))
+    schema = "anchor long, c1 long, c2 long, first long, last long"
+    found = rows.withColumn("shard", own).groupBy("shard").applyInArrow(_within(span), schema)
+    if kinds.where(F.col("kinds") > hot_rows).take(1):
         hot = rows.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("other <> salt")
         hot = hot.withColumn("pair", F.xxhash64("anchor", F.least("salt", "other"), F.greatest("salt", "other"))).withColumn("side", (F.col("salt") > F.col("other")).cast("int"))
         found = found.unionByName(hot.groupBy("pair").applyInArrow(_between(span), schema))
-    return found
+    zero = F.lit(0).cast("long")
+    found = found.unionByName(contexts.where("times > 1").select(*key, zero.alias("first"), (F.col("starts") + span - 1).alias("last")))
+    return places.drop("context", "starts").join(save(found, "spans"), key).select("k1", "k2", (F.col("lo") + F.col("first")).alias("first"), (F.col("lo") + F.col("last")).alias("last"))
 
 
 def _cut(span: int):
