@@ -1,14 +1,12 @@
-"""Shared helpers of the corpus operators: tables, scratch storage, size-checked joins, components."""
+"""Shared helpers of the corpus operators: tables, size-checked joins, components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilake.sources.store import save
+
 #: A side with at most this many slim rows (ids or hashes) may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -17,44 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder for intermediate tables, below spark.checkpoint.dir, which all executors share.
-
-    Where the setting is absent (tests, one machine) a temporary folder is used and the setting is filled in.
-    The application's own sub-folder is deleted when the driver ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="vigilake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    root = f"{base.rstrip('/')}/vigilake-scratch/{spark.sparkContext.applicationId}"
-    if root not in _roots:
-        _roots.add(root)
-        atexit.register(_delete, spark, root)
-    return root
-
-
-_roots: set[str] = set()
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may have gone already; the folder is then left to the owner of the checkpoint folder
-        pass
-
-
-def save(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, else as it is (Spark then shuffles both sides)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
