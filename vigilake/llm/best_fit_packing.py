@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 from zlib import crc32
 
@@ -36,44 +38,82 @@ SIZE, END = 4096, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Lengths above this share of SIZE are large; into so many groups they are dealt.
 LARGE, GROUPS = 1 / 8, 512
-#: Words whose ids a task remembers, twice over (this one and the last generation).
-WORDS_HELD = 150_000
+#: Parts of words whose ids a worker remembers, twice over (these and the last generation).
+PARTS_HELD = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
 class WordTokens:
-    """Token ids by word. The tokenizer drops white space and no token spans it, so that a text's ids are its words' ids in turn."""
+    """Token ids by part of a word, for a tokenizer that lower-cases, drops white space and splits texts as _PARTS does before it merges.
+
+    In a text of plain characters the parts are found by that pattern; of others, each word with such a character is a part as a whole.
+    """
+
+    _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
+    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+    _MARK = "\x01"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.new, self.old = Tokenizer.from_file(path), {}, {}
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the text."""
-        parts = text.replace("\n", " ").split(" ")
-        new, old = self.new, self.old
-        if missing := [x for x in set(parts) if x not in new]:
-            if ask := [x for x in missing if x not in old]:
-                new.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(ask, self.tokenizer.encode_batch(ask, add_special_tokens=False), strict=True))
-            new.update((x, old[x]) for x in missing if x in old)
-        out = b"".join(map(new.__getitem__, parts))
-        if len(new) > WORDS_HELD:
-            self.new, self.old = {}, new
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
+
+    def _split(self, text: str) -> list[str]:
+        if "<|" not in text and self._PLAIN.fullmatch(text):  # special tokens begin with <|
+            return self._PARTS.findall(text.lower())
+        out = []
+        for word in text.replace("\n", " ").split(" "):
+            out += self._PARTS.findall(word.lower()) if "<|" not in word and self._PLAIN.fullmatch(word) else [word]
         return out
 
+    def _encode(self, parts: list[str]) -> None:
+        """Learn the ids of parts, many at a time with a mark between them."""
+        if len(self.mark) != 1:
+            own, parts = parts, []
+        else:
+            own, parts = [x for x in parts if self._MARK in x], [x for x in parts if self._MARK not in x]
+        lists = [parts[i : i + 500] for i in range(0, len(parts), 500)]
+        for some, found in zip(lists, self.tokenizer.encode_batch_fast([f" {self._MARK} ".join(x) for x in lists], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cut = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+            raw = ids.tobytes()
+            self.parts.update((x, raw[4 * a + 4 : 4 * b]) for x, a, b in zip(some, cut[:-1], cut[1:], strict=True))
+        self.parts.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [self._split(x) for x in texts]
+        parts, old = self.parts, self.old
+        missing = {x for words in split for x in words if x not in parts}
+        parts.update((x, old[x]) for x in missing if x in old)
+        if ask := [x for x in missing if x not in parts]:
+            self._encode(ask)
+        out = [b"".join(map(parts.__getitem__, words)) for words in split]
+        if len(parts) > PARTS_HELD:
+            self.parts, self.old = {}, parts
+        return out
+
+
+@lru_cache(1)
+def _words(path: str) -> WordTokens:
+    """One for each worker process, so that what it has learned serves its later tasks."""
+    return WordTokens(path)
+
 
 def _pieces(path: str, size: int, with_ids: bool):
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, seen = WordTokens(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for part, _, _ in slices(batches, "text"):
+        words, task, seen = _words(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        for part, _, _ in slices(batches, "text", 2 << 20):
             rows = []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                ids = words.ids(text or "") + end
+            for doc_id, ids in zip(part.column(0).to_pylist(), words.ids([x or "" for x in part.column(1).to_pylist()]), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     own = ids[at : at + 4 * size]
                     n = len(own) // 4
