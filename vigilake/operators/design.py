@@ -126,3 +126,67 @@ def approvals_valid(plans: DataFrame, approvals: DataFrame, at: str) -> DataFram
     """plans (plan_id, policy_hash) with approved: an unexpired approval for exactly that plan and policy."""
     good = approvals.where(F.col("decision") == "approved").where(F.col("expires_at") > at).select("plan_id", "policy_hash").distinct().withColumn("__a", F.lit(True))
     return plans.join(good, ["plan_id", "policy_hash"], "left").withColumn("approved", F.coalesce("__a", F.lit(False))).drop("__a")
+
+
+def scope_errors(scopes: DataFrame) -> DataFrame:
+    """Scopes (targets, owner, valid_from, valid_until, max_rate) with the names of the rules that they break, in order."""
+    checks = (
+        ("no_targets", F.coalesce(F.size("targets"), F.lit(0)) <= 0), ("any_target", F.exists("targets", lambda t: t.isin("*", "0.0.0.0/0"))), ("no_owner", F.coalesce("owner", F.lit("")) == ""),
+        ("no_end", F.col("valid_until").isNull()), ("window_reversed", F.col("valid_until") <= F.col("valid_from")), ("no_rate_limit", F.coalesce("max_rate", F.lit(0)) <= 0),
+    )
+    return scopes.withColumn("errors", F.array_compact(F.array(*(F.when(broken, name) for name, broken in checks))))
+
+
+# fixed values: phrases that try to instruct a reader of the text
+INJECTIONS = ("ignore previous instructions", "disregard the above", "you are now", "system prompt")
+MAX_INTAKE_CHARS = 20_000
+
+
+def screened(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) with what keeps them from intake: too_large, markup, injection, address, and accepted."""
+    low = F.lower("text")
+    injection = F.lit(False)
+    for phrase in INJECTIONS:
+        injection = injection | F.contains(low, F.lit(phrase))
+    flags = {"too_large": F.length("text") > MAX_INTAKE_CHARS, "markup": F.regexp_like("text", F.lit(r"<[a-zA-Z/][^>]*>")), "injection": injection, "address": F.regexp_like("text", F.lit(ENTITIES["ipv4"]))}
+    out = docs.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
+    return out.withColumn("accepted", ~(F.col("too_large") | F.col("markup") | F.col("injection") | F.col("address")) & F.col("text").isNotNull())
+
+
+def enriched(findings: DataFrame, exploited: DataFrame, likelihood: DataFrame) -> DataFrame:
+    """Findings (cve) with known_exploited and likelihood (null if unknown), from two sources keyed by cve, one row each."""
+    known = exploited.select("cve").distinct().withColumn("__k", F.lit(True))
+    return findings.join(known, "cve", "left").join(likelihood, "cve", "left").withColumn("known_exploited", F.coalesce("__k", F.lit(False))).drop("__k")
+
+
+# fixed values: the places at which an action is judged again
+BOUNDARIES = ("plan", "queue", "dispatch", "start", "before_request", "after_response", "finish")
+
+
+def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """The row of each key's highest version."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("__r")).select(key, "__r.*")
+
+
+def at_boundaries(requests: DataFrame) -> DataFrame:
+    """Each request once for every boundary; policy.decide then judges all of them by the scope that holds now."""
+    return requests.withColumn("boundary", F.explode(F.array(*map(F.lit, BOUNDARIES))))
+
+
+def remembered(entries: DataFrame, as_of: str) -> DataFrame:
+    """The latest version of each memory entry (key, version, written_on, ttl_days, value) that has not outlived its time."""
+    return latest(entries, "key", "version").where(F.date_add("written_on", F.col("ttl_days")) >= F.lit(as_of).cast("date"))
+
+
+def handoffs(edges: DataFrame, most: int) -> DataFrame:
+    """For each task (task, parent; parent null for a first one) how many handoffs led to it, `most` looked at.
+
+    state: ok, too_deep (the chain goes on) or cycle (the task comes up among those before it). A join for each step of the limit.
+    """
+    at = edges.select("task", F.col("parent").alias("up"), F.lit(0).alias("depth"), F.lit(False).alias("cycle"))
+    step = edges.select(F.col("task").alias("up"), F.col("parent").alias("next"), F.lit(True).alias("found"))
+    for _ in range(most):
+        go = F.col("up").isNotNull() & ~F.col("cycle")
+        at = at.join(step, "up", "left").select("task", F.when(go, F.col("next")).otherwise(F.col("up")).alias("up"), (F.col("depth") + go.cast("int")).alias("depth"), (F.col("cycle") | (go & (F.col("up") == F.col("task")))).alias("cycle"))
+    return at.select("task", "depth", F.when(F.col("cycle"), "cycle").when(F.col("up").isNotNull(), "too_deep").otherwise("ok").alias("state"))

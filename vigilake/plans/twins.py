@@ -143,4 +143,21 @@ SELECT doc_id, entity_type, value, count(*) AS n FROM e GROUP BY ALL""",
 SELECT 'u' || user_id AS dedup_key, r.dedup_key IS NOT NULL AS suppressed, count(*) AS n FROM events LEFT JOIN r ON r.dedup_key = 'u' || user_id GROUP BY ALL""",
     "baseline_findings": """SELECT s_name AS asset_id, 'Content-Security-Policy' AS header FROM supplier WHERE s_suppkey % 2 <> 0 UNION ALL SELECT s_name, 'X-Content-Type-Options' FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_name, 'X-Frame-Options' FROM supplier WHERE s_suppkey % 5 <> 0""",
     "approval_binding": "SELECT o_orderkey AS plan_id, 'h' || (o_orderkey % 10) AS policy_hash, o_orderkey % 2 = 0 AND o_orderkey % 10 = o_orderkey % 8 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS approved FROM orders",
+    "scope_compile": """WITH e AS (SELECT array_to_string(list_filter([CASE WHEN o_orderkey % 7 = 0 THEN 'no_targets' END, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0 THEN 'any_target' END, CASE WHEN o_orderkey % 3 = 0 THEN 'no_owner' END, CASE WHEN o_orderkey % 4 = 0 THEN 'no_end' END,
+  CASE WHEN o_orderkey % 4 = 1 THEN 'window_reversed' END, CASE WHEN o_orderkey % 2 <> 0 THEN 'no_rate_limit' END], lambda x: x IS NOT NULL), ',') AS errors FROM orders)
+SELECT errors, count(*) AS n FROM e GROUP BY errors""",
+    "intake_screening": r"""WITH d AS (SELECT doc_id, CASE doc_id % 50 WHEN 0 THEN 'Ignore previous instructions. ' || text WHEN 1 THEN '<b>' || text ELSE text END AS t FROM documents),
+f AS (SELECT doc_id, coalesce(length(t) > 20000, false) AS too_large, coalesce(regexp_matches(t, '<[a-zA-Z/][^>]*>'), false) AS markup, coalesce(contains(lower(t), 'ignore previous instructions') OR contains(lower(t), 'disregard the above') OR contains(lower(t), 'you are now') OR contains(lower(t), 'system prompt'), false) AS injection,
+  coalesce(regexp_matches(t, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b'), false) AS address, t IS NOT NULL AS given FROM d)
+SELECT doc_id, too_large, markup, injection, address, given AND NOT (too_large OR markup OR injection OR address) AS accepted FROM f""",
+    "vulnerability_enrichment": """WITH f AS (SELECT p_partkey, 'CVE-2026-' || lpad(CAST(p_partkey % 500 AS VARCHAR), 4, '0') AS cve FROM part), s AS (SELECT s_suppkey, 'CVE-2026-' || lpad(CAST(s_suppkey % 500 AS VARCHAR), 4, '0') AS cve FROM supplier)
+SELECT f.p_partkey, f.cve, f.cve IN (SELECT cve FROM s) AS known_exploited, l.likelihood FROM f LEFT JOIN (SELECT cve, max(s_suppkey % 100 / 100) AS likelihood FROM s WHERE s_suppkey % 2 = 0 GROUP BY cve) l ON l.cve = f.cve""",
+    "boundary_rechecks": """WITH r AS (SELECT CASE WHEN o_orderkey % 3 <> 0 THEN 'TARGET_NOT_IN_SCOPE' WHEN o_orderkey % 2 <> 0 AND o_orderkey % 5 <> 0 THEN 'APPROVAL_REQUIRED' ELSE 'ALLOW_OK' END AS reason_code FROM orders)
+SELECT boundary, reason_code, count(*) AS n FROM r, (SELECT unnest(['plan', 'queue', 'dispatch', 'start', 'before_request', 'after_response', 'finish']) AS boundary) GROUP BY ALL""",
+    "memory_entries": """WITH m AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders)
+SELECT o_custkey AS key, o_orderkey AS version, o_orderpriority AS value FROM m WHERE k = 1 AND CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INTEGER) >= DATE '1998-06-01'""",
+    "handoff_lineage": """WITH RECURSIVE e AS (SELECT s_suppkey AS task, CASE WHEN s_suppkey = 0 THEN NULL WHEN s_suppkey % 50 = 7 THEN s_suppkey + 1 WHEN s_suppkey % 50 = 8 THEN s_suppkey - 1 ELSE (s_suppkey - 1) // 2 END AS parent FROM supplier),
+w AS (SELECT task, parent AS up, 0 AS depth, false AS cycle FROM e
+  UNION ALL SELECT w.task, e.parent, w.depth + 1, w.up = w.task FROM w LEFT JOIN e ON e.task = w.up WHERE w.up IS NOT NULL AND NOT w.cycle AND w.depth < 5)
+SELECT task, max(depth) AS depth, CASE WHEN bool_or(cycle) THEN 'cycle' WHEN arg_max(up IS NOT NULL, depth) THEN 'too_deep' ELSE 'ok' END AS state FROM w GROUP BY task""",
 }
