@@ -82,7 +82,7 @@ def test_bad_input_is_an_error(spark):
         raw.checked_sources(spark.createDataFrame([("x", "syslog", "", 0, 0, bytearray(b""))], SOURCE)).collect()
     for eve in (b"{not json", b'{"event_type":"alert","src_ip":null}', b'{"event_type":"alert","alert":{"severity":"x"}}'):
         with pytest.raises(Exception):
-            run_flow(sources(spark, eve=eve))
+            run_flow(sources(spark, eve=eve)).alerts.count()
     got = run_flow(sources(spark, eve=b'{"event_type":"alert","dest_ip":null}')).alerts.where("source = 'suricata_eve'").first()
     assert (got.dedup_key, got.title, got.severity) == ("suspicious_outbound_tls:0:unknown:None", "Suricata alert", "low")
 

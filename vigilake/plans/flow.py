@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,37 +17,63 @@ RUN_AT = "2026-07-06T21:15:00Z"
 COLLECTIONS = ("evidence", "alerts", "alert_groups", "agent_runs", "incidents", "control_mappings", "risks", "action_plans", "policy_decisions")
 
 
-@dataclass
 class Flow:
-    """The collections of a run, each a lazy DataFrame."""
+    """The collections of a run, each made when it is first asked for.
 
-    evidence: DataFrame
-    alerts: DataFrame
-    alert_groups: DataFrame
-    triaged: DataFrame
-    agent_runs: DataFrame
-    incidents: DataFrame
-    control_mappings: DataFrame
-    risks: DataFrame
-    action_plans: DataFrame
-    requests: DataFrame
-    policy_decisions: DataFrame
+    Those that others are made from are written once as tables, which cuts the lineage: numbering reads its input twice.
+    """
 
+    def __init__(self, sources: DataFrame, scope: DataFrame, actor: str, at: str):
+        self.sources, self.scope, self.actor, self.at = sources, scope, actor, at
 
-def run_flow(sources: DataFrame, scope: DataFrame | None = None, actor: str = policy.ACTOR, at: str = RUN_AT) -> Flow:
-    """sources: name, source_type, media_type, source_ord, file_no, data. Time is a parameter, so that a replay gives the same rows.
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return raw.with_evidence(raw.checked_sources(self.sources), self.at)
 
-    The collections that others are made from are written once as tables, which cuts the lineage: numbering reads its input twice.
-    """
-    scope = policy.default_scope(sources.sparkSession) if scope is None else scope
-    evidence = raw.with_evidence(raw.checked_sources(sources), at)
-    alerts = save(normalize.parse(raw.source_lines(evidence)), "alerts")
-    groups = save(grouping.group(alerts), "groups")
-    triaged = triage.triage(groups)
-    incidents = save(triage.incidents(triaged, at), "incidents")
-    plans = save(remediation.action_plans(incidents, at), "plans")
-    requests = remediation.requests(plans, actor, at)
-    return Flow(evidence, alerts, groups, triaged, triage.agent_runs(triaged, at), incidents, grc.control_mappings(incidents), grc.risks(incidents), plans, requests, policy.decide(requests, scope, at))
+    @cached_property
+    def alerts(self) -> DataFrame:
+        return save(normalize.parse(raw.source_lines(self.evidence)), "alerts")
+
+    @cached_property
+    def alert_groups(self) -> DataFrame:
+        return save(grouping.group(self.alerts), "groups")
+
+    @cached_property
+    def triaged(self) -> DataFrame:
+        return triage.triage(self.alert_groups)
+
+    @cached_property
+    def agent_runs(self) -> DataFrame:
+        return triage.agent_runs(self.triaged, self.at)
+
+    @cached_property
+    def incidents(self) -> DataFrame:
+        return save(triage.incidents(self.triaged, self.at), "incidents")
+
+    @cached_property
+    def control_mappings(self) -> DataFrame:
+        return grc.control_mappings(self.incidents)
+
+    @cached_property
+    def risks(self) -> DataFrame:
+        return grc.risks(self.incidents)
+
+    @cached_property
+    def action_plans(self) -> DataFrame:
+        return save(remediation.action_plans(self.incidents, self.at), "plans")
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        return remediation.requests(self.action_plans, self.actor, self.at)
+
+    @cached_property
+    def policy_decisions(self) -> DataFrame:
+        return policy.decide(self.requests, self.scope, self.at)
+
+
+def run_flow(sources: DataFrame, scope: DataFrame | None = None, actor: str = policy.ACTOR, at: str = RUN_AT) -> Flow:
+    """sources: name, source_type, media_type, source_ord, file_no, data. Time is a parameter, so that a replay gives the same rows."""
+    return Flow(sources, policy.default_scope(sources.sparkSession) if scope is None else scope, actor, at)
 
 
 def outcomes(flow: Flow, groups_per_flow: int | None = None) -> DataFrame:
