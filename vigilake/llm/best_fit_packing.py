@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake.llm.common import checked, save, table
-from vigilake.llm.words import slices
+from vigilake.llm.words import KEPT, slices
 
 SIZE, END = 4096, 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -105,12 +105,15 @@ def _words(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+KEPT["word tokens"] = _words.cache_clear
+
+
 def _pieces(path: str, size: int, with_ids: bool):
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, seen = _words(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for part, _, _ in slices(batches, "text", 2 << 20):
+        for part, _, _ in slices(batches, "text", 2 << 20, "word tokens"):
             rows = []
             for doc_id, ids in zip(part.column(0).to_pylist(), words.ids([x or "" for x in part.column(1).to_pylist()]), strict=True):
                 ids += end

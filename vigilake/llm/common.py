@@ -11,7 +11,18 @@ from vigilake.sources.store import save
 BROADCAST_ROWS = 200_000
 
 
+#: Rows that go to a Python worker at a time, where the session leaves Spark's default: texts can be long.
+ARROW_ROWS, ARROW_DEFAULT = "1000", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, ARROW_DEFAULT) == ARROW_DEFAULT:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -11,8 +11,8 @@ class, links are closed to components, and only pairs of *different* components
 since the result is the component.
 
 Defined results: null or word-less text has no shingles and is linked with nothing, not even with another such text;
-equal sets are one class from the start; a repeated doc_id gets one component for all its rows; a null doc_id
-has a null component; other columns of the input are not read. An empty table gives an empty result.
+equal sets are one class from the start; a repeated doc_id gets one component for all its rows; a row with a null
+doc_id takes no part and has a null component; other columns of the input are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ FRAGMENTS = 8
 #: At most so many n-grams are ordered by frequency (any common order is right; this one keeps the prefixes' lists short).
 ORDERED_BY_COUNT = 400_000
 #: Shingles that a task looks through at a time for shared ones.
-COUNTED = 3_000_000
+COUNTED = 2_000_000
 #: Lists of more documents than this are dealt over several leaders.
 LEADER_LOAD = 50_000
 

@@ -34,7 +34,7 @@ MARGIN = 3
 #: Scored n-grams (12 bytes each) that a task may hold.
 HELD_GRAMS = 3_000_000
 #: Distinct n-grams that a task gathers before it passes them on.
-GATHERED = 1_000_000
+GATHERED = 400_000
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def _gather(counts: bool):
             del held[lang]
             return pa.record_batch([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(count)], ["lang", "gram", "count"])
 
-        for part, data, offsets in slices(batches, "text", 2 << 20):
+        for part, data, offsets in slices(batches, "text", 1 << 20):
             code, row = _grams(data, offsets)
             langs = np.array(_langs(part), object)
             for lang in set(langs):
@@ -124,7 +124,7 @@ def score(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFra
 def _perplexity(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = held.value
-        for part, data, offsets in slices(batches, "text", 2 << 20):
+        for part, data, offsets in slices(batches, "text", 1 << 20):
             code, row = _grams(data, offsets)
             langs, logp = np.array(_langs(part), object), np.zeros(len(code))
             for lang in set(langs):

@@ -6,7 +6,9 @@ working on bytes equals working on characters. A-Z count as a-z.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +48,18 @@ def _powers(base: int, n: int) -> np.ndarray:
 _cache: dict[int, np.ndarray] = {}
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+#: What operators keep in a worker from task to task, by name: functions that drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, keep: str | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches with about `most` bytes of text each (one row at least): (part, bytes, row offsets).
 
-    A null text has no bytes.
+    A null text has no bytes. What other operators have kept in this worker is dropped first, all but that named keep.
     """
+    for name, drop in KEPT.items():
+        if name != keep:
+            drop()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -63,6 +72,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers stay from task to task, and what they keep adds to the executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
