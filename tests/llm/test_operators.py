@@ -415,6 +415,24 @@ def test_quality_on_held_out_labels(spark):
     assert got and kept[1][1] >= 0.95 and kept[0][1] <= 0.35
 
 
+def test_quality_of_few_trusted_documents_and_of_repetition(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("aeioustnr"), rng.integers(1, 6)))
+    prose = lambda: " ".join(word() for _ in range(40))
+    texts = [(i, prose(), "s", "xy" if i < 300 else "small") for i in range(312)]
+    texts += [(1000 + i, "#$%@! QXZ " * 9, "s", "small") for i in range(3)] + [(2000 + i, (word() + " ") * 60, "s", x) for i in range(3) for x in ("xy", "small")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(312)], "doc_id long, quality int, toxic int")
+    keep = {r.doc_id: r["__keep"] for r in quality_lm.judged(spark.createDataFrame(texts, SCHEMA), labels).collect()}
+    assert not any(keep[i] for i in keep if i >= 1000)
+    assert sum(keep[i] for i in range(300)) >= 290 and sum(keep[i] for i in range(300, 312)) >= 10
+
+
+def test_quality_rejects_in_every_language_with_trusted_text(spark):
+    df, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_lm.judged(df, labels).join(labels, "doc_id").where("quality = 0").collect()
+    assert sum(r["__keep"] for r in got) <= 2 and all(r["__threshold"] is not None for r in got)
+
+
 # suffix arrays
 
 

@@ -6,9 +6,12 @@ from the counts of counts, order by order. The n-grams of the corpus are gathere
 tables are joined to them shard by shard, so that each gets its probability by backing off through the orders.
 Scored n-grams are held by each task if there are few enough (HELD_GRAMS); else every document's n-grams are joined with them.
 A document is rejected if its perplexity per byte exceeds the QUANTILE of the held-out trusted documents of its language.
+Where these are few, all trusted documents of the language are scored instead, each by a model of the other parts
+(cross-fitting). Repetition looks like good text to a model of a few bytes: a document is rejected as well if of its word
+pairs a larger share has stood in it before than trusted documents have.
 
 Defined results: a null or empty text has a null perplexity and is rejected; a null language counts as one of its own;
-a language with fewer than LEAST held-out trusted documents has no threshold, and its documents (with text) are kept;
+a language without trusted text has no threshold, and its documents are only held against the share of repeated pairs;
 a document with contradicting labels is not trusted; rows with null ids are scored but not trusted; repeated rows each
 give a row; extra columns are kept by `keep_good`. Empty tables give empty results, and without labels all text is kept.
 """
@@ -24,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilake.llm.common import checked, save, table
-from vigilake.llm.words import slices
-
-ORDER, QUANTILE = 5, 0.995
-#: One in HELD_OUT trusted documents sets the threshold and does not train; a language needs LEAST of them.
-HELD_OUT, LEAST = 5, 10
-#: The threshold is raised by the quantile's distance from the median times this over the root of the number of documents.
-MARGIN = 3
+from vigilake.llm.words import NOT_SPACE, slices, windows, words
+
+ORDER, QUANTILE = 5, 0.98
+#: One in HELD_OUT trusted documents sets the threshold and does not train; a language with fewer than FEW of them is cross-fitted.
+HELD_OUT, FEW = 5, 200
+#: Texts with at most this share of repeated word pairs are never rejected for them.
+REPEATED = 0.3
+#: No byte is less probable than this.
+LEAST_P = 1e-12
 #: Scored n-grams (12 bytes each) that a task may hold.
 HELD_GRAMS = 3_000_000
 #: Distinct n-grams that a task gathers before it passes them on.
@@ -118,7 +123,23 @@ def score(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFra
         out = out.withColumns({"__gram": _suffix(F.col("gram"), n), "__context": F.shiftright(_suffix(F.col("gram"), n), 8)})
         out = out.join(alpha.withColumnRenamed("gram", "__gram"), ["lang", "__gram"], "left").join(gamma.withColumnRenamed("context", "__context"), ["lang", "__context"], "left")
         out = out.select("lang", "gram", (F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("p")).alias("p"))
-    return out.select("lang", "gram", F.log("p").alias("logp"))
+    # where discounts are zero, nothing may be left for a byte that was never seen there
+    return out.select("lang", "gram", F.log(F.greatest("p", F.lit(LEAST_P))).alias("logp"))
+
+
+def _repeated(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text the share of its word pairs that have stood in it before."""
+    h, _, _, rows = words(data, offsets, NOT_SPACE)
+    pairs, out = windows(h, 2), np.zeros(len(offsets) - 1)
+    for r, (a, b) in enumerate(zip(rows[:-1], rows[1:] - 1, strict=True)):
+        if b > a:
+            out[r] = 1 - len(np.unique(pairs[a:b])) / (b - a)
+    return out
+
+
+def _with_repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, data, offsets in slices(batches, "text"):
+        yield pa.record_batch([*part.columns, pa.array(_repeated(data, offsets))], [*part.schema.names, "__repeated"])
 
 
 def _perplexity(held):
@@ -134,7 +155,7 @@ def _perplexity(held):
             total = np.concatenate(([0.0], np.cumsum(logp)))[offsets]
             size = np.diff(offsets)
             mean = np.diff(total) / np.maximum(size, 1)
-            yield pa.record_batch([*part.columns, pa.array(np.exp(-mean), mask=size == 0)], [*part.schema.names, "__perplexity"])
+            yield pa.record_batch([*part.columns, pa.array(_repeated(data, offsets)), pa.array(np.exp(-mean), mask=size == 0)], [*part.schema.names, "__repeated", "__perplexity"])
 
     return run
 
@@ -149,7 +170,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Scorer:
-    """Adds the column __perplexity to documents whose n-grams have been scored."""
+    """Adds the columns __repeated and __perplexity to documents whose n-grams have been scored."""
 
     def __init__(self, docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], held: int = HELD_GRAMS):
         self.scores = save(score(_gather(False)(docs), model), "scores")
@@ -161,29 +182,43 @@ class Scorer:
             self.held = docs.sparkSession.sparkContext.broadcast({x: (gram[at == i], logp[at == i]) for i, x in enumerate(langs.dictionary.to_pylist())})
 
     def __call__(self, docs: DataFrame) -> DataFrame:
+        repeated = T.StructType([*docs.schema.fields, T.StructField("__repeated", T.DoubleType())])
         if self.held:
-            return docs.mapInArrow(_perplexity(self.held), T.StructType([*docs.schema.fields, T.StructField("__perplexity", T.DoubleType())]))
-        docs = save(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered")
+            return docs.mapInArrow(_perplexity(self.held), T.StructType([*repeated.fields, T.StructField("__perplexity", T.DoubleType())]))
+        docs = save(docs.mapInArrow(_with_repeated, repeated).withColumn("__uid", F.monotonically_increasing_id()), "numbered")
         grams = docs.select(F.col("__uid").alias("uid"), "lang", "text").mapInArrow(_each, "uid long, lang string, gram long, count long")
         mean = grams.join(self.scores, ["lang", "gram"]).groupBy("uid").agg(F.exp(-F.sum(F.col("logp") * F.col("count")) / F.sum("count")).alias("__perplexity"))
         return docs.join(mean.withColumnRenamed("uid", "__uid"), "__uid", "left").drop("__uid")
 
 
+def _cross_fitted(trusted: DataFrame, part: Column, held: int) -> DataFrame:
+    """trusted (doc_id, lang, text, __lang) with __repeated and __perplexity, each document's under a model of the other parts."""
+    model = lambda f: F.concat("__lang", F.lit("\0"), f.cast("string"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(HELD_OUT - 1)), lambda f: f != part)
+    own = trusted.withColumn("lang", model(part))
+    return Scorer(own, train(trusted.withColumn("__other", F.explode(others)).select(model(F.col("__other")).alias("lang"), "text")), held)(own)
+
+
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, held: int = HELD_GRAMS) -> DataFrame:
     """docs (doc_id, text, lang, ...) with __perplexity, __threshold and __keep. Trusted: labels' quality 1 and toxic not 1."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
     good = checked(save(good, "trusted"))
     slim = docs.select("doc_id", "lang", "text")
-    trusted = slim.join(good, "doc_id", "left_semi")
+    trusted = slim.join(good, "doc_id", "left_semi").withColumn("__lang", F.coalesce("lang", F.lit("")))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT))
-    scored = Scorer(slim, train(trusted.where(part > 0)), held)
-    bound = scored(trusted.where(part == 0)).where("__perplexity is not null").groupBy(F.coalesce("lang", F.lit("")).alias("__lang"))
+    scorer = Scorer(slim, train(trusted.where(part > 0)), held)
+    few = trusted.where("text <> ''").groupBy("__lang").agg(F.count(F.when(part == 0, 1)).alias("n")).where(F.col("n") < FEW).select("__lang")
+    few = save(few, "few")
+    scored = scorer(trusted.where(part == 0).join(checked(few), "__lang", "left_anti")).select("__lang", "__repeated", "__perplexity")
+    if few.take(1):
+        scored = scored.unionByName(_cross_fitted(trusted.join(checked(few), "__lang", "left_semi"), part, held).select("__lang", "__repeated", "__perplexity"))
     # rounded, so that the exact quantile counts a bounded number of distinct values
-    bound = bound.agg(*(F.percentile(F.round("__perplexity", 4), F.lit(q)).alias(k) for q, k in ((quantile, "high"), (0.5, "mid"))), F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    # few documents say little about a far quantile: a margin that shrinks as they grow in number
-    bound = bound.select("__lang", F.round(F.col("high") * F.pow(F.col("high") / F.col("mid"), MARGIN / F.sqrt("n")), 4).alias("__threshold"))
-    out = scored(docs).withColumn("__lang", F.coalesce("lang", F.lit(""))).join(checked(save(bound, "bounds")), "__lang", "left")
-    keep = F.col("__perplexity").isNotNull() & (F.col("__threshold").isNull() | (F.round("__perplexity", 4) <= F.col("__threshold")))
+    scored = save(scored.where("__perplexity is not null").select("__lang", F.round("__repeated", 4).alias("__repeated"), F.round("__perplexity", 4).alias("__perplexity")), "held_out")
+    bound = scored.groupBy("__lang").agg(F.round(F.percentile("__perplexity", F.lit(quantile)), 4).alias("__threshold"))
+    most = scored.agg(F.percentile("__repeated", F.lit(quantile))).first()[0]
+    fresh = F.lit(True) if most is None else F.col("__repeated") <= max(most, REPEATED)
+    out = scorer(docs).withColumn("__lang", F.coalesce("lang", F.lit(""))).join(checked(save(bound, "bounds")), "__lang", "left")
+    keep = F.col("__perplexity").isNotNull() & (F.col("__threshold").isNull() | (F.round("__perplexity", 4) <= F.col("__threshold"))) & fresh
     return out.select(*docs.columns, "__perplexity", "__threshold", keep.alias("__keep"))
 
 
