@@ -178,11 +178,24 @@ def _candidates(rows: DataFrame, posts: DataFrame, x: tuple[str, str, str], y: t
     return both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.least(spare("na"), spare("nb"))).drop("shared")
 
 
+def _by_rows(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+    """(doc_id, component_id) where ids repeat: the distinct rows get numbers of their own and are compared by these; rows of one id are linked."""
+    rows = save(docs.where("doc_id is not null").distinct().withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = similarity_components(rows.select(F.col("row").alias("doc_id"), "text"), n, share).select(F.col("doc_id").alias("row"), "component_id")
+    found = save(rows.select("row", "doc_id").join(found, "row"), "found")
+    low = found.groupBy("doc_id").agg(F.min("component_id").alias("b"))
+    groups = connected_components(found.join(low, "doc_id").select(F.col("component_id").alias("a"), "b"))
+    of = low.join(groups, low["b"] == groups["node"], "left").select("doc_id", F.coalesce("component", "b").alias("c"))
+    return of.join(of.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
+
+
 def similarity_components(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select("doc_id", "text")
     profile = save(docs.mapInArrow(_profile(n), _PROFILE), "profile", "kind")
     own = profile.where("kind = 0").select("doc_id", "n", "a", "b")
+    if own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+        return own.select("doc_id", F.col("n").alias("n_shingles")).join(_by_rows(docs, n, share), "doc_id", "left")
     classes = save(own.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
     token, count = _common(profile)
     # copies of a class's representative take no further part
