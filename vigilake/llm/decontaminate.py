@@ -170,18 +170,63 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, most: int
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, drop_share: float = DROP_SHARE) -> DataFrame:
+def _cut_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, n_words, n_hit, text without the hit runs) of texts with their hit windows (at and m, side by side)."""
+    for part, data, offsets in slices(batches, "text"):
+        _, starts, ends, rows = words(data, offsets, ALNUM)
+        hits, texts = [], []
+        for r, spots in enumerate(part.column(part.schema.get_field_index("spots")).to_pylist()):
+            change = np.zeros(rows[r + 1] - rows[r] + 1, np.int64)
+            for x in spots:
+                change[x["at"]] += 1
+                change[x["at"] + x["m"]] -= 1
+            hit = np.cumsum(change[:-1]) > 0
+            edge = np.diff(np.concatenate(([0], hit.view(np.int8), [0])))
+            pieces, last = [], offsets[r]
+            for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1, strict=True):
+                pieces.append(data[last : starts[rows[r] + a]].tobytes())
+                last = ends[rows[r] + b]
+            hits.append(int(hit.sum()))
+            texts.append(b"".join([*pieces, data[last : offsets[r + 1]].tobytes()]))
+        yield pa.record_batch([part.column(0), pa.array(np.diff(rows)), pa.array(hits, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["uid", "n_words", "n_hit", "text"])
+
+
+def _cut_by_join(docs: DataFrame, grams: DataFrame, drop_share: float) -> DataFrame:
+    """docs with __words, __hit and __kept as _scan gives them, for more windows than a task may hold; __words is 0 without a hit."""
+    lengths = [r.m for r in grams.select("m").distinct().collect()]  # n values at most
+    numbered = save(docs.withColumn("__uid", F.monotonically_increasing_id()), "numbered")
+
+    def cut(texts: DataFrame) -> DataFrame:
+        spots = texts.mapInArrow(_doc_windows(lengths), "uid long, at long, m int, hash long, key binary").join(grams.select("m", "hash", "key"), ["m", "hash", "key"], "left_semi")
+        spots = spots.groupBy("uid").agg(F.collect_list(F.struct("at", "m")).alias("spots"))
+        return save(texts.join(spots, "uid").mapInArrow(_cut_at, "uid long, n_words long, n_hit long, text string"), "cut")
+
+    first = cut(numbered.select(F.col("__uid").alias("uid"), "text"))
+    settled, open_ = [], first.where(F.col("n_hit") <= drop_share * F.col("n_words")).select("uid", "text")
+    while open_.take(1):  # words that a cut has brought together may be a passage again; every round takes out words
+        again = cut(open_)
+        settled.append(open_.join(again, "uid", "left_anti"))
+        open_ = again.select("uid", "text")
+    kept = first.select("uid", "text").limit(0)
+    for x in settled:
+        kept = kept.unionByName(x)
+    kept = first.select("uid", F.col("n_words").alias("__words"), F.col("n_hit").alias("__hit")).join(kept.withColumnRenamed("text", "__kept"), "uid", "left")
+    out = numbered.join(kept.withColumnRenamed("uid", "__uid"), "__uid", "left").drop("__uid")
+    return out.withColumns({"__words": F.coalesce("__words", F.lit(0)), "__hit": F.coalesce("__hit", F.lit(0))})
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, drop_share: float = DROP_SHARE, most: int = HELD_WINDOWS) -> DataFrame:
     """docs without the test items' passages; columns as they came.
 
     A document of which more than drop_share of the words is hit goes; drop_share=0 drops every document with a hit.
     Of the others the hit runs are cut out of the text, and n_chars, if there, is counted anew.
-    The items must be few enough to be held by a task (HELD_WINDOWS); otherwise split them and call this for each part.
     """
-    held = _held(save(item_windows(items, n), "grams"), HELD_WINDOWS)
-    if held is None:
-        raise ValueError(f"more than {HELD_WINDOWS} test windows: call this for parts of the items in turn")
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("__words long, __hit long, __items array<long>, __kept string").fields])
-    found = docs.mapInArrow(_renamed(_scan(held, True)), schema)
+    grams = save(item_windows(items, n), "grams")
+    if held := _held(grams, most):
+        schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("__words long, __hit long, __items array<long>, __kept string").fields])
+        found = docs.mapInArrow(_renamed(_scan(held, True)), schema)
+    else:
+        found = _cut_by_join(docs, grams, drop_share)
     found = found.where(F.col("__hit") <= drop_share * F.col("__words")).where((F.col("__hit") == 0) | (F.trim(F.col("__kept")) != ""))
     text = F.coalesce("__kept", "text")
     new = {"text": text} | ({"n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
