@@ -6,9 +6,17 @@ in the first quarter (the prefix) of both. Candidates come from prefixes alone.
 separately in each fragment of the n-gram space and summed per pair.
 
 No group is expanded into all its pairs: first every document is compared with one leader per prefix n-gram and size
-class, links are closed to components, and only pairs of *different* components that share a prefix n-gram
-(and pass the length and position filters) are compared after that. Two documents of one component need no comparison,
-since the result is the component.
+class, links are closed to components, and only pairs of *different* components that share a prefix n-gram are looked at
+after that, long lists in blocks. Two documents of one component need no comparison, since the result is the component.
+Of the pairs looked at, those go on that pass three exact tests: of size, of place, and of a parity map. A document's map
+has a bit for each of MAP_BITS classes of n-grams, set where the document has an odd number of them; the bits in which
+two maps differ are at most the n-grams in which the documents differ.
+
+The order of n-grams comes from a table of fixed size (2**LEVEL_BITS bytes): each place has the logarithm of how often the
+shared n-grams that fall on it occur. Any order that all tasks have in common is right; this one keeps the lists short.
+
+Equal sets are known by their size and two sums of 64-bit hashes: of 10**10 documents, two with different sets pass for
+equal with a probability of about 10**-18.
 
 Defined results: null or word-less text has no shingles and is linked with nothing, not even with another such text;
 equal sets are one class from the start; a repeated doc_id gets one component for all its rows; a row with a null
@@ -21,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake.llm.common import checked, connected_components, save, table
@@ -31,14 +39,16 @@ from vigilake.llm.words import NOT_SPACE, mix, shingle_sets, slices, words
 WORDS, SHARE = 5, (75, 100)
 #: The n-gram space is cut into so many fragments for counting.
 FRAGMENTS = 8
-#: At most so many n-grams are ordered by frequency (any common order is right; this one keeps the prefixes' lists short).
-ORDERED_BY_COUNT = 400_000
+#: Places in the table of frequencies, and steps for each doubling of a frequency.
+LEVEL_BITS, STEPS = 22, 8
+#: Bits of a parity map.
+MAP_BITS = 1024
 #: Shingles that a task looks through at a time for shared ones.
 COUNTED = 2_000_000
-#: Lists of more documents than this are dealt over several leaders.
-LEADER_LOAD = 50_000
+#: Lists of more documents than this are dealt over several leaders; a list that the leaders leave open is compared in blocks.
+LEADER_LOAD, BLOCK = 50_000, 1_000
 
-_PROFILE = "kind int, doc_id long, n long, a long, b long"
+_PROFILE = "kind int, doc_id long, n long, a long, b long, map array<long>"
 _A, _B = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -54,10 +64,19 @@ def _gathered(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), ends
 
 
+def _maps(every: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """The parity map of every row as MAP_BITS / 64 longs."""
+    rows, words_ = len(ends) - 1, MAP_BITS // 64
+    spot = np.repeat(np.arange(rows), np.diff(ends)) * MAP_BITS + (every & np.uint64(MAP_BITS - 1)).astype(np.int64)
+    bits = np.packbits((np.bincount(spot, minlength=rows * MAP_BITS) & 1).astype(bool), bitorder="little")
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * words_ + 1, words_, dtype=np.int32)), pa.array(bits.view(np.int64)))
+
+
 def _profile(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         seen: set[int] = set()
+        names = ["kind", "doc_id", "n", "a", "b", "map"]
 
         def shared() -> pa.RecordBatch:
             """The n-grams that several different documents of the last ones share."""
@@ -66,12 +85,12 @@ def _profile(n: int):
             none = pa.nulls(len(token), pa.int64())
             held.clear()
             seen.clear()
-            return pa.record_batch([pa.array(np.ones(len(token), np.int32)), none, pa.array(count.astype(np.int64)), pa.array(token.view(np.int64)), none], ["kind", "doc_id", "n", "a", "b"])
+            return pa.record_batch([pa.array(np.ones(len(token), np.int32)), none, pa.array(count.astype(np.int64)), pa.array(token.view(np.int64)), none, pa.nulls(len(token), pa.list_(pa.int64()))], names)
 
         for part, data, offsets in slices(batches, "text"):
             every, ends = _gathered(data, offsets, n)
             size, a, b = np.diff(ends), _sums(mix(every ^ _A), ends), _sums(mix(every ^ _B), ends)
-            yield pa.record_batch([pa.array(np.zeros(len(size), np.int32)), part.column(0), pa.array(size), pa.array(a), pa.array(b)], ["kind", "doc_id", "n", "a", "b"])
+            yield pa.record_batch([pa.array(np.zeros(len(size), np.int32)), part.column(0), pa.array(size), pa.array(a), pa.array(b), _maps(every, ends)], names)
             once = np.array([not (x in seen or seen.add(x)) for x in a.tolist()], bool)
             held.append(every[np.repeat(once, size)])
             if sum(map(len, held)) >= COUNTED:
@@ -81,30 +100,28 @@ def _profile(n: int):
     return run
 
 
-def _in_order(every: np.ndarray, ends: np.ndarray, common: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every row's n-grams put in the global order, and how often each is known to occur."""
-    rank = np.zeros(len(every), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, every), len(common) - 1)
-        rank = np.where(common[at] == every, count[at], 0)
-    if rank.any():
-        order = np.lexsort((rank, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))  # stable: equal ranks stay by hash
-        every, rank = every[order], rank[order]
-    return every, rank
+def _in_order(every: np.ndarray, ends: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every row's n-grams put in the global order, and their levels."""
+    level = levels[(every & np.uint64(len(levels) - 1)).astype(np.int64)]
+    if level.any():
+        order = np.lexsort((level, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))  # stable: equal levels stay by hash
+        every, level = every[order], level[order]
+    return every, level
 
 
-def _prefixes(n: int, share: tuple[int, int], common: np.ndarray, count: np.ndarray):
+def _prefixes(n: int, share: tuple[int, int], held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = held.value
         for part, data, offsets in slices(batches, "text"):
             every, ends = _gathered(data, offsets, n)
-            every, rank = _in_order(every, ends, common, count)
+            every, level = _in_order(every, ends, levels)
             size = np.diff(ends)
             take = np.where(size > 0, size - -(-size * share[0] // share[1]) + 1, 0)
             row = np.repeat(np.arange(len(size)), take)
             place = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
             at = ends[row] + place
             doc = part.column(0).to_numpy(zero_copy_only=False)[row]
-            salts = 1 + rank[at] // LEADER_LOAD
+            salts = 1 + np.exp2(level[at] / STEPS).astype(np.int64) // LEADER_LOAD
             salt = np.where(salts > 1, (mix(doc.astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int64), 0)
             yield pa.record_batch(
                 [pa.array(every[at].view(np.int64)), pa.array(np.where(salts > 1, salt + 1, 0).astype(np.int32)), pa.array(doc), pa.array(size[row].astype(np.int32)), pa.array(place.astype(np.int32))],
@@ -129,22 +146,14 @@ def _segments(n: int):
     return run
 
 
-def _common(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shared n-grams, ORDERED_BY_COUNT at most, sorted by hash, with their counts."""
-    counts = profile.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("count"))
-    counts = save(counts, "counts")
-    least = 0
-    by_size = sorted(counts.groupBy(F.floor(F.log2("count")).cast("int").alias("p")).count().collect(), reverse=True)
-    total = 0
-    for p, n in by_size:  # 64 rows at most
-        if total + n > ORDERED_BY_COUNT:
-            least = 2 ** (p + 1)
-            break
-        total += n
-    rows = counts.where(F.col("count") >= least).toPandas()
-    token = rows["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], rows["count"].to_numpy(np.int64)[order]
+def _levels(profile: DataFrame) -> np.ndarray:
+    """The table of frequencies: 2**LEVEL_BITS bytes at any size of the input, of which the driver gets those that are not 0."""
+    spot = F.col("a").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int").alias("spot")
+    level = F.least(F.round(F.log2(F.sum("n")) * STEPS), F.lit(255)).cast("short").alias("level")
+    got = profile.where("kind = 1").groupBy(spot).agg(level).toArrow()
+    levels = np.zeros(1 << LEVEL_BITS, np.uint8)
+    levels[got.column("spot").to_numpy()] = got.column("level").to_numpy()
+    return levels
 
 
 def _links(docs: DataFrame, pairs: DataFrame, share: tuple[int, int], n: int) -> DataFrame:
@@ -159,23 +168,26 @@ def _links(docs: DataFrame, pairs: DataFrame, share: tuple[int, int], n: int) ->
     return total.where(share[1] * F.col("both") >= share[0] * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _candidates(rows: DataFrame, posts: DataFrame, x: tuple[str, str, str], y: tuple[str, str, str], share: tuple[int, int]) -> DataFrame:
-    """The pairs a < b (with sizes na, nb) in rows, each row having an n-gram that two documents (id, size, place) share, that may still reach the threshold.
+def _may_link(share: tuple[int, int]) -> Column:
+    """Whether the rows of two documents x and y (doc_id, n, place of the n-gram that they share) may belong to a link: by size and by place.
 
-    Three exact tests: the sizes are close enough; the first n-gram that a pair shares leaves room for the overlap that
-    is needed; and the prefixes share enough of their n-grams. The last holds since of the document whose prefix ends
-    first in the global order, every n-gram of the prefix that the other document has is in the other's prefix as well,
-    and only so many n-grams may be missing.
+    The sizes must be close enough, and the first n-gram that a pair shares must leave room for the overlap that is needed.
     """
-    needed = F.ceil((F.col(x[1]) + F.col(y[1])) * share[0] / (share[0] + share[1]))
-    rows = rows.where(F.col(x[0]) != F.col(y[0])).where(share[1] * F.least(x[1], y[1]) >= share[0] * F.greatest(x[1], y[1]))
-    rows = rows.where(F.least(F.col(x[1]) - F.col(x[2]), F.col(y[1]) - F.col(y[2])) >= needed)
-    up = F.col(x[0]) < F.col(y[0])
-    pairs = rows.select(*(F.when(up, F.col(p)).otherwise(F.col(q)).alias(k) for p, q, k in ((x[0], y[0], "a"), (y[0], x[0], "b"), (x[1], y[1], "na"), (y[1], x[1], "nb")))).distinct()
-    both = pairs.join(posts.select(F.col("doc_id").alias("a"), "token"), "a").join(posts.select(F.col("doc_id").alias("b"), "token"), ["b", "token"])
-    needed = F.ceil((F.col("na") + F.col("nb")) * share[0] / (share[0] + share[1]))
-    spare = lambda n: F.col(n) - F.ceil(F.col(n) * share[0] / share[1]) + 1 - (F.col(n) - needed)
-    return both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.least(spare("na"), spare("nb"))).drop("shared")
+    n, m = F.col("n_x"), F.col("n_y")
+    close = share[1] * F.least(n, m) >= share[0] * F.greatest(n, m)
+    return close & (F.least(n - F.col("place_x"), m - F.col("place_y")) >= F.ceil((n + m) * share[0] / (share[0] + share[1])))
+
+
+def _maps_agree(n: Column, m: Column, x: Column, y: Column, share: tuple[int, int]) -> Column:
+    """Whether documents of n and m n-grams with the maps x and y may overlap by the share."""
+    apart = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, MAP_BITS // 64)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    return apart <= n + m - 2 * F.ceil((n + m) * share[0] / (share[0] + share[1]))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """The distinct pairs a < b with sizes na, nb of rows of x and y."""
+    up = F.col("doc_id_x") < F.col("doc_id_y")
+    return rows.select(*(F.when(up, F.col(p)).otherwise(F.col(q)).alias(k) for p, q, k in (("doc_id_x", "doc_id_y", "a"), ("doc_id_y", "doc_id_x", "b"), ("n_x", "n_y", "na"), ("n_y", "n_x", "nb")))).distinct()
 
 
 def _by_rows(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
@@ -194,35 +206,42 @@ def similarity_components(docs: DataFrame, n: int = WORDS, share: tuple[int, int
     docs = docs.select("doc_id", "text")
     profile = save(docs.mapInArrow(_profile(n), _PROFILE), "profile", "kind")
     own = profile.where("kind = 0").select("doc_id", "n", "a", "b")
+    maps = profile.where("kind = 0").select("doc_id", "map")
     if own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
         return own.select("doc_id", F.col("n").alias("n_shingles")).join(_by_rows(docs, n, share), "doc_id", "left")
     classes = save(own.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
-    token, count = _common(profile)
     # copies of a class's representative take no further part
     copies = own.where("n > 0").join(classes.where("rep < last"), ["n", "a", "b"]).where("doc_id > rep").select("doc_id").distinct()
     copies = save(copies, "copies")
     alone = docs.where("doc_id is not null").join(checked(copies), "doc_id", "left_anti")
 
-    posts = alone.mapInArrow(_prefixes(n, share, token, count), "token long, salt int, doc_id long, n int, place int")
+    held = docs.sparkSession.sparkContext.broadcast(_levels(profile))
+    posts = alone.mapInArrow(_prefixes(n, share, held), "token long, salt int, doc_id long, n int, place int")
     posts = posts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(share[1] / share[0]))).cast("int"))
     several = F.count("*").over(Window.partitionBy("token", "salt")) > 1
     posts = save(posts.withColumn("several", several).where("several or salt > 0").drop("several"), "posts")
+    held.destroy()
     # a list's leaders: the document that shares most of its own prefix (the one that others were made from), and one by hash
     support = posts.groupBy("doc_id").agg((F.count("*") / F.first("n")).alias("support"))
     led = Window.partitionBy("token", "salt", "band")
     me = F.struct("doc_id", "n", "place")
     ranked = posts.join(support, "doc_id").withColumns({"by_share": F.max(F.struct("support", me.alias("x"))).over(led)["x"], "by_hash": F.min(F.struct(F.xxhash64("doc_id").alias("h"), me.alias("x"))).over(led)["x"]})
     rows = ranked.select(me.alias("x"), F.explode(F.array("by_share", "by_hash")).alias("y")).select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("doc_id", "n", "place")))
-    first = save(_candidates(rows, posts, ("doc_id_x", "n_x", "place_x"), ("doc_id_y", "n_y", "place_y"), share), "pairs")
-    groups = save(connected_components(_links(docs, first, share, n)), "groups")
+    first = save(_pairs(rows.where("doc_id_x <> doc_id_y").where(_may_link(share))), "pairs")
+    mapped = first.join(maps.select(F.col("doc_id").alias("a"), F.col("map").alias("x")), "a").join(maps.select(F.col("doc_id").alias("b"), F.col("map").alias("y")), "b")
+    near = save(mapped.where(_maps_agree(F.col("na"), F.col("nb"), F.col("x"), F.col("y"), share)).select("a", "b", "na", "nb"), "near")
+    groups = save(connected_components(_links(docs, near, share, n)), "groups")
 
-    # what the leaders did not settle: lists that still hold several components
+    # what the leaders did not settle: lists that still hold several components, each row with its map, in blocks
     mine = posts.select("token", "doc_id", "n", "place").join(groups, posts["doc_id"] == groups["node"], "left").select("token", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"))
-    open_ = mine.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    mine = save(mine.join(open_, "token", "left_semi"), "open")
-    x, y = (mine.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "place", "component"))) for s in "xy")
-    rest = x.join(y, "token").where("component_x < component_y")
-    rest = save(_candidates(rest, posts, ("doc_id_x", "n_x", "place_x"), ("doc_id_y", "n_y", "place_y"), share).join(first.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    open_ = mine.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high").select("token", "blocks")
+    mine = mine.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    mine = save(mine.join(maps, "doc_id"), "open")
+    # a list of k blocks is compared k times, each time with one of its blocks on the one side
+    x, y = (mine.select("token", side.alias("block"), *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "place", "component", "map"))) for s, side in (("x", F.col("block")), ("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))))
+    may = (F.col("component_x") < F.col("component_y")) & _may_link(share) & _maps_agree(F.col("n_x"), F.col("n_y"), F.col("map_x"), F.col("map_y"), share)
+    rest = x.withColumnsRenamed({"token": "token_x", "block": "block_x"}).join(y, (F.col("token_x") == F.col("token")) & (F.col("block_x") == F.col("block")) & may)
+    rest = save(_pairs(rest).join(first.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
         more = _links(docs, rest, share, n)
         groups = save(connected_components(more.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))), "groups")
