@@ -36,7 +36,7 @@ HELD_OUT, FEW = 5, 200
 REPEATED = 0.3
 #: No byte is less probable than this.
 LEAST_P = 1e-12
-#: Scored n-grams (12 bytes each) that a task may hold.
+#: Scored n-grams (12 bytes each, 36 MB) that the driver collects and a task may hold.
 HELD_GRAMS = 3_000_000
 #: Distinct n-grams that a task gathers before it passes them on.
 GATHERED = 400_000
@@ -150,7 +150,7 @@ def _perplexity(held):
             langs, logp = np.array(_langs(part), object), np.zeros(len(code))
             for lang in set(langs):
                 own = (langs == lang)[row]
-                gram, value = tables.get(lang, (np.zeros(1, np.int64), np.full(1, -np.log(256))))
+                gram, value = tables.get(lang, (np.zeros(1, np.int64), np.full(1, -np.log(256), np.float32)))
                 logp[own] = value[np.minimum(np.searchsorted(gram, code[own]), len(gram) - 1)]
             total = np.concatenate(([0.0], np.cumsum(logp)))[offsets]
             size = np.diff(offsets)
@@ -169,6 +169,20 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([part.column(0)[r].as_py()] * len(gram), pa.int64()), pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(count.astype(np.int64))], ["uid", "lang", "gram", "count"])
 
 
+def _tables(scores: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of each language the n-grams, sorted, with their logp: scores has HELD_GRAMS rows at most, and so few bytes are collected for each that the driver holds them."""
+    langs = [r.lang for r in scores.select("lang").distinct().collect()]
+    if not langs:
+        return {}
+    code = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("short").alias("code")
+    got = scores.select(code, "gram", F.col("logp").cast("float").alias("logp")).toArrow()
+    code, gram, logp = (got.column(c).to_numpy() for c in ("code", "gram", "logp"))
+    del got
+    order = np.lexsort((gram, code))
+    ends = np.searchsorted(code[order], np.arange(1, len(langs) + 2))
+    return {x: (gram[order[a:b]], logp[order[a:b]]) for x, a, b in zip(langs, ends[:-1], ends[1:], strict=True)}
+
+
 class Scorer:
     """Adds the columns __repeated and __perplexity to documents whose n-grams have been scored."""
 
@@ -176,10 +190,7 @@ class Scorer:
         self.scores = save(score(_gather(False)(docs), model), "scores")
         self.held = None
         if self.scores.limit(held + 1).count() <= held:
-            got = self.scores.orderBy("lang", "gram").toArrow()
-            langs = got.column("lang").combine_chunks().dictionary_encode()
-            at, gram, logp = langs.indices.to_numpy(), got.column("gram").to_numpy(), got.column("logp").to_numpy()
-            self.held = docs.sparkSession.sparkContext.broadcast({x: (gram[at == i], logp[at == i]) for i, x in enumerate(langs.dictionary.to_pylist())})
+            self.held = docs.sparkSession.sparkContext.broadcast(_tables(self.scores))
 
     def __call__(self, docs: DataFrame) -> DataFrame:
         repeated = T.StructType([*docs.schema.fields, T.StructField("__repeated", T.DoubleType())])
