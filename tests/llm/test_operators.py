@@ -67,17 +67,25 @@ def cut_lines(texts, sites):
         parts = t.split("\n")
         hit = [x.strip(edges) in common for x in parts]
         kept = "\n".join(x for x, h in zip(parts, hit) if not h)
-        if sum(hit) >= 3 and 2 * sum(hit) > sum(1 for x in parts if x.strip(edges)) or not kept.strip(edges + "\n"):
-            kept = t
+        if any(hit) and not kept.strip(edges + "\n"):
+            ids = sorted({j for j, other, _, _ in texts if other == t and j is not None})
+            kept = t if len(ids) > 1 and i == ids[0] else ""
         out.append((i, kept, len(parts), sum(hit) if kept != t else 0))
     return out
 
 
-@pytest.mark.parametrize("held", [line_dedup.HELD_KEYS, 0])
-def test_line_dedup(docs, held):
-    got = rows(line_dedup.dedup_lines(docs, 4, held).select("doc_id", "text", "__lines", "__removed"))
-    assert sorted(map(repr, got)) == sorted(map(repr, cut_lines(TEXTS, 4)))
-    assert line_dedup.dedup_lines(docs, 4, held).columns[: len(docs.columns)] == docs.columns
+@pytest.mark.parametrize(("held", "few"), [(line_dedup.HELD_KEYS, 9), (0, 0)])
+def test_line_dedup(spark, docs, nothing, held, few):
+    # three lines that are all of 30 documents, in copies of two kinds and one by itself, and part of another
+    kinds = ["menu\ncookies\nfooter", "footer\n\ncookies", "cookies\nmenu"]
+    more = [(100 + i, kinds[i % 2 if i else 2], f"m{i}", "en") for i in range(30)] + [(200, "menu\ncookies\nown\nfooter", "m0", "en"), (None, kinds[0], "m1", "en"), (101, kinds[1], "m1", "en")]
+    df = docs.unionByName(spark.createDataFrame(more, SCHEMA), allowMissingColumns=True)
+    out = line_dedup.dedup_lines(df, 4, held, few)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    got = [(r.doc_id, r.text, r["__lines"], r["__removed"]) for r in out.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, cut_lines([*TEXTS, *more], 4)))
+    assert sum(t == "" for i, t, *_ in got if i and i >= 100) == 28 and (200, "own", 4, 3) in got
+    assert rows(line_dedup.dedup_lines(nothing, 4, held, few)) == []
 
 
 def test_line_dedup_near_threshold_is_exact(spark):

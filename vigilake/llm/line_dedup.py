@@ -4,12 +4,15 @@ How many distinct sites a line stands on is estimated by one HyperLogLog sketch
 Lines whose estimate is near the threshold get an exact distinct count of their sites; far ones are decided by the sketch.
 
 A line is what stands between line feeds, without white space at its ends; blank lines are never boilerplate. All
-occurrences of a boilerplate line go, with the line feed. A document in which boilerplate lines are many (MANY) and
-more than half of the non-blank lines is a copy as a whole, which is left for document dedup: its text stays as it is,
-and so does a text that would be empty.
+occurrences of a boilerplate line go, with the line feed, however many of a document's lines they are. A text of which
+only white space would be left becomes empty. So that a text which is copied as a whole is not lost with all of its
+copies, the one with the least doc_id of two documents or more with an equal such text keeps it as it is.
+
+Lines are known by their MD5: among 10**12 lines, two different ones are taken for one with a probability of 10**-15.
 
 Defined results: a null text has no lines and stays null; a null source counts as no site; repeated rows are counted
-once per site and each give a row; extra columns are kept by `dedup_lines`. Empty tables give empty results.
+once per site and each give a row (rows that repeat the id and the text of a text's keeper keep it all); a row with a
+null doc_id never keeps such a text; extra columns are kept by `dedup_lines`. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigilake.llm.common import save, table
+from vigilake.llm.common import BROADCAST_ROWS, save, table
 from vigilake.llm.words import slices
 
 #: A line on at least so many distinct sites is boilerplate.
@@ -30,8 +33,6 @@ MIN_SITES = 10
 #: log2 of the sketch's registers, and the relative distance from the threshold within which the count is made exact
 #: (over five standard errors of 1.04 / sqrt(4096)).
 LG_K, NEAR = 12, 0.1
-#: From so many boilerplate lines on, a majority of them means that the document is a copy.
-MANY = 3
 #: A task holds at most so many keys of boilerplate lines (16 bytes each); more are joined by a shuffle.
 HELD_KEYS = 500_000
 
@@ -59,37 +60,48 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sketch.where(~near).select("line_key", "estimate").unionByName(exact)
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, held: int = HELD_KEYS) -> DataFrame:
-    """docs (text, source, ...) with the boilerplate lines cut from text, and the columns __lines and __removed (numbers of lines)."""
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, held: int = HELD_KEYS, few: int = BROADCAST_ROWS) -> DataFrame:
+    """docs (doc_id, text, source, ...) with the boilerplate lines cut from text, and the columns __lines and __removed (numbers of lines)."""
     common = save(boilerplate_lines(docs.select("text", "source"), min_sites).select("line_key"), "boilerplate")
     keys = common.limit(held + 1).collect()
     if len(keys) <= held:
         known = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r.line_key) for r in keys))
-        schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("__lines long, __removed long").fields])
-        return docs.mapInArrow(_cut(known), schema)
-    return _cut_by_join(docs, common)
+        cut = lambda df: df.mapInArrow(_cut(known), T.StructType([*df.schema.fields, *T.StructType.fromDDL("__lines long, __removed long, __whole binary").fields]))
+    else:
+        cut = lambda df: _cut_by_join(df, common)
+    # texts that would be empty, and of those with copies the document that keeps the text
+    bare = cut(docs.select("doc_id", "text")).where("__whole is not null").select("doc_id", "__whole")
+    kept = save(bare.groupBy("__whole").agg(F.min("doc_id").alias("__first"), F.max("doc_id").alias("last")).where("__first < last").drop("last"), "kept")
+    out = cut(docs)
+    if kept.limit(few + 1).count() <= few:
+        out = out.join(F.broadcast(kept), "__whole", "left")
+    else:  # only the texts that would be empty are shuffled
+        out = out.where("__whole is null").withColumn("__first", F.lit(None).cast(kept.schema["__first"].dataType)).unionByName(out.where("__whole is not null").join(kept, "__whole", "left"))
+    stays = F.coalesce(F.col("__first") == F.col("doc_id"), F.lit(False))
+    new = {"text": F.when(F.col("__whole").isNotNull() & ~stays, "").otherwise(F.col("text")), "__removed": F.when(stays, 0).otherwise(F.col("__removed")).cast("long")}
+    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in [*docs.columns, "__lines", "__removed"]))
 
 
 def _cut(known):
+    """The text without boilerplate lines; if only white space is left, the text as it was and its key in __whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = known.value
         for part, _, _ in slices(batches, "text"):
-            at, new, lines, removed = part.schema.get_field_index("text"), [], [], []
+            at, new, lines, removed, whole = part.schema.get_field_index("text"), [], [], [], []
             for text in part.column(at):
                 text = text.as_py()
                 parts = [] if text is None else text.split("\n")
-                bare = [x.strip(_EDGES) for x in parts]
-                stays = [not x or md5(x.encode()).digest() not in keys for x in bare]
+                stays = [not (x := line.strip(_EDGES)) or md5(x.encode()).digest() not in keys for line in parts]
                 hits = len(stays) - sum(stays)
                 kept = "\n".join(x for x, y in zip(parts, stays, strict=True) if y) if hits else text
-                if hits and (hits >= MANY and 2 * hits > sum(map(bool, bare)) or not kept.strip(_EDGES + "\n")):
-                    kept, hits = text, 0
-                new.append(kept)
+                bare = hits > 0 and not kept.strip(_EDGES + "\n")
+                new.append(text if bare else kept)
+                whole.append(md5(text.encode()).digest() if bare else None)
                 lines.append(len(parts))
                 removed.append(hits)
-            columns = [*part.columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())]
+            columns = [*part.columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(whole, pa.binary())]
             columns[at] = pa.array(new, pa.string())
-            yield pa.record_batch(columns, [*part.schema.names, "__lines", "__removed"])
+            yield pa.record_batch(columns, [*part.schema.names, "__lines", "__removed", "__whole"])
 
     return run
 
@@ -101,16 +113,14 @@ def _cut_by_join(docs: DataFrame, common: DataFrame) -> DataFrame:
     spots = texts.select("text_key", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("text_key", "at", _key(_line(F.col("line"))).alias("line_key")).distinct()
     # distinct above is per text: a line that a text repeats keeps all its places
     hit = spots.join(common, "line_key", "left_semi").groupBy("text_key").agg(F.collect_list("at").alias("__hit"))
-    out = docs.withColumn("__key", _key(F.col("text"))).join(hit.withColumnRenamed("text_key", "__key"), "__key", "left").drop("__key")
+    out = docs.withColumn("__key", _key(F.col("text"))).join(hit.withColumnRenamed("text_key", "__key"), "__key", "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__hit", i)), "\n")
-    filled = F.size(F.filter(parts, lambda x: _line(x) != ""))
-    is_copy = (F.size("__hit") >= MANY) & (2 * F.size("__hit") > filled)
-    out = out.withColumn("__lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    out = out.withColumn("__new", F.when(F.col("__hit").isNull() | is_copy, F.col("text")).otherwise(kept))
-    out = out.withColumn("__new", F.when(F.btrim("__new", F.lit(_EDGES + "\n")) == "", F.col("text")).otherwise(F.col("__new")))
-    out = out.withColumn("__removed", F.when(F.col("__hit").isNotNull() & (F.col("__new") != F.col("text")), F.size("__hit")).otherwise(0).cast("long"))
-    return out.select(*(F.col("__new").alias("text") if c == "text" else F.col(c) for c in docs.columns), "__lines", "__removed")
+    out = out.withColumn("__new", F.when(F.col("__hit").isNull(), F.col("text")).otherwise(kept))
+    out = out.withColumn("__bare", F.col("__hit").isNotNull() & (F.btrim("__new", F.lit(_EDGES + "\n")) == ""))
+    new = {"text": F.when(F.col("__bare"), F.col("text")).otherwise(F.col("__new"))}
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
+    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns), lines.alias("__lines"), F.when(F.col("__hit").isNull(), 0).otherwise(F.size("__hit")).cast("long").alias("__removed"), F.when(F.col("__bare"), F.col("__key")).alias("__whole"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,13 +135,15 @@ WITH t AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FRO
 e AS (SELECT doc_id, source, i, trim(parts[i], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM t)),
 c AS (SELECT line FROM e WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
 g AS (
-  SELECT e.doc_id, count(c.line) AS hits, count(*) FILTER (WHERE e.line <> '') AS filled,
-         string_agg(t.parts[e.i], chr(10) ORDER BY e.i) FILTER (WHERE c.line IS NULL) AS kept
+  SELECT e.doc_id, count(c.line) AS hits, string_agg(t.parts[e.i], chr(10) ORDER BY e.i) FILTER (WHERE c.line IS NULL) AS kept
   FROM e JOIN t ON t.doc_id = e.doc_id LEFT JOIN c ON c.line = e.line GROUP BY e.doc_id),
 k AS (
-  SELECT t.doc_id, len(t.parts) AS n_lines, hits, text,
-         CASE WHEN hits = 0 OR (hits >= 3 AND 2 * hits > filled) OR trim(coalesce(kept, ''), chr(32) || chr(9) || chr(13) || chr(11) || chr(12) || chr(10)) = '' THEN text ELSE kept END AS kept
-  FROM t JOIN g ON g.doc_id = t.doc_id)
-SELECT doc_id, n_lines, CASE WHEN kept <> text THEN hits ELSE 0 END AS n_removed, sha256(kept) AS kept_sha256, length(kept) AS kept_chars FROM k
+  SELECT t.doc_id, len(t.parts) AS n_lines, hits, text, coalesce(kept, '') AS kept,
+         hits > 0 AND trim(coalesce(kept, ''), chr(32) || chr(9) || chr(13) || chr(11) || chr(12) || chr(10)) = '' AS bare
+  FROM t JOIN g ON g.doc_id = t.doc_id),
+w AS (SELECT *, bare AND doc_id = min(doc_id) OVER (PARTITION BY text) AND doc_id < max(doc_id) OVER (PARTITION BY text) AS whole FROM k),
+r AS (SELECT doc_id, n_lines, CASE WHEN whole THEN 0 ELSE hits END AS n_removed, CASE WHEN whole THEN text WHEN bare THEN '' ELSE kept END AS kept FROM w)
+SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256, length(kept) AS kept_chars FROM r
+UNION ALL SELECT doc_id, 0, 0, sha256(''), 0 FROM t WHERE text IS NULL
 """,
 }
