@@ -15,8 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that stand on many sites."""
-    out = line_dedup.dedup_lines(docs).drop("__lines", "__removed")
+    """Texts without the lines that stand on many sites; documents of which nothing is left go (of copies, one keeps its text)."""
+    out = line_dedup.dedup_lines(docs).where("__removed = 0 or text <> ''").drop("__lines", "__removed")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
