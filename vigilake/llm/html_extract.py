@@ -1,15 +1,24 @@
 """Main text of web pages: the article without menus, headers, footers, sidebars, notices, adverts, forms and comments.
 
-The standard library's parser streams its events into blocks (lines): the text between two block tags, with the number of
-tags in it and the container it stands in. Each line's text-to-tag ratio is smoothed over its neighbours by a Gaussian,
-and a threshold that splits the smoothed ratios in two clusters marks dense lines. Containers are the regions: those
-that hold dense lines are selected, only <article> and <main> where a page has them, and every line of a selected region stays,
-however short. Boilerplate is known by its tag, role, class or id and never stays.
+The standard library's parser streams its events into lines: the text between two block tags, with the number of tags in
+it, its characters in links, and the container that it stands in. Each line's ratio of text outside links to tags is smoothed over its
+neighbours by a Gaussian, and a threshold that splits the smoothed ratios in two clusters marks the dense lines.
+
+1. The region: weights (characters of dense lines) are added up along the tree of containers; from the root down, the
+   child that holds MOST of the weight is entered, unless an <h1> would be left outside. The region is where no single child
+   does, or an <article> or <main> that was entered: what is in it belongs together. On a page that has such elements only
+   what is in them counts (in those with dense lines, if any); without them the ratios decide alone.
+2. In the region every line stays, however short, but those of a container that is nothing but links, and those marked
+   weakly as boilerplate (a part of a class name or id, such as `promo` in `promo-box`, or any mark on a paragraph or list
+   item) without a dense line. Marked lines count as dense by their own ratio, not by their neighbours'.
+3. What HTML itself says to be no article text never counts and never stays: script, style, nav, aside, footer, form and
+   their like, a header outside of an article, hidden elements, and containers whose role, or whose whole class name or id,
+   is that of boilerplate (`class="comments"`).
 
 Text: character references decoded, white space inside a block turned into one space, ends trimmed, blocks in page order,
-one line feed between them. Defined results: a null or empty html, or one without content, gives an empty text;
-markup that the end of the page cuts off is dropped; repeated rows each give a row; other columns are not read.
-An empty table gives an empty result.
+one line feed between them. Defined results: a null or empty html, or one without content, gives an empty text; a page
+without a dense line keeps all lines but marked ones; markup that the end of the page cuts off is dropped; repeated rows
+each give a row; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 from html.parser import HTMLParser
 
@@ -28,13 +38,13 @@ from vigilake.llm.common import table
 
 #: Width of the smoothing, in lines.
 SIGMA = 1.0
-#: A region outside <article> and <main> counts beside the densest one if it holds this share of its dense text.
-BESIDE = 0.3
+#: A container is entered if it holds this share of the dense text of the one around it; one is nothing but links from this share of its characters on.
+MOST, LINKED = 0.9, 0.9
 
 # fixed values: HTML element names by role
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROP = frozenset("aside button canvas datalist dialog footer form head iframe map math menu nav noscript object option script select style svg template textarea title".split())
-_CONTAINER = frozenset("article body center details div fieldset main section table".split())
+_CONTAINER = frozenset("article body center details div fieldset main ol section table ul".split())
 _BLOCK = _CONTAINER | _DROP | frozenset("address blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr legend li ol p pre summary tbody td tfoot th thead tr ul".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 _HINTS = frozenset(
@@ -44,32 +54,51 @@ _HINTS = frozenset(
 )
 
 
+@dataclass(slots=True)
+class Line:
+    """A block's text, its tags, characters in links, container, the number of the weakly marked element around it (0: none), whether it is an <h1>, and the number of the outermost <article> or <main> around it (0: none)."""
+
+    text: str
+    tags: int
+    linked: int
+    container: int
+    marked: int
+    title: bool
+    article: int
+
+
+@dataclass(slots=True)
+class _Open:
+    tag: str
+    dropped: bool
+    container: int
+    marked: int
+    article: int
+
+
 class _Lines(HTMLParser):
-    """Collects (text, tags, characters in links, container, article) for each block that is not boilerplate."""
+    """Collects the lines that are not boilerplate by HTML itself, and the tree of containers (parents[i] is that of container i)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, int]] = []
-        self.stack: list[tuple[str, bool, int, int]] = []  # tag, dropped, container, number of the outermost article or main
+        self.lines: list[Line] = []
+        self.parents = [0]
+        self.whole = {0: False}  # containers that are not looked into any further
+        self.stack = [_Open("", False, 0, 0, 0)]
         self.parts: list[str] = []
-        self.tags = self.linked = self.containers = self.articles = 0
+        self.tags = self.linked = self.marks = self.articles = 0
         self.link = False
 
-    @property
-    def top(self) -> tuple[str, bool, int, int]:
-        return self.stack[-1] if self.stack else ("", False, 0, 0)
-
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, _, container, main = self.top
-            self.lines.append((text, self.tags, self.linked, container, main))
+            self.lines.append(Line(text, self.tags, self.linked, self.stack[-1].container, self.stack[-1].marked, self.stack[-1].tag == "h1", self.stack[-1].article))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCK:
             self.flush()
-            if self.stack and self.stack[-1][0] in ("p", "li", "dt", "dd") and (self.stack[-1][0] == tag or self.stack[-1][0] == "p"):
+            if self.stack[-1].tag in ("p", "li", "dt", "dd") and self.stack[-1].tag in (tag, "p"):
                 self.stack.pop()  # its end tag may be left out
         self.tags += 1
         if tag == "a":
@@ -78,44 +107,52 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag in _VOID:
             return
-        _, dropped, container, main = self.top
-        drop = tag in _DROP or (tag == "header" and not main)
+        top = self.stack[-1]
+        drop, weak = tag in _DROP or (tag == "header" and not top.article), False
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and tag not in ("html", "body", "article", "main"):
-                words = re.split(r"[^a-z0-9]+", value.lower())
-                drop |= not _ROLES.isdisjoint(words) if name == "role" else not _HINTS.isdisjoint(words)
-            elif name in ("class", "id") and value and tag == "article":  # reader comments are often articles of their own
-                drop |= not {"comment", "comments", "ad", "advert", "sponsored", "promo"}.isdisjoint(re.split(r"[^a-z0-9]+", value.lower()))
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
+            if name == "hidden" or name == "aria-hidden" and value == "true":
                 drop = True
-        if tag in _CONTAINER or drop:
-            if not drop and not dropped:
-                self.containers += 1
-                container = self.containers
-            if drop and tag not in _BLOCK and not dropped:
+            elif name == "role" and value:
+                drop |= not _ROLES.isdisjoint(value.lower().split())
+            elif name in ("class", "id") and value and tag not in ("html", "body", "main"):
+                names = value.lower().split()
+                whole = not _HINTS.isdisjoint(names)
+                drop |= whole and tag in _CONTAINER
+                weak |= whole or not _HINTS.isdisjoint(re.split(r"[^a-z0-9]+", value.lower()))
+        if tag in _BLOCK or drop or weak:
+            container, marked, article = top.container, top.marked, top.article
+            if not drop and not top.dropped:
+                if tag in _CONTAINER:
+                    self.parents.append(container)
+                    container = len(self.parents) - 1
+                    self.whole[container] = tag in ("article", "main")
+                    if self.whole[container] and not article:
+                        self.articles += 1
+                        article = self.articles
+                if weak and not marked:
+                    self.marks += 1
+                    marked = self.marks
+            if drop and tag not in _BLOCK and not top.dropped:
                 self.parts.append(" ")
-            if tag in ("article", "main") and not main and not drop and not dropped:
-                self.articles += 1
-                main = self.articles
-            self.stack.append((tag, dropped or drop, container, main))
+            self.stack.append(_Open(tag, top.dropped or drop, container, marked, article))
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.link = False
         if tag in _BLOCK:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].tag == tag:
                 del self.stack[k:]
                 break
 
     def handle_data(self, data: str) -> None:
-        if not self.top[1]:
+        if not self.stack[-1].dropped:
             self.parts.append(data)
             if self.link:
                 self.linked += len(data)
 
-    def finish(self) -> list[tuple[str, int, int, int, int]]:
+    def finish(self) -> list[Line]:
         rest = self.rawdata
         if rest and self.cdata_elem is None and not re.match(r"<[a-zA-Z!/?]", rest):
             self.handle_data(unescape(rest))
@@ -142,6 +179,35 @@ def split_threshold(x: np.ndarray) -> float:
     return t
 
 
+def _sums(values: list[int], of: list[int], parents: list[int]) -> list[int]:
+    """For each container the sum of the values that stand in it or below it."""
+    out = [0] * len(parents)
+    for v, c in zip(values, of, strict=True):
+        out[c] += v
+    for c in range(len(parents) - 1, 0, -1):  # a container's number is above its parent's
+        out[parents[c]] += out[c]
+    return out
+
+
+def dense_lines(lines: list[Line]) -> np.ndarray:
+    ratio = np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
+    # as square roots, so that one very long paragraph does not make all others look thin
+    smooth = np.sqrt(smoothed(ratio))
+    marked = np.array([x.marked > 0 for x in lines])
+    return np.where(marked, np.sqrt(ratio), smooth) >= max(split_threshold(smooth), 1e-9)
+
+
+def region_of(weight: list[int], titles: list[int], parents: list[int], whole: dict[int, bool]) -> int:
+    """The container that holds most of the dense text but no child of which does."""
+    children = defaultdict(list)
+    for c in range(1, len(parents)):
+        children[parents[c]].append(c)
+    at = 0
+    while not whole[at] and (inner := max(children[at], key=weight.__getitem__, default=None)) is not None and weight[inner] >= MOST * weight[at] and titles[inner] == titles[at]:
+        at = inner
+    return at
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -150,21 +216,25 @@ def main_text(html: str | None) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _, _ in lines])
-    smooth = smoothed(ratio)
-    dense = smooth >= split_threshold(smooth)
-    weight: dict[int, int] = defaultdict(int)
-    if any(article for *_, article in lines):
-        region = [article for *_, article in lines]
-        need = 0.0
-    else:
-        region = [container + 1 for *_, container, _ in lines]
-        need = BESIDE
-    for k, r in enumerate(region):
-        weight[r] += len(lines[k][0]) * bool(r and dense[k])
-    most = max(weight.values())
-    keep = {r for r, w in weight.items() if r and (w >= need * most and w or not most)}
-    return "\n".join(line[0] for line, r in zip(lines, region, strict=True) if r in keep)
+    parents, of = parser.parents, [x.container for x in lines]
+    dense = dense_lines(lines)
+    if articles := {x.article for x in lines if x.article}:
+        articles = {x.article for x, d in zip(lines, dense, strict=True) if d and x.article} or articles
+    counts = [not articles or x.article in articles for x in lines]
+    sizes = [len(x.text) for x in lines]
+    heavy = any(d and c for d, c in zip(dense, counts, strict=True))
+    weight = _sums([n * bool(c and (d or not heavy)) for n, d, c in zip(sizes, dense, counts, strict=True)], of, parents)
+    at = region_of(weight, _sums([x.title and c for x, c in zip(lines, counts, strict=True)], of, parents), parents, parser.whole)
+    inside = [c == at for c in range(len(parents))]
+    for c in range(at + 1, len(parents)):
+        inside[c] = inside[parents[c]]
+    # menus: containers of several lines of nothing but links
+    total, linked, several = _sums(sizes, of, parents), _sums([x.linked for x in lines], of, parents), _sums([1] * len(lines), of, parents)
+    menu = [c != at and several[c] > 1 and linked[c] >= LINKED * total[c] for c in range(len(parents))]
+    for c in range(at + 1, len(parents)):
+        menu[c] |= inside[c] and c != at and menu[parents[c]]
+    good = {x.marked for x, d in zip(lines, dense, strict=True) if d}
+    return "\n".join(x.text for x, c in zip(lines, counts, strict=True) if c and inside[x.container] and not menu[x.container] and (not x.marked or x.marked in good))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
