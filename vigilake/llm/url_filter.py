@@ -7,8 +7,11 @@ an explicit allow of any member goes before a block of any other; without either
 Host: what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: what follows up to `?`, `#` or
 the end. A rule fits its host and all subdomains of it if the path starts with the rule's path.
 
-Edges come from <link rel=canonical href> and <meta http-equiv=refresh> in the html, if the target is absolute or starts
-with `/`, and from an optional table of redirects (source, target). Urls that differ only in their fragment are one node.
+Edges come from every <link> whose rel has the word canonical and every <meta http-equiv=refresh> of a page, outside of
+comments and scripts, and from an optional table of redirects (source, target). Targets are resolved against the page's
+url (absolute, `//host/x`, `/x`, `x`, `../x`, `?q`; <base> is not read) after character references for the
+characters of urls are decoded; those of other schemes (`mailto:x`) are none. Urls are one node if they differ only in
+their fragment, the case of scheme and host, or dot segments.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule and no aliases; a null html has no
 edges; repeated rows each give a row; of rules with the same host and path, block counts before allow; other columns are not read.
@@ -28,10 +31,12 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 INLINE_RULES = 64
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: Tags with their quoted values, what hides tags, and the value of an attribute (three ways of quoting).
+_TAG = r"(?is)<(?:link|meta)(?=[\s/])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>"
+_HIDDEN = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script|$)"
+_VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+# fixed values: character references of characters that stand in urls
+_REFERENCES = {"&quot;": '"', "&apos;": "'", "&#39;": "'", "&#47;": "/", "&#x2f;": "/", "&#58;": ":", "&#x3a;": ":", "&#63;": "?", "&#x3f;": "?", "&#61;": "=", "&#x3d;": "=", "&#38;": "&", "&#x26;": "&", "&amp;": "&"}
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -62,19 +67,67 @@ def with_rule(urls: DataFrame, rules: DataFrame, inline: int = INLINE_RULES) ->
     return urls.join(found, ["host", "path"], "left")
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, character references decoded; empty if there is none."""
+    pattern = rf"(?is)[\s\"'/]{name}{_VALUE}"
+    value = F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
+    for reference, character in _REFERENCES.items():  # & last, so that nothing is decoded twice
+        value = F.regexp_replace(value, f"(?i){reference}", character)
+    return F.regexp_replace(value, r"^[\s]+|[\s]+$|[\t\r\n]", "")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its segments . and .. ."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x)))
+
+    kept = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step)
+    clean = F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(F.regexp_like(path, F.lit(r"(?s)/\.\.?(?:/|$)")), clean).otherwise(path)
+
+
 def _node(url: Column) -> Column:
-    return F.regexp_replace(url, r"(?s)#.*$", "")
+    """What urls have in common that are one node: no fragment, scheme and host in small letters, no dot segments."""
+    site = F.translate(F.regexp_extract(url, r"^(?s)(.*?://[^/?#]*)", 1), _UPPER, _LOWER)
+    path = F.regexp_extract(url, r"^(?s).*?://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(url, r"^(?s).*?://[^?#]*(\?[^#]*)", 1)
+    return F.when(F.instr(url, "://") > 0, F.concat(site, _without_dots(path), query))
+
+
+def _resolved(url: Column, target: Column) -> Column:
+    """The absolute url of a page's target; null if it is none."""
+    scheme = F.regexp_extract(url, r"^(?s)(.*?)://", 1)
+    site = F.regexp_extract(url, r"^(?s)(.*?://[^/?#]*)", 1)
+    page = F.regexp_extract(url, r"^(?s)(.*?://[^?#]*)", 1)
+    path = F.regexp_extract(url, r"^(?s).*?://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(site, F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"^(?s)(.*/)", 1)).otherwise("/"))
+    return (
+        F.when(target.isNull() | (target == "") | F.startswith(target, F.lit("#")), None)
+        .when(F.regexp_like(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*://")), target)
+        .when(F.regexp_like(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), None)
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(site, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(page, target))
+        .otherwise(F.concat(folder, target))
+    )
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """Edges a (the page's url) to b (its canonical or refresh target), fragments cut."""
+    """Edges a (the page's url) to b (a canonical or refresh target), both as nodes."""
     low = F.lower("html")
     pages = pages.where(F.contains(low, F.lit("canonical")) | F.contains(low, F.lit("refresh"))).where(F.instr("url", "://") > 0)
-    targets = F.array(F.regexp_extract(F.regexp_extract("html", _LINK, 0), _HREF, 1), F.regexp_extract(F.regexp_extract("html", _META, 0), _URL, 1))
-    found = pages.select("url", F.explode(targets).alias("target"))
-    site = F.regexp_extract("url", r"^(?s)(.*?://[^/?#]*)", 1)
-    target = F.when(F.instr("target", "://") > 0, F.col("target")).when(F.startswith("target", F.lit("/")) & ~F.startswith("target", F.lit("//")), F.concat(site, "target"))
-    return found.select(_node(F.col("url")).alias("a"), _node(target).alias("b")).where("b is not null and a <> b")
+    tags = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, " "), F.lit(_TAG), F.lit(0))
+    tags = pages.select("url", F.explode(tags).alias("tag"))
+    is_link = F.startswith(F.lower("tag"), F.lit("<link"))
+    canonical = is_link & F.array_contains(F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+"), "canonical")
+    refresh = ~is_link & (F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh")
+    content = F.regexp_replace(F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)\burl\s*=\s*(.*)$", 1), r"^[\"']|[\"'].*$", "")
+    target = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, content)
+    found = tags.where(canonical | refresh).select("url", target.alias("target"))
+    return found.select(_node(F.col("url")).alias("a"), _node(_resolved(F.col("url"), F.col("target"))).alias("b")).where("b is not null and a <> b")
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, inline: int = INLINE_RULES) -> DataFrame:
