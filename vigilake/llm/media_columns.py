@@ -1,9 +1,12 @@
 """Media columns: pages as ordered text and media references, with the media in a store of their own keyed by digest.
 
 HTML is parsed into a sequence of structs (position, kind, text or reference, caption) in page order. Payloads are kept
-losslessly as 8-bit grey images (binary PGM, 64 samples wide), one row each in a Parquet store under the digest of their
-bytes, and a sequence's references are resolved by a join on the digest; positions and captions stay as parsed.
-What is wanted of a payload is computed where it is stored, so that only digests and results are shuffled.
+losslessly as 8-bit grey images (binary PGM, 64 samples wide) in a Parquet store that has each of them once, under the digest of
+its bytes, and a sequence's references are resolved by a join on the digest; positions and captions stay as parsed.
+What is wanted of a payload is computed where it is stored, so that only digests and results are shuffled. Of payloads only
+those that occur several times are shuffled, after each task has put equal ones together.
+
+The registered query makes a page of every document: the paragraphs of its text, with the payload's picture in their middle.
 
 Defined results: a null text is an empty payload; a null html has no parts; a reference without a stored payload keeps its row with nulls
 (`resolve`); repeated rows each give a row, equal payloads share their digest; other columns are not read.
@@ -24,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import save, table
+from vigilake.llm.common import checked, save, table
 from vigilake.llm.words import slices
 
 #: Samples in a row of an image; payloads are padded with bytes 0 to a positive multiple of it.
 WIDTH = 64
 
-STORE = "doc_id long, html string, digest string, media binary"
+STORE = "digest string, media binary"
 FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
 PARTS = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
 
@@ -60,12 +63,28 @@ def feature(samples: np.ndarray) -> str:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, data, offsets in slices(batches, "text", 2 << 20):
-        raw, ids = data.tobytes(), part.column(0).to_pylist()
+    for _, data, offsets in slices(batches, "text", 2 << 20):
+        raw = data.tobytes()
         media = [to_media(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        digests = [sha256(m).hexdigest() for m in media]
-        html = [f'<article><p>Document {escape(str(i))}</p><figure><img src="sha256:{d}" alt="payload"><figcaption>payload of document {escape(str(i))}</figcaption></figure></article>' for i, d in zip(ids, digests, strict=True)]
-        yield pa.record_batch([part.column(0), pa.array(html), pa.array(digests), pa.array(media, pa.binary())], ["doc_id", "html", "digest", "media"])
+        yield pa.record_batch([pa.array([sha256(m).hexdigest() for m in media]), pa.array(media, pa.binary())], ["digest", "media"])
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """The store of the texts of docs (text), each payload once: digest, media."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(text.alias("text"), F.unhex(F.sha2(text, 256)).alias("key"))
+    copies = save(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    held = checked(copies)
+    one = keyed.join(held, "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")).select("text")
+    return save(keyed.join(held, "key", "left_anti").select("text").unionByName(one).mapInArrow(_encode, STORE), "media")
+
+
+def as_page(doc_id: int | None, text: str, digest: str) -> str:
+    """A page of a document: its lines as paragraphs, and in their middle the picture of its payload with a caption."""
+    lines = [f"<p>{escape(x)}</p>" for x in text.split("\n") if x.strip()]
+    name = escape(str(doc_id))
+    lines.insert(len(lines) // 2, f'<figure><img src="sha256:{digest}" alt="payload"><figcaption>payload of document {name}</figcaption></figure>')
+    return f"<article>{''.join(lines)}</article>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +173,21 @@ def parts_of(html: str | None) -> list[dict]:
     return parser.parts
 
 
+_KIND = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
+
+
 def _interleave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            yield pa.record_batch([part.column(0), pa.array([parts_of(x.as_py()) for x in part.column(1)], kind)], ["doc_id", "parts"])
+    for part, _, _ in slices(batches, "html"):
+        yield pa.record_batch([part.column(0), pa.array([parts_of(x.as_py()) for x in part.column(1)], _KIND)], ["doc_id", "parts"])
+
+
+def _interleave_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _interleave, of the documents' pages (doc_id, text), which are never stored."""
+    for part, data, offsets in slices(batches, "text"):
+        raw = data.tobytes()
+        texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        pages = (as_page(i, t.decode(), sha256(to_media(t)).hexdigest()) for i, t in zip(part.column(0).to_pylist(), texts, strict=True))
+        yield pa.record_batch([part.column(0), pa.array([parts_of(x) for x in pages], _KIND)], ["doc_id", "parts"])
 
 
 def interleave(pages: DataFrame) -> DataFrame:
@@ -168,18 +196,18 @@ def interleave(pages: DataFrame) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, found: DataFrame) -> DataFrame:
-    """The media parts of the sequences, one row each, with the columns of found (digest, ...) for references `sha256:<digest>`."""
-    parts = sequences.select("doc_id", F.explode("parts").alias("part")).where(F.col("part.kind") == "media")
-    parts = parts.select("doc_id", F.col("part.position").alias("position"), F.col("part.caption").alias("caption"), F.when(F.startswith("part.ref", F.lit("sha256:")), F.substring("part.ref", 8, 64)).alias("digest"))
+    """The media parts of the sequences, one row each, with n_parts and the columns of found (digest, ...) for references `sha256:<digest>`."""
+    media = F.filter("parts", lambda x: x["kind"] == "media")
+    parts = sequences.select("doc_id", F.size("parts").alias("n_parts"), F.explode(media).alias("part"))
+    parts = parts.select("doc_id", "n_parts", F.col("part.position").alias("position"), F.col("part.caption").alias("caption"), F.when(F.startswith("part.ref", F.lit("sha256:")), F.substring("part.ref", 8, 64)).alias("digest"))
     return parts.join(found, "digest", "left")
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    store = save(docs.mapInArrow(_encode, STORE), "media")
-    found = store.select("digest", "media").mapInArrow(_features, FEATURES).dropDuplicates(["digest"])
-    out = resolve(interleave(store), save(found, "features"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption")
+    found = save(stored(docs).mapInArrow(_features, FEATURES), "features")
+    out = resolve(docs.mapInArrow(_interleave_documents, f"doc_id long, parts {PARTS}"), found)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "n_parts", "caption")
 
 
 QUERIES = {"op6_media_columns": op6_media_columns}
