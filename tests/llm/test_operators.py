@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha1, sha256
+from html import unescape
 
 import numpy as np
 import pytest
@@ -282,9 +283,11 @@ def test_jaccard_join_chain_of_near_copies(spark):
 
 
 def test_media_columns(spark, docs, nothing):
-    store = docs.select("doc_id", "text").mapInArrow(media_columns._encode, media_columns.STORE)
-    found = store.select("digest", "media").mapInArrow(media_columns._features, media_columns.FEATURES).dropDuplicates(["digest"])
-    got = media_columns.resolve(media_columns.interleave(store), found).collect()
+    store = media_columns.stored(docs)
+    assert store.count() == store.select("digest").distinct().count() == len({t or "" for _, t, *_ in TEXTS})
+    found = store.mapInArrow(media_columns._features, media_columns.FEATURES)
+    sequences = docs.select("doc_id", "text").mapInArrow(media_columns._interleave_documents, f"doc_id long, parts {media_columns.PARTS}")
+    got = media_columns.resolve(sequences, found).collect()
     assert len(got) == len(TEXTS)
     by = {r.doc_id: r for r in got}
     for d, t, *_ in TEXTS:
@@ -295,6 +298,21 @@ def test_media_columns(spark, docs, nothing):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         assert (r.media_bytes, r.digest) == (len(media), sha256(media).hexdigest())
         assert media_columns.from_media(media)[0].tobytes() == padded
+        lines = [x for x in (t or "").split("\n") if x.strip()]
+        assert (r.position, r.n_parts, r.caption) == (len(lines) // 2, len(lines) + 1, f"payload of document {d}")
+    for r in sequences.collect():  # text and media in the order of the page
+        lines = [" ".join(x.split()) for x in next((t for d, t, *_ in TEXTS if d == r.doc_id), None).split("\n") if x.strip()] if r.doc_id not in (4, None) else None
+        assert lines is None or [p.text for p in r.parts if p.kind == "text"] == lines
+        assert [p.position for p in r.parts] == list(range(len(r.parts)))
+    assert media_columns.stored(nothing).count() == 0
+
+
+def test_sequences_of_pages(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").selectExpr("page_id AS doc_id", "html")
+    texts = {r.doc_id: [p.text for p in r.parts] for r in media_columns.interleave(pages).collect()}
+    for p in pages.collect():
+        title = " ".join(unescape(re.search("<h1>(.*?)</h1>", p.html)[1]).split())
+        assert title in texts[p.doc_id] and "track(" not in "".join(texts[p.doc_id])
 
 
 def test_interleaved_parts(spark):
@@ -330,6 +348,76 @@ def test_url_aliases(spark):
     assert url_filter.judge(df.limit(0), rules).collect() == []
 
 
+def aliases(pages, rules):
+    """(page_id, verdict) by the standard library's parser and url functions and a walk over the links."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin, urlsplit
+
+    def node(url):
+        u = urlsplit(urljoin(url, "#")) if url and "://" in url else None
+        return u and u._replace(scheme=u.scheme.lower(), netloc=u.netloc.lower(), fragment="").geturl()
+
+    class Links(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found = []
+
+        def handle_starttag(self, tag, attrs):
+            given = {k: v or "" for k, v in attrs}
+            if tag == "link" and "canonical" in given.get("rel", "").lower().split():
+                self.found.append(given.get("href", "").strip())
+            if tag == "meta" and given.get("http-equiv", "").lower() == "refresh" and (m := re.search(r"(?i)url\s*=\s*[\"']?([^\"']*)", given.get("content", ""))):
+                self.found.append(m[1].strip())
+
+        handle_startendtag = handle_starttag
+
+    near = defaultdict(set)
+    for _, url, html in pages:
+        if url and "://" in url:
+            parser = Links()
+            parser.feed(html or "")
+            for t in parser.found:
+                if t and not t.startswith("#") and "://" in (full := urljoin(url, t)):
+                    near[node(url)].add(node(full))
+                    near[node(full)].add(node(url))
+
+    def own(url):
+        u = urlsplit(url)
+        fits = [(len(h + p), v) for h, p, v in rules if (u.netloc.lower() == h or u.netloc.lower().endswith("." + h)) and u.path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    out = []
+    for i, url, _ in pages:
+        verdict = own(url) if url and "://" in url else "allow"
+        if verdict is None:
+            seen, todo = {node(url)}, [node(url)]
+            while todo:
+                for x in near[todo.pop()] - seen:
+                    seen.add(x)
+                    todo.append(x)
+            kinds = {own(x) for x in seen}
+            verdict = "block" if "block" in kinds and "allow" not in kinds else "allow"
+        out.append((i, verdict))
+    return out
+
+
+def test_url_links_of_all_forms(spark):
+    forms = [
+        '<link rel="canonical" href="http://bad.org/p?a=1&amp;q=2">', "<link rel='alternate  CANONICAL' href='//bad.org/k'>", '<link href="../up" rel=canonical>', '<link data-href="http://bad.org/p" rel="canonical" href="http://fine.org/">', '<!-- <link rel="canonical" href="http://bad.org/p"> -->',
+        '<script>var x = \'<link rel="canonical" href="http://bad.org/p">\';</script>', '<link rel="canonical" href="http://fine.org/1"><link rel="canonical" href="HTTP://BAD.org/./p/../k#top">', '<meta content="5; URL=\'http://bad.org/k\'" http-equiv="Refresh">', '<link rel="canonical" title="a > b" href="page.html"/>',
+        '<link rel="canonical" href="?id=2">', '<link rel="canonical" href="mailto:a@bad.org">', '<link rel="canonical" href="#x">', '<link rel="canonical" href="">', '<link rel="stylesheet" href="http://bad.org/p">', '<link rel="canonical" href=" http://bad.org/k\n">', None,
+    ]
+    pages = [(k, f"http://s{k}.org/dir/x.html", f) for k, f in enumerate(forms)] + [(20, "http://bad.org/p?a=1&q=2", None), (21, "http://s2.org/up", '<link rel="canonical" href="http://bad.org/k">'), (22, "http://s8.org/dir/page.html", "<meta http-equiv=refresh content='0;url=//BAD.org/k'>"), (23, "http://s9.org/dir/x.html?id=2", '<link rel="canonical" href="/../k2/.">')]
+    pages += [(24, "http://s9.org/k2/", '<link rel="canonical" href="http://bad.org/k">'), (25, "http://nice.org/a", '<link rel="canonical" href="http://bad.org/p2">'), (26, "http://w.org/", '<link rel="canonical" href="http://nice.org/a">'), (26, "http://w.org/", None), (27, "http://long.org/", "x" * 300_000 + '<link rel="canonical" href="http://bad.org/k">')]
+    rules = [("bad.org", "/", "block"), ("nice.org", "/", "allow")]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"host": F.lit(1), "rule": F.lit(2), "node": F.lit(3)})
+    got = [(r.page_id, r.verdict) for r in url_filter.judge(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()]
+    assert sorted(got) == sorted(aliases(pages, rules))
+    assert {i for i, v in got if v == "block"} == {0, 1, 2, 6, 7, 8, 9, 14, 20, 21, 22, 23, 24, 27}
+
+
 # HTML extraction
 
 
@@ -345,6 +433,43 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+PARAGRAPH = "A paragraph of the article that goes on for quite a while, as such paragraphs do. "
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # nothing but <div>: what is dense decides
+        (f"<div><a href=/>Home</a> <a href=/a>About</a></div><div><h1>T</h1><p>{PARAGRAPH * 3}</p><p>Yes.</p></div><div>Legal</div>", f"T\n{(PARAGRAPH * 3).strip()}\nYes."), (f"<div><div><p>{PARAGRAPH * 9}</p></div><div><p>{PARAGRAPH * 3}</p></div></div><div>x</div>", f"{(PARAGRAPH * 9).strip()}\n{(PARAGRAPH * 3).strip()}"),
+        (f"<div><h1>T</h1><div><p>{PARAGRAPH * 3}</p></div></div><div><p>Elsewhere</p></div>", f"T\n{(PARAGRAPH * 3).strip()}"), (f"<article><h1>T</h1><p>lead</p><div><p>{PARAGRAPH * 3}</p></div></article>", f"T\nlead\n{(PARAGRAPH * 3).strip()}"),
+        # names that only look like boilerplate, and a short box that is
+        (f"<article><div class='social-science'><p>{PARAGRAPH * 2}</p></div><p class=form>{PARAGRAPH * 2}</p><div class=promo-box>Buy</div></article>", f"{(PARAGRAPH * 2).strip()}\n{(PARAGRAPH * 2).strip()}"),
+        (f"<main><p>{PARAGRAPH * 2}</p><div><ul><li><a href=/1>One thing</a></li><li><a href=/2>Another</a></li></ul></div><p>End.</p><div class=comments><p>{PARAGRAPH}</p></div></main>", f"{(PARAGRAPH * 2).strip()}\nEnd."),
+        (f"<table><tr><td>{PARAGRAPH}</td><td>cell</td></tr></table>", f"{PARAGRAPH.strip()}\ncell"), ("x" * 200_000 + "<p>" + "y " * 100_000, "x" * 200_000 + "\n" + ("y " * 100_000).strip()),
+    ],
+)
+def test_main_text_by_density(html, text):
+    assert html_extract.main_text(html) == text
+
+
+def test_density_decides_where_nothing_is_marked(spark, monkeypatch):
+    """With every container a bare <div>, most pages come out as before, and fewer do if every line counts as dense."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    want = [html_extract.main_text(x) for x in pages]
+    bare = [re.sub(r"<(/?)(?:nav|footer|article|div)\b[^>]*>", r"<\1div>", x) for x in pages]
+    right = sum(html_extract.main_text(x) == w for x, w in zip(bare, want))
+    monkeypatch.setattr(html_extract, "dense_lines", lambda lines: np.ones(len(lines), bool))
+    assert right >= 0.7 * len(pages) and sum(html_extract.main_text(x) == w for x, w in zip(bare, want)) < right
+
+
+def test_extract_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit(2), "lines": F.lit(3)})
+    assert sorted(map(repr, rows(html_extract.extract_text(df)))) == sorted(map(repr, [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]))
+    assert rows(html_extract.extract_text(df.limit(0))) == []
+
+
 def test_extract_pages(spark):
     import html as H
 
@@ -476,6 +601,13 @@ def test_suffix_dedup(spark, docs, nothing, hot_rows):
         assert {r.doc_id: r.n_removed for r in suffix_dedup.cut_repeats(docs).collect()}[8] == len(LONG)
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    word = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    texts = [(1, word(0, 40), "s", "en")] * 60 + [(None, word(0, 40), "s", "en")] * 3 + [(2, word(10, 60), "s", "en"), (2, word(100, 140), "s", "en"), (3, word(100, 130), "s", "en"), (None, word(200, 240), "s", "en"), (None, None, None, None)]
+    got = [tuple(r)[:5] for r in suffix_dedup.cut_repeats(spark.createDataFrame(texts, SCHEMA), 48).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, cut_bytes(texts, 48)))
+
+
 def test_suffix_array_kernels():
     rng = np.random.default_rng(1)
     for trial in range(60):

@@ -11,7 +11,8 @@
 3. An anchor with more than HOT_ROWS different neighbourhoods is dealt over several shards, which are merged pairwise:
    the starts of one are looked up in the other's suffix array by binary search.
 
-Whole texts that occur more than once are repeats from end to end; one of them stands for all in the steps above.
+Whole texts that occur more than once are repeats from end to end; one of them stands for all in the steps above. They are
+known by two 64-bit hashes: of 10**10 texts, two different ones are taken for equal with a probability of about 10**-18.
 Texts count as UTF-8 bytes, matches never cross documents, overlaps count, and strings are judged on the input.
 
 Defined results: a null text is empty; texts under SPAN bytes lose nothing; a repeated row is a copy, so all its bytes
@@ -355,14 +356,18 @@ def cut_repeats(docs: DataFrame, span: int = SPAN, shard: int = SHARD, hot_rows:
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
     long = docs.where(F.octet_length("text") >= span)
-    copies = save(long.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n > 1").drop("n"), "copies")
-    others = save(long.select("doc_id", "k1", "k2").join(checked(copies), ["k1", "k2"]).where("doc_id > rep").select("doc_id", "k1", "k2").distinct(), "others")
-    texts = long.join(checked(others), ["doc_id", "k1", "k2"], "left_anti").select("k1", "k2", "text")
+    copies = save(long.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    held = checked(copies)
+    # each text once, whatever the ids of its rows are: only copied texts are shuffled, and each task passes one of a kind on
+    copied = save(long.join(held, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("text").alias("text")), "copied")
+    texts = long.join(held, ["k1", "k2"], "left_anti").select("k1", "k2", "text").unionByName(copied)
     found = repeated_bytes(texts, span, shard, hot_rows)
-    found = save(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("cuts")), "found")
-    copied = copies.select("k1", "k2", F.lit(True).alias("copied"))
-    hit = found.select("k1", "k2").unionByName(copied.select("k1", "k2")).distinct()
-    hit = checked(save(hit, "hit"))
+    # a copied text goes as a whole, so its ranges are not needed
+    found = found.join(held, ["k1", "k2"], "left_anti").groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
+    found = save(found, "found")
+    copied = copies.withColumn("copied", F.lit(True))
+    hit = save(found.select("k1", "k2").unionByName(copies), "hit")
+    hit = checked(hit)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     part = docs.join(hit, ["k1", "k2"], "left_semi").join(found, ["k1", "k2"], "left").join(checked(copied), ["k1", "k2"], "left")
     part = part.select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "cuts").mapInArrow(_cut(span), schema)
