@@ -35,14 +35,24 @@ def number(prefix: str, n: Column) -> Column:
     return F.format_string(f"{prefix}-%04d", n)
 
 
+#: A side with at most this many slim rows may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def numbered(df: DataFrame, order: list[str], bucket: Column, name: str = "seq") -> DataFrame:
     """df with a dense number from 1 in the given order.
 
     bucket: an expression that never falls along the order. Rows are numbered within their bucket, and the buckets'
-    sizes are added up, so that no task sorts all rows.
+    sizes are added up, so that no task sorts all rows. There is one row per bucket (some BUCKET rows); Spark broadcasts them
+    if they are small enough. df is read twice, of which once for the bucket's columns alone: it should be a table.
     """
     df = df.withColumn("__bucket", bucket)
     sizes = df.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
-    out = df.join(F.broadcast(before), "__bucket").withColumn(name, F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) + F.col("__before"))
+    out = df.join(before, "__bucket").withColumn(name, F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) + F.col("__before"))
     return out.drop("__bucket", "__before")

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.functions.text import checked
+from vigilake.operators import scan
+
 
 def confusion(labelled: DataFrame) -> DataFrame:
     """Counts of (expected, predicted) booleans."""
@@ -31,7 +34,7 @@ def fresh(candidates: DataFrame, as_of: str) -> DataFrame:
 
 def source_gate(items: DataFrame, registry: DataFrame) -> DataFrame:
     """Items of registered, enabled sources; those of low trust are never promoted automatically. Unknown sources are blocked."""
-    joined = items.join(F.broadcast(registry), "source_id", "left")
+    joined = items.join(checked(registry), "source_id", "left")
     verdict = F.when(~F.coalesce("enabled", F.lit(False)), "blocked").when(F.coalesce("trust_level", F.lit("low")) == "low", "review").otherwise("auto")
     return joined.withColumn("gate", verdict)
 
@@ -58,16 +61,78 @@ def typed_match(target: Column, kind: Column, value: Column, apex: Column) -> Co
     )
 
 
+def ipv6(x: Column) -> Column:
+    """An address as its eight groups of four small hex digits, joined by colons; null if it is none. Embedded IPv4 parts are not read."""
+    half = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+    low = F.lower(x)
+    left, right = half(F.split_part(low, F.lit("::"), F.lit(1))), half(F.split_part(low, F.lit("::"), F.lit(2)))
+    gap = F.when(F.contains(low, F.lit("::")), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))).otherwise(0)
+    groups = F.concat(left, F.array_repeat(F.lit("0"), gap), right)
+    ok = F.regexp_like(low, F.lit(r"^[0-9a-f:]*:[0-9a-f:]*$")) & (F.size(groups) == 8) & F.forall(groups, lambda g: F.length(g).between(1, 4))
+    return F.when(ok, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":"))
+
+
+def _name(x: Column) -> Column:
+    """A host name without case and final dot."""
+    return F.regexp_replace(F.lower(x), r"\.$", "")
+
+
+def _address(x: Column) -> Column:
+    """One spelling for each address, of either kind; null if it is none."""
+    return F.coalesce(ipv4(x).cast("string"), ipv6(x))
+
+
+def _target_keys(target: Column, tags: Column, longest: Column) -> Column:
+    """All keys (kind, key) under which a rule for the target may stand; longest: of the url prefixes that rules have."""
+    labels, ip = F.split(_name(target), r"\."), ipv4(target)
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    one = lambda kind, k: F.array(key(kind, k))
+    suffix = lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    above = F.when(F.size(labels) > 1, F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: key("domain", suffix(i))))
+    nets = F.when(ip.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(32)), lambda n: key("cidr", _net(ip, n))))
+    prefixes = F.when(longest > 0, F.transform(F.sequence(F.lit(1), F.least(F.length(target), longest)), lambda n: key("url_prefix", F.left(target, n))))
+    parts = [one("host", _name(target)), one("apex", _name(target)), one("ip", _address(target)), above, nets, prefixes, F.transform(tags, lambda t: key("tag", F.lower(t)))]
+    return F.flatten(F.array_compact(F.array(*parts)))
+
+
+def _net(ip: Column, size: Column) -> Column:
+    return F.concat_ws("/", F.floor(ip / F.pow(F.lit(2.0), 32 - size).cast("long")).cast("string"), size.cast("string"))
+
+
+def _rule_keys(rules: DataFrame) -> DataFrame:
+    """rules as (layer, rank, kind, key); a domain that includes its apex stands under two keys. Rules of unknown layers or kinds fit nothing."""
+    kind, value = F.col("kind"), F.col("value")
+    size = F.coalesce(F.try_to_number(F.split_part(value, F.lit("/"), F.lit(2)), F.lit("99")).cast("int"), F.lit(32))
+    key = F.when(kind.isin("host", "domain"), _name(value)).when(kind == "url_prefix", value).when(kind == "ip", _address(value)).when(kind == "cidr", _net(ipv4(F.split_part(value, F.lit("/"), F.lit(1))), size)).when(kind == "tag", F.lower(value))
+    kinds = F.when((kind == "domain") & F.coalesce("include_apex", F.lit(False)), F.array(F.lit("domain"), F.lit("apex"))).otherwise(F.array(kind))
+    ranked = rules.select("layer", F.array_position(F.array(*map(F.lit, LAYERS)), F.col("layer")).alias("rank"), F.explode(kinds).alias("kind"), key.alias("key"))
+    return ranked.where("rank > 0 and key is not null")
+
+
 #: Who wins: the first of these with a rule that fits; none means deny.
 LAYERS = ("platform_deny", "tenant_deny", "scope_deny", "scope_allow")
 
 
 def scope_verdict(targets: DataFrame, rules: DataFrame) -> DataFrame:
-    """targets (target) with the layer that decides and allow or deny; rules: layer, kind, value, include_apex (few, broadcast)."""
-    ranked = F.broadcast(rules.withColumn("rank", F.array_position(F.array(*map(F.lit, LAYERS)), F.col("layer"))))
-    fits = typed_match(F.col("target"), F.col("kind"), F.col("value"), F.col("include_apex"))
-    hit = targets.select("target").distinct().join(ranked, fits & (F.col("rank") > 0)).groupBy("target").agg(F.min_by("layer", "rank").alias("layer"))
-    return targets.join(hit, "target", "left").withColumn("verdict", F.when(F.col("layer") == "scope_allow", "allow").otherwise("deny"))
+    """targets (target, and tags array<string> if they have any) with the layer that decides and allow or deny; rules: layer, kind, value, include_apex.
+
+    Kinds: host, domain (names below it), url_prefix, ip (either version), cidr (IPv4) and tag; names are compared without case and final
+    dot, as they are written (international names are not turned into their ASCII form). Every target is looked up under all the keys that
+    could fit it (as `typed_match` says), so that rules are found by an equi-join, however many there are.
+    """
+    tags = F.col("tags") if "tags" in targets.columns else F.array().cast("array<string>")
+    keyed = _rule_keys(rules)
+    longest = F.lit(keyed.where("kind = 'url_prefix'").agg(F.max(F.length("key"))).first()[0] or 0)
+    own = ["target", *(["tags"] if "tags" in targets.columns else [])]
+    wanted = targets.select(own).where("target is not null").distinct()
+    tried = wanted.select(*own, F.explode(_target_keys(F.col("target"), F.coalesce(tags, F.array().cast("array<string>")), longest)).alias("k")).select(*own, "k.kind", "k.key").where("key is not null")
+    best = keyed.groupBy("kind", "key").agg(F.min("rank").alias("rank"))
+    hit = tried.join(checked(best), ["kind", "key"]).groupBy(own).agg(F.min("rank").alias("rank"))
+    layer = F.element_at(F.array(*map(F.lit, LAYERS)), F.col("rank").cast("int"))
+    hit = hit.withColumnsRenamed({c: f"__{c}" for c in own})
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in own]
+    out = targets.join(hit, on, "left").select(*targets.columns, F.when(F.col("rank").isNotNull(), layer).alias("layer"))
+    return out.withColumn("verdict", F.when(F.col("layer") == "scope_allow", "allow").otherwise("deny"))
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
@@ -108,7 +173,7 @@ def windowed_counts(alerts: DataFrame, width: str) -> DataFrame:
 def suppressed(alerts: DataFrame, rules: DataFrame, at: str) -> DataFrame:
     """alerts with suppressed: a complete, unexpired rule names their dedup key; no alert is dropped."""
     whole = rules.where("reason is not null and evidence is not null and scope is not null and owner is not null").where(F.col("expiry") > at).select("dedup_key").distinct()
-    return alerts.join(F.broadcast(whole.withColumn("__s", F.lit(True))), "dedup_key", "left").withColumn("suppressed", F.coalesce("__s", F.lit(False))).drop("__s")
+    return alerts.join(checked(whole.withColumn("__s", F.lit(True))), "dedup_key", "left").withColumn("suppressed", F.coalesce("__s", F.lit(False))).drop("__s")
 
 
 def priority(disposition: Column, confidence: Column) -> Column:
@@ -122,10 +187,14 @@ def missing_headers(responses: DataFrame, required: list[str]) -> DataFrame:
     return responses.select("asset_id", F.explode(lacking).alias("header"))
 
 
+#: What an approval is bound to: any change of these makes it void.
+BINDING = ("plan_id", "scope_id", "scope_version", "policy_hash")
+
+
 def approvals_valid(plans: DataFrame, approvals: DataFrame, at: str) -> DataFrame:
-    """plans (plan_id, policy_hash) with approved: an unexpired approval for exactly that plan and policy."""
-    good = approvals.where(F.col("decision") == "approved").where(F.col("expires_at") > at).select("plan_id", "policy_hash").distinct().withColumn("__a", F.lit(True))
-    return plans.join(good, ["plan_id", "policy_hash"], "left").withColumn("approved", F.coalesce("__a", F.lit(False))).drop("__a")
+    """plans (the columns of BINDING) with approved: an unexpired approval for exactly that plan, version of the scope, and policy."""
+    good = approvals.where(F.col("decision") == "approved").where(F.col("expires_at") > at).select(*BINDING).distinct().withColumn("__a", F.lit(True))
+    return plans.join(good, list(BINDING), "left").withColumn("approved", F.coalesce("__a", F.lit(False))).drop("__a")
 
 
 def scope_errors(scopes: DataFrame) -> DataFrame:
@@ -139,18 +208,19 @@ def scope_errors(scopes: DataFrame) -> DataFrame:
 
 # fixed values: phrases that try to instruct a reader of the text
 INJECTIONS = ("ignore previous instructions", "disregard the above", "you are now", "system prompt")
+TAG = r"<[a-zA-Z/][^>]*>"
 MAX_INTAKE_CHARS = 20_000
 
 
 def screened(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, text) with what keeps them from intake: too_large, markup, injection, address, and accepted."""
+    """Documents (doc_id, text) with what keeps them from intake: too_large, markup, injection, address, secret (one of high severity), and accepted; stripped is the text without its tags."""
     low = F.lower("text")
     injection = F.lit(False)
     for phrase in INJECTIONS:
         injection = injection | F.contains(low, F.lit(phrase))
-    flags = {"too_large": F.length("text") > MAX_INTAKE_CHARS, "markup": F.regexp_like("text", F.lit(r"<[a-zA-Z/][^>]*>")), "injection": injection, "address": F.regexp_like("text", F.lit(ENTITIES["ipv4"]))}
+    flags = {"too_large": F.length("text") > MAX_INTAKE_CHARS, "markup": F.regexp_like("text", F.lit(TAG)), "injection": injection, "address": F.regexp_like("text", F.lit(ENTITIES["ipv4"])), "secret": scan.has_secret(F.col("text"))}
     out = docs.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
-    return out.withColumn("accepted", ~(F.col("too_large") | F.col("markup") | F.col("injection") | F.col("address")) & F.col("text").isNotNull())
+    return out.withColumn("accepted", ~(F.col("too_large") | F.col("markup") | F.col("injection") | F.col("address") | F.col("secret")) & F.col("text").isNotNull()).withColumn("stripped", F.regexp_replace("text", TAG, " "))
 
 
 def enriched(findings: DataFrame, exploited: DataFrame, likelihood: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilake.functions.knowledge import ASSET_CRITICALITY, BANDS, CRITICALITY_BONUS, SEVERITY_WEIGHT, lookup
 from vigilake.functions.text import BUCKET, number, numbered
+from vigilake.sources.store import save
 
 
 def weight(severity: Column) -> Column:
@@ -25,18 +26,29 @@ def band(score_: Column) -> Column:
     return out.otherwise("informational")
 
 
-def group(alerts: DataFrame, keep: int | None = None) -> DataFrame:
-    """One row per dedup key, numbered by its first alert.
+#: A group's row lists so many of its alerts, the first ones, and their evidence; all of them are in `members`.
+LISTED = 1000
 
-    keep: at most so many alert ids are listed, the first ones; the count is always that of all (a very large group's
-    list would otherwise not fit into a row).
+
+def members(alerts: DataFrame) -> DataFrame:
+    """Every alert (dedup_key, seq, alert_id, evidence_ids) with its place in its group, from 1 on.
+
+    A group is numbered bucket by bucket, so that one with a large share of all alerts is dealt over many tasks.
     """
-    member = F.array_sort(F.collect_list(F.struct("seq", "alert_id")))
-    ids = F.transform(member if keep is None else F.slice(member, 1, keep), lambda x: x["alert_id"])
-    if keep is not None:
-        alerts = alerts.withColumn("__first", F.col("seq"))
+    rows = alerts.select("dedup_key", "seq", "alert_id", "evidence_ids", F.floor(F.col("seq") / BUCKET).alias("__b"))
+    sizes = rows.groupBy("dedup_key", "__b").agg(F.count("*").alias("__n"))
+    before = sizes.select("dedup_key", "__b", (F.sum("__n").over(Window.partitionBy("dedup_key").orderBy("__b")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("dedup_key", "__b").orderBy("seq")) + F.col("__before")
+    return rows.join(before, ["dedup_key", "__b"]).withColumn("place", place).drop("__b", "__before")
+
+
+def group(alerts: DataFrame) -> DataFrame:
+    """One row per dedup key, numbered by its first alert. Counts, scores and times are those of all its alerts; the lists have LISTED alerts at most."""
+    listed = members(alerts).where(F.col("place") <= LISTED).groupBy("dedup_key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "alert_id"))), lambda x: x["alert_id"]).alias("alert_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence_ids")))).alias("evidence_ids"))
     grouped = alerts.groupBy("dedup_key").agg(
-        F.min_by("signature", "seq").alias("signature"), F.min_by("asset_id", "seq").alias("asset_id"), F.max_by("severity", weight(F.col("severity"))).alias("severity"), F.count("*").cast("int").alias("count"), ids.alias("alert_ids"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence_ids")))).alias("evidence_ids"), F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"), F.min("seq").alias("first_seq"))
+        F.min_by("signature", "seq").alias("signature"), F.min_by("asset_id", "seq").alias("asset_id"), F.max_by("severity", weight(F.col("severity"))).alias("severity"), F.count("*").cast("int").alias("count"),
+        F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"), F.min("seq").alias("first_seq"))
+    grouped = save(grouped.join(listed, "dedup_key"), "grouped")
     out = numbered(grouped, ["first_seq"], F.floor(F.col("first_seq") / BUCKET), "group_no").withColumn("risk_score", score(F.col("severity"), F.col("count"), F.col("asset_id")))
     return out.select(number("AG", F.col("group_no")).alias("group_id"), "group_no", "dedup_key", "signature", "asset_id", "severity", "count", "alert_ids", "evidence_ids", "first_seen", "last_seen", "risk_score", band(F.col("risk_score")).alias("risk_band"))

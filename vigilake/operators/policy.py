@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions.knowledge import dimension
-from vigilake.functions.text import canonical_json, content_hash
+from vigilake.functions.text import canonical_json, checked, content_hash
 
 ACTOR = "security-operator"
 #: The autonomy an action needs: low risk without approval, or anything else.
 UNATTENDED, AFTER_APPROVAL = 4, 3
+#: Requests that do not name their scope are judged by all of them, so many at most.
+SCOPES_TRIED = 100
 SCOPE = "scope_id string, scope_version int, approved boolean, autonomy_level int, allowed_actors array<string>, target_allowlist array<string>, valid_from string, valid_until string"
 
 
@@ -56,7 +58,15 @@ def reason_code() -> Column:
 
 
 def decide(requests: DataFrame, scope: DataFrame, evaluated_at: str) -> DataFrame:
-    """One decision per request and scope: effect, reason_code, message, request_ref, policy_hash, evaluated_at, and the request's columns."""
-    both = requests.crossJoin(F.broadcast(scope)).withColumn("reason_code", reason_code())
+    """One decision per request and scope, of its own scope_id if requests have one: effect, reason_code, message, request_ref, policy_hash, evaluated_at, and the request's columns."""
+    if "scope_id" in requests.columns:
+        # a request of an unknown scope meets no approved one and is denied
+        both = requests.join(checked(scope), "scope_id", "left")
+    else:
+        few = scope.limit(SCOPES_TRIED + 1).count()
+        if few > SCOPES_TRIED:
+            raise ValueError(f"requests without a scope_id are judged by every scope: {SCOPES_TRIED} at most")
+        both = requests.crossJoin(F.broadcast(scope))
+    both = both.withColumn("reason_code", reason_code())
     out = both.join(F.broadcast(dimension(requests.sparkSession, "messages")), "reason_code")
     return out.withColumns({"effect": F.when(F.col("reason_code") == "ALLOW_OK", "allow").otherwise("deny"), "request_ref": F.col("request_id"), "evaluated_at": F.lit(evaluated_at)})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,17 @@ MATCH_CHARS = 160
 IDENTITY_KEYS = ("authorized_by", "requested_by", "uploaded_by", "submitted_by")
 
 
+# fixed values: what a line must contain (one of these, in small letters) for a rule's pattern to be tried; each follows from the pattern
+GUARDS = {
+    "private-key": ("-----begin",), "github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), "aws-access-key": ("akia", "asia"), "openai-style-key": ("sk-",), "slack-token": ("xox",), "google-api-key": ("aiza",), "jwt": ("eyj",),
+    "credential-assignment": ("passw", "pwd", "secret", "api", "access", "auth"), "email-address": ("@",), "mac-local-path": ("/users/",), "windows-local-path": (":\\users\\",), "private-ipv4": ("10.", "192.168.", "172."),
+}
+
+
+def _any_of(low: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(p)) for p in parts))
+
+
 def _finding(k: int, severity: str, rule: str):
     return lambda m, i: F.struct((F.lit(k * 100_000) + i).alias("k"), F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.left(m, F.lit(MATCH_CHARS)).alias("match"))
 
@@ -22,8 +35,10 @@ def findings(texts: DataFrame, skip_placeholders: bool = True) -> DataFrame:
     Lines with a placeholder are skipped; credentials with a value that is none are left out.
     """
     rows = texts.select("location", F.posexplode(lines(F.col("text"))).alias("n", "line"))
+    low = F.lower("line")
+    # few lines contain any of these: only they are matched, and only by the patterns that they may fit
+    rows = rows.where(reduce(lambda a, b: a | b, (_any_of(low, g) for g in GUARDS.values())))
     if skip_placeholders:
-        low = F.lower("line")
         for p in PLACEHOLDERS:
             rows = rows.where(~F.contains(low, F.lit(p)))
     each = []
@@ -32,11 +47,18 @@ def findings(texts: DataFrame, skip_placeholders: bool = True) -> DataFrame:
         if rule == "credential-assignment":
             value = lambda m: F.lower(F.regexp_replace(F.regexp_replace(m, r"^[^:=]*[:=]\s*[\"']?", ""), r"[\"']$", ""))
             hits = F.filter(hits, lambda m: ~value(m).isin(*NO_CREDENTIALS))
-        each.append(F.transform(hits, _finding(k, severity, rule)))
-    found = rows.select("location", (F.col("n") + 1).alias("line"), F.explode(F.concat(*each)).alias("f"))
+        found = F.transform(hits, _finding(k, severity, rule))
+        each.append(F.when(_any_of(low, GUARDS[rule]), found))
+    found = rows.select("location", (F.col("n") + 1).alias("line"), F.explode(F.flatten(F.array_compact(F.array(*each)))).alias("f"))
     return found.select("f.severity", "f.rule", "location", "line", "f.match", F.col("f.k").alias("place"))
 
 
+def has_secret(text: Column) -> Column:
+    """Whether a text has a match of a pattern of high severity."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, (_any_of(low, GUARDS[rule]) & F.regexp_like(text, F.lit(pattern)) for severity, rule, pattern in SECRET_PATTERNS if severity == "HIGH"))
+
+
 def rank(severity: Column) -> Column:
     return F.when(severity == "HIGH", 0).when(severity == "MEDIUM", 1).when(severity == "INFO", 2).otherwise(9)
 
@@ -50,6 +72,33 @@ def counts(found: DataFrame) -> DataFrame:
     return found.agg(*(F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("HIGH", "MEDIUM", "INFO")))
 
 
+def threshold(found: DataFrame) -> DataFrame:
+    """Whether a check fails that looks for (fail_on) high findings, medium ones or worse, or none at all."""
+    c = counts(found)
+    each = F.array(*(F.struct(F.lit(k).alias("fail_on"), v.alias("failed")) for k, v in (("high", F.col("high") > 0), ("medium", F.col("high") + F.col("medium") > 0), ("never", F.lit(False)))))
+    return c.select(F.explode(each).alias("x")).select("x.fail_on", "x.failed")
+
+
+def write_report(found: DataFrame, path: str) -> None:
+    """The report in its order, as JSON lines in a new folder."""
+    report(found).write.json(path)
+
+
+#: Histories of more bytes are not scanned.
+MAX_HISTORY_BYTES = 25_000_000
+
+
+def history_findings(texts: DataFrame, most: int = MAX_HISTORY_BYTES) -> DataFrame:
+    """Findings of histories (history, seq, text: its pieces), a history of more than `most` bytes giving one row that says so."""
+    sizes = texts.groupBy("history").agg((F.sum(F.octet_length("text").cast("long")) > most).alias("large"))
+    where = F.concat(F.lit("history:"), "history")
+    found = findings(texts.join(sizes.where("not large"), "history").select(F.to_json(F.struct("history", "seq")).alias("location"), "text"))
+    at = F.from_json("location", "history string, seq long")
+    found = found.select("severity", "rule", F.concat(F.lit("history:"), at["history"]).alias("location"), at["seq"].alias("seq"), "line", "match")
+    skipped = sizes.where("large").select(F.lit("INFO").alias("severity"), F.lit("history-scan-skipped").alias("rule"), where.alias("location"), F.lit(None).cast("long").alias("seq"), F.lit(0).alias("line"), F.format_string("History exceeds %d bytes", F.lit(most)).alias("match"))
+    return found.unionByName(skipped)
+
+
 def author_findings(commits: DataFrame) -> DataFrame:
     """The first commit of each (name, email) whose address is neither hidden nor seen before: commits (seq, hash, name, email)."""
     first = commits.withColumn("__n", F.row_number().over(Window.partitionBy("name", "email").orderBy("seq"))).where("__n = 1")

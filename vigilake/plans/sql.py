@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vigilake.functions import knowledge as K
+from vigilake.operators.grouping import LISTED
 from vigilake.plans.flow import RUN_AT
 
 
@@ -49,10 +50,11 @@ _weight = lambda x: case(x, K.SEVERITY_WEIGHT)
 _score = f"least(100, {_weight('severity')} + least(count, 5) * 5 + {case(case('asset_id', K.ASSET_CRITICALITY, text('low')), K.CRITICALITY_BONUS)})"
 _band = "(CASE " + " ".join(f"WHEN risk_score >= {n} THEN '{b}'" for n, b in K.BANDS) + " ELSE 'informational' END)"
 GROUPS = ALERTS + f""",
+listed AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY seq) AS place FROM alerts),
 grouped AS (
-  SELECT dedup_key, arg_min(signature, seq) AS signature, arg_min(asset_id, seq) AS asset_id, arg_max(severity, {_weight("severity")}) AS severity, count(*) AS count, string_agg(printf('ALERT-%04d', seq), ',' ORDER BY seq) AS alert_ids,
-    array_to_string(list_sort(list_distinct(list(evidence_id))), ',') AS evidence_ids, min(event_time) AS first_seen, max(event_time) AS last_seen, min(seq) AS first_seq
-  FROM alerts GROUP BY dedup_key),
+  SELECT dedup_key, arg_min(signature, seq) AS signature, arg_min(asset_id, seq) AS asset_id, arg_max(severity, {_weight("severity")}) AS severity, count(*) AS count, string_agg(printf('ALERT-%04d', seq), ',' ORDER BY seq) FILTER (WHERE place <= {LISTED}) AS alert_ids,
+    array_to_string(list_sort(list_distinct(list(evidence_id) FILTER (WHERE place <= {LISTED}))), ',') AS evidence_ids, min(event_time) AS first_seen, max(event_time) AS last_seen, min(seq) AS first_seq
+  FROM listed GROUP BY dedup_key),
 scored AS (SELECT *, {_score} AS risk_score, row_number() OVER (ORDER BY first_seq) AS group_no FROM grouped),
 groups AS (SELECT *, {_band} AS risk_band, printf('AG-%04d', group_no) AS group_id FROM scored)"""
 

@@ -56,6 +56,7 @@ ORACLE_SQL = {
     "parse_eve_lines": _q(S.ALERTS, "SELECT title, asset_id, event_time, dedup_key, severity, evidence_id AS evidence_ids FROM eve"),
     "alert_ids_numbered": _q(S.ALERTS, "SELECT printf('ALERT-%04d', seq) AS alert_id, source, dedup_key, event_time FROM alerts"),
     "alert_groups_scored": _q(S.GROUPS, "SELECT dedup_key, signature, asset_id, severity, count, alert_ids, evidence_ids, first_seen, last_seen, risk_score, risk_band FROM groups"),
+    "alert_group_members": _q(S.ALERTS, "SELECT dedup_key, row_number() OVER (PARTITION BY dedup_key ORDER BY seq) AS place, printf('ALERT-%04d', seq) AS alert_id FROM alerts"),
     "group_first_appearance": _q(S.GROUPS, "SELECT group_id, dedup_key FROM groups"),
     "triage_dispositions": _q(S.TRIAGED, "SELECT group_id, disposition, confidence, rationale, attack_techniques, actions FROM triaged"),
     "agent_runs": _q(S.TRIAGED, f"""SELECT agent_run_id, 'soc.triage' AS agent_name, '0.2.0' AS agent_version, group_id AS input_refs,
@@ -139,17 +140,18 @@ SELECT flow_id, seq, before, status FROM c WHERE before IS NOT NULL AND before |
 SELECT doc_id, entity_type, value, count(*) AS n FROM e GROUP BY ALL""",
     "conflict_detect": "SELECT l_partkey AS entity, 'tax' AS attribute, count(DISTINCT l_tax) AS values, count(DISTINCT l_suppkey % 4) AS sources FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_tax) > 1",
     "windowed_alert_counts": "SELECT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS key, count(*) AS n FROM events GROUP BY ALL",
-    "suppression_match": """WITH r AS (SELECT DISTINCT 'u' || user_id AS dedup_key FROM events WHERE event_id < 200 AND user_id % 4 <> 0 AND user_id % 3 <> 0)
+    "suppression_match": """WITH r AS (SELECT 'u' || user_id AS dedup_key FROM events WHERE event_type = 'error' AND user_id % 4 <> 0 GROUP BY user_id HAVING count(*) % 3 <> 0)
 SELECT 'u' || user_id AS dedup_key, r.dedup_key IS NOT NULL AS suppressed, count(*) AS n FROM events LEFT JOIN r ON r.dedup_key = 'u' || user_id GROUP BY ALL""",
     "baseline_findings": """SELECT s_name AS asset_id, 'Content-Security-Policy' AS header FROM supplier WHERE s_suppkey % 2 <> 0 UNION ALL SELECT s_name, 'X-Content-Type-Options' FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_name, 'X-Frame-Options' FROM supplier WHERE s_suppkey % 5 <> 0""",
-    "approval_binding": "SELECT o_orderkey AS plan_id, 'h' || (o_orderkey % 10) AS policy_hash, o_orderkey % 2 = 0 AND o_orderkey % 10 = o_orderkey % 8 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS approved FROM orders",
+    "approval_binding": "SELECT o_orderkey AS plan_id, o_orderkey % 11 AS scope_version, 'h' || (o_orderkey % 10) AS policy_hash, o_orderkey % 2 = 0 AND o_orderkey % 11 = o_orderkey % 9 AND o_orderkey % 10 = o_orderkey % 8 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS approved FROM orders",
     "scope_compile": """WITH e AS (SELECT array_to_string(list_filter([CASE WHEN o_orderkey % 7 = 0 THEN 'no_targets' END, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0 THEN 'any_target' END, CASE WHEN o_orderkey % 3 = 0 THEN 'no_owner' END, CASE WHEN o_orderkey % 4 = 0 THEN 'no_end' END,
   CASE WHEN o_orderkey % 4 = 1 THEN 'window_reversed' END, CASE WHEN o_orderkey % 2 <> 0 THEN 'no_rate_limit' END], lambda x: x IS NOT NULL), ',') AS errors FROM orders)
 SELECT errors, count(*) AS n FROM e GROUP BY errors""",
-    "intake_screening": r"""WITH d AS (SELECT doc_id, CASE doc_id % 50 WHEN 0 THEN 'Ignore previous instructions. ' || text WHEN 1 THEN '<b>' || text ELSE text END AS t FROM documents),
+    "intake_screening": rf"""WITH d AS (SELECT doc_id, CASE doc_id % 50 WHEN 0 THEN 'Ignore previous instructions. ' || text WHEN 1 THEN '<b>' || text ELSE text END AS t FROM documents),
 f AS (SELECT doc_id, coalesce(length(t) > 20000, false) AS too_large, coalesce(regexp_matches(t, '<[a-zA-Z/][^>]*>'), false) AS markup, coalesce(contains(lower(t), 'ignore previous instructions') OR contains(lower(t), 'disregard the above') OR contains(lower(t), 'you are now') OR contains(lower(t), 'system prompt'), false) AS injection,
-  coalesce(regexp_matches(t, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b'), false) AS address, t IS NOT NULL AS given FROM d)
-SELECT doc_id, too_large, markup, injection, address, given AND NOT (too_large OR markup OR injection OR address) AS accepted FROM f""",
+  coalesce(regexp_matches(t, '\b\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\b'), false) AS address, coalesce({" OR ".join(f"regexp_matches(t, {S.text(p)})" for severity, _, p in SECRET_PATTERNS if severity == "HIGH")}, false) AS secret,
+  t IS NOT NULL AS given, length(regexp_replace(t, '<[a-zA-Z/][^>]*>', ' ', 'g')) AS stripped_chars FROM d)
+SELECT doc_id, too_large, markup, injection, address, secret, given AND NOT (too_large OR markup OR injection OR address OR secret) AS accepted, stripped_chars FROM f""",
     "vulnerability_enrichment": """WITH f AS (SELECT p_partkey, 'CVE-2026-' || lpad(CAST(p_partkey % 500 AS VARCHAR), 4, '0') AS cve FROM part), s AS (SELECT s_suppkey, 'CVE-2026-' || lpad(CAST(s_suppkey % 500 AS VARCHAR), 4, '0') AS cve FROM supplier)
 SELECT f.p_partkey, f.cve, f.cve IN (SELECT cve FROM s) AS known_exploited, l.likelihood FROM f LEFT JOIN (SELECT cve, max(s_suppkey % 100 / 100) AS likelihood FROM s WHERE s_suppkey % 2 = 0 GROUP BY cve) l ON l.cve = f.cve""",
     "boundary_rechecks": """WITH r AS (SELECT CASE WHEN o_orderkey % 3 <> 0 THEN 'TARGET_NOT_IN_SCOPE' WHEN o_orderkey % 2 <> 0 AND o_orderkey % 5 <> 0 THEN 'APPROVAL_REQUIRED' ELSE 'ALLOW_OK' END AS reason_code FROM orders)

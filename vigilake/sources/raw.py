@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions.text import content_hash, decoded, lines, number, numbered
+from vigilake.sources.store import save
 
 #: Source types with a parser, in the order in which they are read.
 ORDER = {"linux_auth": 0, "suricata_eve": 1}
@@ -24,15 +27,14 @@ def read_sources(spark: SparkSession, path: str, source_type: str, media_type: s
 
 def scannable_files(spark: SparkSession, path: str) -> DataFrame:
     """Text files below a folder (location, text): none that is too large, binary, or under a skipped prefix."""
-    root = path.rstrip("/") + "/"
+    root = re.sub(r"^[A-Za-z0-9+.-]+:/+", "/", path).rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= MAX_FILE_BYTES)
-    location = F.substring_index("path", root, -1)
+    location = F.substring_index(F.regexp_replace("path", r"^[A-Za-z0-9+.-]+:/+", "/"), root, -1)
     skipped = F.lit(False)
     for p in SKIPPED_PREFIXES:
         skipped = skipped | F.startswith("location", F.lit(p))
-    text_like = ~F.contains(F.hex(F.substring("content", 1, HEAD_BYTES)).cast("string"), F.lit("\x00"))
     zero = F.instr(F.decode(F.substring("content", 1, HEAD_BYTES), "ISO-8859-1"), "\x00") > 0
-    return files.withColumn("location", location).where(~skipped & ~zero & text_like).select("location", decoded(F.col("content")).alias("text"))
+    return files.withColumn("location", location).where(~skipped & ~zero).select("location", decoded(F.col("content")).alias("text"))
 
 
 def checked_sources(sources: DataFrame) -> DataFrame:
@@ -43,9 +45,9 @@ def checked_sources(sources: DataFrame) -> DataFrame:
 
 def with_evidence(sources: DataFrame, captured_at: str) -> DataFrame:
     """sources (name, source_type, media_type, source_ord, file_no, data) with their evidence record's columns."""
+    sources = save(sources.withColumn("content_hash", content_hash(F.col("data"))), "sources")  # rendered and hashed once
     ordered = numbered(sources, ["source_ord", "file_no"], F.col("source_ord") * 1_000_000 + F.floor(F.col("file_no") / 10_000), "evidence_no")
-    ref = content_hash(F.col("data"))
-    return ordered.select("*", number("EVID", F.col("evidence_no")).alias("evidence_id"), ref.alias("content_hash"), F.octet_length("data").cast("long").alias("size_bytes"), F.lit(captured_at).alias("captured_at"), ref.alias("storage_ref"))
+    return ordered.select("*", number("EVID", F.col("evidence_no")).alias("evidence_id"), F.octet_length("data").cast("long").alias("size_bytes"), F.lit(captured_at).alias("captured_at"), F.col("content_hash").alias("storage_ref"))
 
 
 def vault(sources: DataFrame) -> DataFrame:

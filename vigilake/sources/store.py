@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables, below spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests, one machine) a temporary folder is used and the setting is filled in.
+    Where the setting is absent, a temporary folder is used in local mode and the setting is filled in; on a cluster that is an error.
     The application's own sub-folder is deleted when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="vigilake-")
         spark.conf.set("spark.checkpoint.dir", base)
     root = f"{base.rstrip('/')}/vigilake-scratch/{spark.sparkContext.applicationId}"
@@ -38,10 +40,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing has been written to."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def save(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = fresh_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
