@@ -28,7 +28,7 @@ def test_scope_rules_by_key_agree_with_the_expression(spark):
     assert got[None] == (None, "deny") and design.scope_verdict(targets, df).count() == len(values) + 2
     tagged = spark.createDataFrame([("x", ["Prod"]), ("x", ["dev"]), ("2001:DB8::1", None), ("2001:db8:0:0:0:0:0:2", [])], "target string, tags array<string>")
     more = spark.createDataFrame([("scope_allow", "tag", "prod", False), ("scope_allow", "ip", "2001:db8:0::0:1", False), ("tenant_deny", "ip", "2001:db8::2", False)], "layer string, kind string, value string, include_apex boolean")
-    assert [r.layer for r in design.scope_verdict(tagged, more).orderBy("target", "tags").collect()] == ["tenant_deny", "scope_allow", "scope_allow", None]
+    assert [r.layer for r in design.scope_verdict(tagged, more).orderBy("target", "tags").collect()] == ["scope_allow", "tenant_deny", "scope_allow", None]
 
 
 def test_metrics_of_nothing_are_null(spark):
