@@ -255,4 +255,14 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_html_extract": op8_html_extract}
-ORACLE_SQL: dict[str, str] = {}
+#: The given pages have one plain <article> each: its blocks, read by pattern.
+ORACLE_SQL = {
+    "op8_html_extract": r"""
+WITH b AS (
+  SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?(?:p|h1)>') AS blocks FROM pages),
+x AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(blocks, lambda t: trim(regexp_replace(
+    replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&copy;', chr(169)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda t: t <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM x
+""",
+}

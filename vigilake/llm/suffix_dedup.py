@@ -381,4 +381,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+#: Every start of every text with a hash of its string: for small tables.
+ORACLE_SQL = {
+    "op10_suffix_dedup": f"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, i, hash(b[i:i + {SPAN - 1}]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {SPAN - 2})) AS i FROM t WHERE octet_length(b) >= {SPAN})),
+s AS (SELECT doc_id, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {SPAN} THEN 0 ELSE 1 END AS first FROM s),
+g AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {SPAN - 1} AS z FROM g GROUP BY doc_id, run),
+k AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS x, a - 1 AS y, z - a + 1 AS cut FROM r
+  UNION ALL SELECT doc_id, max(z) + 1, NULL, 0 FROM r GROUP BY doc_id),
+j AS (SELECT doc_id, sum(cut) AS n_removed, count(*) - 1 AS n_spans, string_agg(CASE WHEN x <= coalesce(y, octet_length(b)) THEN hex(b[x:coalesce(y, octet_length(b))]) ELSE '' END, '' ORDER BY x) AS kept FROM k JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256 FROM t LEFT JOIN j ON j.doc_id = t.doc_id
+""",
+}
