@@ -12,6 +12,7 @@ from conftest import DATA
 
 from vigilake import llm
 from vigilake.llm import best_fit_packing, decontaminate, html_extract, jaccard_join, line_dedup, media_columns, quality_lm, suffix_dedup, url_filter, warc
+from vigilake.llm.common import save
 
 LONG = "many words stand here " * 3000
 BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
@@ -177,6 +178,35 @@ def test_warc_shows_damage(spark):
     assert warc.read_archive(warc.to_archive(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_warc_revisits_need_their_response_and_chunks_are_a_file(spark):
+    import base64
+
+    from pyspark.sql import functions as F
+
+    big = "payload é " * 20_000
+    pages = spark.createDataFrame([(1, "http://a/", big), (2, "http://b/", big), (3, "http://c/", "s"), (3, "http://c/", "s")], "page_id long, url string, html string").withColumns({"digest": F.lit("x"), "record": F.lit(1), "last": F.lit(2)})
+    archive = warc.to_archive(pages, 1000)
+    assert {r.page_id: (r.record_type, r.intact) for r in warc.read_archive(archive).collect()} == {1: ("revisit", True), 2: ("response", True), 3: ("response", True)}
+    rows = archive.orderBy("record", "chunk_no").collect()
+    of = {r.record: b"".join(x.data for x in rows if x.record == r.record) for r in rows}
+    gone = [k for k, x in of.items() if b"<urn:page:2>" in x.split(b"\r\n\r\n")[0] and b"WARC-Type: response" in x]
+    assert {r.page_id: r.intact for r in warc.read_archive(archive.where(~F.col("record").isin(gone))).collect()} == {1: False, 3: True}
+    # read as a WARC file by the lengths in its headers
+    data, found = b"".join(of.values()), []
+    while data:
+        head, _, data = data.partition(b"\r\n\r\n")
+        lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        block, data = data[: int(fields["Content-Length"])], data[int(fields["Content-Length"]) :]
+        assert lines[0] == "WARC/1.1" and data[:4] == b"\r\n\r\n"
+        data = data[4:]
+        payload = block.split(b"\r\n\r\n", 1)[1]
+        if fields["WARC-Type"] == "response":
+            assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(sha1(payload).digest()).decode()
+        found.append((fields["WARC-Record-ID"], fields["WARC-Type"], len(payload)))
+    assert sorted(found) == [("<urn:page:1>", "revisit", 0), ("<urn:page:2>", "response", len(big.encode())), ("<urn:page:3>", "response", 1), ("<urn:page:3>", "response", 1)]
+
+
 # packing
 
 
@@ -541,6 +571,49 @@ def test_quality_model(spark, held):
     assert quality_lm.judged(df.limit(0), labels).collect() == []
 
 
+def decisions(texts, labels, part):
+    """(keep, threshold by language) of every text by models made with kneser_ney; part: doc_id -> its fold."""
+    bad = {i for i, q, t in labels if q != 1 or t}
+    good = {i for i, *_ in labels} - bad
+    trusted = [(i, t, x or "") for i, t, _, x in texts if i in good]
+
+    def repeated(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        pairs = list(zip(w, w[1:]))
+        return round(1 - len(set(pairs)) / len(pairs), 4) if pairs else 0.0
+
+    models = {x: kneser_ney([t or "" for i, t, y in trusted if y == x and part[i] > 0]) for x in {x for *_, x in trusted}}
+    scores, shares = defaultdict(list), []
+    for x in models:
+        own = [(i, t) for i, t, y in trusted if y == x and t]
+        held = [(i, t) for i, t in own if part[i] == 0]
+        if len(held) >= quality_lm.FEW:
+            scores[x] = [models[x](t) for _, t in held]
+        else:
+            held = own
+            folds = {f: kneser_ney([t or "" for i, t, y in trusted if y == x and part[i] != f]) for f in {part[i] for i, _ in own}}
+            scores[x] = [folds[part[i]](t) for i, t in own]
+        shares += [repeated(t) for _, t in held]
+    bound = {x: round(float(np.quantile(np.round(v, 4), quality_lm.QUANTILE)), 4) for x, v in scores.items()}
+    most = max(np.quantile(shares, quality_lm.QUANTILE), quality_lm.REPEATED)
+    return {(i, t): bool(t) and ((x or "") not in bound or round(models[x or ""](t), 4) <= bound[x or ""]) and repeated(t) <= most for i, t, _, x in texts}, bound
+
+
+def test_quality_decisions_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(f"{DATA}/documents.parquet").where("lang in ('de', 'fr')").select("doc_id", F.left("text", F.lit(3000)).alias("text"), "source", "lang")
+    df = save(df.unionByName(df.limit(2)), "texts")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality", "toxic")
+    part = {r.doc_id: r.part for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality_lm.HELD_OUT)).alias("part")).collect()}
+    keep, bound = decisions(rows(df), rows(labels), part)
+    got = quality_lm.judged(df, labels).collect()
+    assert len(got) == len(part) + 2 and {r.lang: r["__threshold"] for r in got} == pytest.approx(bound, abs=2e-4)
+    near = lambda r: abs(r["__perplexity"] - bound[r.lang]) < 1e-3
+    assert [(r.doc_id, r["__keep"], r["__perplexity"], bound[r.lang], r.text[:40]) for r in got if r["__keep"] != keep[r.doc_id, r.text] and not near(r)] == []
+    assert {True, False} <= {r["__keep"] for r in got}
+
+
 def test_quality_on_held_out_labels(spark):
     df, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality_lm.judged(df, labels).join(labels, "doc_id").where("toxic = 0").groupBy("quality").agg({"__keep": "count"}).collect()

@@ -3,7 +3,7 @@
 import corpus_pipeline as P
 import pytest
 from conftest import DATA
-from test_operators import ITEMS, check_packing, components, scan  # noqa: F401
+from test_operators import ITEMS, check_packing, components, cut_lines, scan  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +41,25 @@ def test_packing(stages):
 
 def test_run(spark, stages):
     assert sorted(map(tuple, P.run(spark, DATA).drop("sequence_id", "offset").collect())) == sorted(map(tuple, stages[5].drop("sequence_id", "offset").collect()))
+
+
+def test_lines(stages):
+    rows = [(r.doc_id, r.text, r.source, r.lang) for r in stages[1].collect()]
+    want = {(i, t) for i, t, _, removed in cut_lines(rows, 10) if t != "" or not removed}
+    assert {(r.doc_id, r.text) for r in stages[2].collect()} == want
+    assert all(r.n_chars == len(r.text) for r in stages[2].collect())
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows and an extra column; then empty tables."""
+    text = "The text of a document that is long enough for shingles of five words, and for a model to be trained on it."
+    docs = [(1, text, "en", "a", 3, "x"), (1, text, "en", "a", 3, "x"), (2, None, "en", "a", None, None), (3, "", None, None, 0, "y"), (None, text + " Null.", None, "b", 1, "z"), (4, text.upper(), "en", "c", 4, "w"), (5, "word " * 30_000, "en", "d", 5, "v")]
+    schema, label, item = "doc_id long, text string, lang string, source string, n_chars long, token string", "doc_id long, quality int, toxic int", "item_id long, text string"
+    for name, n in (("some", None), ("none", 0)):
+        d = tmp_path / name
+        for table, rows, of in (("documents", docs, schema), ("labels", [(1, 1, 0), (4, None, None), (None, 1, 0), (2, 1, 0)], label), ("benchmark", [(1, None), (None, text), (2, "nothing of the kind")], item)):
+            spark.createDataFrame(rows[:n], of).write.parquet(str(d / f"{table}.parquet"))
+        out = P.run(spark, str(d)).collect()
+        assert (len(out) > 0) == (n is None)
+    ids = {r.doc_id for r in P.run(spark, str(tmp_path / "some")).collect()}
+    assert 1 in ids and not ids & {2, 3, 5}

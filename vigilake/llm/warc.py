@@ -140,11 +140,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archive(archive: DataFrame) -> DataFrame:
-    """One row per record of an archive's chunk table, digests taken anew; intact: all digests and lengths agree."""
+    """One row per record of an archive's chunk table, digests taken anew.
+
+    intact: all digests and lengths agree, and the response that a revisit names is there with the digest and length that the revisit states.
+    """
     archive = archive.select("record", "chunk_no", "n_chunks", "data", "payload_sha1")
     short = archive.where("n_chunks = 1").mapInArrow(_read, RECORDS)
     long = archive.where("n_chunks > 1").repartition("record").sortWithinPartitions("record", "chunk_no").mapInArrow(_read, RECORDS)
-    return short.unionByName(long)
+    records = save(short.unionByName(long), "records")  # without payloads
+    named = records.where("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct().withColumn("__there", F.lit(True))
+    revisits = records.where("record_type = 'revisit'").join(named, ["refers_to", "payload_digest", "payload_bytes"], "left").withColumn("intact", F.col("intact") & F.coalesce("__there", F.lit(False)))
+    return records.where("record_type = 'response'").unionByName(revisits.select(records.columns))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
