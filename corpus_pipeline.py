@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed sequences: five stages, each on all that its predecessor kept."""
+"""A corpus from raw documents to packed sequences: five stages, each on all that its predecessor kept.
+
+Defined results: documents with a null or empty text are rejected by `quality`; a null lang counts as one of its own, a null
+source as no site; rows with a null doc_id are never dropped as near duplicates; rows that repeat an id and a text stay
+together and are packed as often as they come; other columns are kept up to the packing, whose result has its own.
+Empty tables give an empty result; without labels no document with a text is rejected.
+"""
 
 from __future__ import annotations
 
