@@ -108,3 +108,13 @@ def test_uploads_and_package(spark, tmp_path):
     facts = spark.createDataFrame([("T", 'Attack Step: probe\nrisk statement :  loss ')], "id string, text string")
     r = assurance.knowledge(facts).first()
     assert (r.attack_step, r.risk_statement, r.validation_check, r.complete, r.lab_only, r.production_validated) == ("probe", "loss", None, False, True, False)
+
+
+def test_stop_condition_on_a_stream(spark, tmp_path):
+    """The same rates as a batch, kept by target while files arrive."""
+    schema = "target string, error boolean"
+    spark.createDataFrame([("a", i == 0) for i in range(20)] + [("b", False)], schema).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = assurance.error_stops(spark.readStream.schema(schema).json(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("stops").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r.target: (r.errors, r.stop) for r in spark.table("stops").collect()} == {"a": (1, True), "b": (0, False)}

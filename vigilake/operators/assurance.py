@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.functions.text import content_hash
+from vigilake.functions.text import checked, content_hash
 
 # fixed values: limits of the design
 STOP_RATE, LOW_CONFIDENCE = 0.02, 0.5
@@ -116,6 +116,11 @@ def finding_chain(findings: DataFrame, controls: DataFrame, risks: DataFrame, pl
     return out.withColumn("reached", reached)
 
 
+def vulnerability_controls(findings: DataFrame, controls: DataFrame) -> DataFrame:
+    """findings (cve, weakness) with the controls that answer their weakness (controls: weakness, control_id), one row for each; null where none is known."""
+    return findings.join(checked(controls.select("weakness", "control_id").distinct()), "weakness", "left")
+
+
 # fixed values: weight of outside intelligence in a score
 EXPLOITED_BONUS, LIKELIHOOD_BONUS = 15, 10
 

@@ -49,6 +49,13 @@ def resolve(name: str, version: str | None = None) -> Agent:
     return agent
 
 
+def resolutions(wanted: DataFrame) -> DataFrame:
+    """wanted (name, version; version null: any) with outcome: ok, unknown or other_version, as `resolve` decides, and the registered version."""
+    known = wanted.sparkSession.createDataFrame([(a.name, a.version) for a in AGENTS.values()], "name string, registered string")
+    out = wanted.join(F.broadcast(known), "name", "left")  # the registry is a table of this module
+    return out.withColumn("outcome", F.when(F.col("registered").isNull(), "unknown").when(F.col("version") != F.col("registered"), "other_version").otherwise("ok"))
+
+
 def triage(groups: DataFrame, agent: Agent | None = None) -> DataFrame:
     """groups with disposition, confidence, rationale, recommended_action_types, attack_techniques and the number of the run."""
     agent = agent or resolve("soc.triage")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.functions.text import BUCKET, numbered
-from vigilake.operators import assurance, collections_, design, normalize, scan
+from vigilake.operators import assurance, collections_, design, normalize, scan, triage
 from vigilake.plans import sql as S
 from vigilake.plans.flow import run_flow
 from vigilake.sources import raw
@@ -79,8 +79,6 @@ executions AS (SELECT o_orderkey % 10 <> 0 AS preflight_ok, o_orderkey % 10 <> 0
     + " UNION ALL SELECT 'remediation', * FROM (" + _metrics("executions", preflight_success_rate=_share("count(*) FILTER (WHERE preflight_ok)", "count(*)"), verification_pass_rate=_share("count(*) FILTER (WHERE verified)", "count(*) FILTER (WHERE executed)"), rollback_success_rate=_share("count(*) FILTER (WHERE rollback_ok)", "count(rollback_ok)"), failed_execution_rate=_share("count(*) FILTER (WHERE failed)", "count(*) FILTER (WHERE executed)")) + ")"))
 def quality_metrics(spark, d):
     """The families ai, grc and remediation; every ninth result claims evidence that does not exist, every sixth mapping was expected otherwise."""
-    from vigilake.operators import triage
-
     f = _flow(spark, d)
     claimed = F.when(F.col("group_no") % 9 == 0, F.concat("evidence_ids", F.array(F.lit("EVID-none")))).otherwise(F.col("evidence_ids"))
     ai = assurance.ai_metrics(f.triaged.withColumn("confirmed", triage.may_escalate()).withColumn("evidence_ids", claimed), f.evidence)
@@ -302,6 +300,35 @@ def collection_listing(spark, d):
     return numbered(by_id, ["first_seq"], F.floor(F.col("first_seq") / BUCKET), "by_insertion").select("obj_id", "status", "by_id", "by_insertion")
 
 
+@_query("""
+WITH p AS (SELECT p_partkey, 'CWE-' || (p_partkey % 6) AS weakness FROM part), c(weakness, control_id) AS (VALUES ('CWE-0', 'AC-7'), ('CWE-0', 'IA-2'), ('CWE-1', 'SC-8'), ('CWE-4', 'SI-10'))
+SELECT p_partkey, weakness, control_id FROM p LEFT JOIN c USING (weakness)""")
+def vulnerability_controls(spark, d):
+    controls = spark.createDataFrame([("CWE-0", "AC-7"), ("CWE-0", "IA-2"), ("CWE-1", "SC-8"), ("CWE-4", "SI-10")], "weakness string, control_id string")
+    findings = _table(spark, d, "part").select("p_partkey", F.concat(F.lit("CWE-"), (F.col("p_partkey") % 6).cast("string")).alias("weakness"))
+    return assurance.vulnerability_controls(findings, controls).select("p_partkey", "weakness", "control_id")
+
+
+@_query("""
+WITH w AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'grc.map' ELSE 'soc.triage' END AS name, CASE s_suppkey % 4 WHEN 0 THEN '0.2.0' WHEN 1 THEN '9' END AS version FROM supplier)
+SELECT *, CASE WHEN name <> 'soc.triage' THEN 'unknown' WHEN version <> '0.2.0' THEN 'other_version' ELSE 'ok' END AS outcome, CASE WHEN name = 'soc.triage' THEN '0.2.0' END AS registered FROM w""")
+def agent_resolution(spark, d):
+    n = F.col("s_suppkey")
+    wanted = _table(spark, d, "supplier").select(n, F.when(n % 3 == 0, "grc.map").otherwise("soc.triage").alias("name"), F.when(n % 4 == 0, "0.2.0").when(n % 4 == 1, "9").alias("version"))
+    return triage.resolutions(wanted)
+
+
+@_query("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS first FROM events WHERE event_type = 'error'),
+s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT 'u' || user_id AS dedup_key, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS alerts FROM s GROUP BY user_id, n""")
+def alert_sessions(spark, d):
+    """Bursts of a user's error events with gaps of at most half an hour."""
+    events = _table(spark, d, "events").where("event_type = 'error'").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("dedup_key"), F.col("ts").cast("timestamp").alias("ts"))
+    found = events.groupBy(F.session_window("ts", "30 minutes 1 microsecond").alias("w"), "dedup_key").agg(F.count("*").alias("alerts"))
+    return found.select("dedup_key", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "alerts")
+
+
 QUERIES |= {f.__name__: f for f in (file_scan_counts, file_scan_report, history_scan)}
 
 
