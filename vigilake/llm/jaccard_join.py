@@ -26,6 +26,7 @@ doc_id takes no part and has a null component; other columns of the input are no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ WORDS, SHARE = 5, (75, 100)
 FRAGMENTS = 8
 #: Places in the table of frequencies, and steps for each doubling of a frequency.
 LEVEL_BITS, STEPS = 22, 8
-#: Bits of a parity map.
-MAP_BITS = 1024
+#: Bits of a parity map, and of the folded ones by which pairs are tested first; folded maps of so many documents (40 bytes each) may be broadcast.
+MAP_BITS, FOLD_BITS, FOLDS_HELD = 1024, 256, 500_000
 #: Shingles that a task looks through at a time for shared ones.
 COUNTED = 2_000_000
 #: Lists of more documents than this are dealt over several leaders; a list that the leaders leave open is compared in blocks.
@@ -178,9 +179,16 @@ def _may_link(share: tuple[int, int]) -> Column:
     return close & (F.least(n - F.col("place_x"), m - F.col("place_y")) >= F.ceil((n + m) * share[0] / (share[0] + share[1])))
 
 
-def _maps_agree(n: Column, m: Column, x: Column, y: Column, share: tuple[int, int]) -> Column:
-    """Whether documents of n and m n-grams with the maps x and y may overlap by the share."""
-    apart = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, MAP_BITS // 64)), F.bit_count(x[0].bitwiseXOR(y[0])))
+def _folded(maps: DataFrame, side: str) -> DataFrame:
+    """(doc_id, and in columns the longs of the map folded to FOLD_BITS): the parity map for coarser classes."""
+    step = FOLD_BITS // 64
+    fold = lambda k: reduce(Column.bitwiseXOR, (F.col("map")[j] for j in range(k, MAP_BITS // 64, step)))
+    return maps.select(F.col("doc_id").alias(side), *(fold(k).alias(f"{side}{k}") for k in range(step)))
+
+
+def _maps_agree(n: Column, m: Column, x: list[Column], y: list[Column], share: tuple[int, int]) -> Column:
+    """Whether documents of n and m n-grams whose maps have the longs x and y may overlap by the share."""
+    apart = reduce(Column.__add__, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(x, y, strict=True)))
     return apart <= n + m - 2 * F.ceil((n + m) * share[0] / (share[0] + share[1]))
 
 
@@ -228,18 +236,22 @@ def similarity_components(docs: DataFrame, n: int = WORDS, share: tuple[int, int
     ranked = posts.join(support, "doc_id").withColumns({"by_share": F.max(F.struct("support", me.alias("x"))).over(led)["x"], "by_hash": F.min(F.struct(F.xxhash64("doc_id").alias("h"), me.alias("x"))).over(led)["x"]})
     rows = ranked.select(me.alias("x"), F.explode(F.array("by_share", "by_hash")).alias("y")).select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("doc_id", "n", "place")))
     first = save(_pairs(rows.where("doc_id_x <> doc_id_y").where(_may_link(share))), "pairs")
-    mapped = first.join(maps.select(F.col("doc_id").alias("a"), F.col("map").alias("x")), "a").join(maps.select(F.col("doc_id").alias("b"), F.col("map").alias("y")), "b")
-    near = save(mapped.where(_maps_agree(F.col("na"), F.col("nb"), F.col("x"), F.col("y"), share)).select("a", "b", "na", "nb"), "near")
+    longs = lambda c, n=MAP_BITS // 64: [F.col(c)[k] for k in range(n)]
+    pair, folds = ("a", "b", "na", "nb"), range(FOLD_BITS // 64)
+    folded = first.join(checked(_folded(maps, "a"), FOLDS_HELD), "a").join(checked(_folded(maps, "b"), FOLDS_HELD), "b")
+    near = save(folded.where(_maps_agree(F.col("na"), F.col("nb"), [F.col(f"a{k}") for k in folds], [F.col(f"b{k}") for k in folds], share)).select(*pair), "folded")
+    mapped = near.join(maps.select(F.col("doc_id").alias("a"), F.col("map").alias("x")), "a").join(maps.select(F.col("doc_id").alias("b"), F.col("map").alias("y")), "b")
+    near = save(mapped.where(_maps_agree(F.col("na"), F.col("nb"), longs("x"), longs("y"), share)).select(*pair), "near")
     groups = save(connected_components(_links(docs, near, share, n)), "groups")
 
     # what the leaders did not settle: lists that still hold several components, each row with its map, in blocks
     mine = posts.select("token", "doc_id", "n", "place").join(groups, posts["doc_id"] == groups["node"], "left").select("token", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("component"))
     open_ = mine.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high").select("token", "blocks")
-    mine = mine.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    mine = mine.join(checked(save(open_, "lists")), "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     mine = save(mine.join(maps, "doc_id"), "open")
     # a list of k blocks is compared k times, each time with one of its blocks on the one side
     x, y = (mine.select("token", side.alias("block"), *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "place", "component", "map"))) for s, side in (("x", F.col("block")), ("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))))
-    may = (F.col("component_x") < F.col("component_y")) & _may_link(share) & _maps_agree(F.col("n_x"), F.col("n_y"), F.col("map_x"), F.col("map_y"), share)
+    may = (F.col("component_x") < F.col("component_y")) & _may_link(share) & _maps_agree(F.col("n_x"), F.col("n_y"), longs("map_x"), longs("map_y"), share)
     rest = x.withColumnsRenamed({"token": "token_x", "block": "block_x"}).join(y, (F.col("token_x") == F.col("token")) & (F.col("block_x") == F.col("block")) & may)
     rest = save(_pairs(rest).join(first.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
