@@ -47,7 +47,7 @@ def test_against_sql(name, same_as_sql):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", x)[1]) for x in llm.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", x)[1]) for x in llm.QUERIES) == list(range(1, 14))
 
 
 # line dedup
@@ -258,7 +258,7 @@ def test_plan_places_every_piece_once(histogram):
 # n-gram Jaccard join
 
 
-def components(texts, n=5):
+def components(texts, n=5, share=75):
     sets = {}
     for k, (_, t, *_) in enumerate(texts):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -275,7 +275,7 @@ def components(texts, n=5):
             a, b = sets[i], sets[j]
             if None in (texts[i][0], texts[j][0]):
                 continue
-            if i < j and a and b and 100 * len(a & b) >= 75 * len(a | b) or texts[i][0] is not None and texts[i][0] == texts[j][0]:
+            if i < j and a and b and 100 * len(a & b) >= share * len(a | b) or texts[i][0] is not None and texts[i][0] == texts[j][0]:
                 x, y = find(i), find(j)
                 group[max(x, y)] = min(x, y)
     low = {}
