@@ -34,8 +34,8 @@ def test_scope_rules_by_key_agree_with_the_expression(spark):
 def test_metrics_of_nothing_are_null(spark):
     none = spark.createDataFrame([], "expected string, predicted string, expected_priority string, priority string, alerts long")
     assert all(r.value is None for r in assurance.soc_metrics(none).collect())
-    results = spark.createDataFrame([(["E1", "E9"], 0.9, "escalate", False), ([], 0.3, "monitor", False)], "evidence_ids array<string>, confidence double, disposition string, confirmed boolean")
-    got = dict(map(tuple, assurance.ai_metrics(results, spark.createDataFrame([("E1",)], "evidence_id string")).collect()))
+    results = spark.createDataFrame([(2, 0.9, "escalate", False), (0, 0.3, "monitor", False)], "evidence_count long, confidence double, disposition string, confirmed boolean")
+    got = dict(map(tuple, assurance.ai_metrics(results, spark.createDataFrame([("E1",), ("E9",)], "evidence_id string"), spark.createDataFrame([("E1",)], "evidence_id string")).collect()))
     assert got == {"evidence_grounding_rate": 0.5, "hallucinated_claim_rate": 0.5, "low_confidence_rate": 0.5, "skeptic_disagreement_rate": 1.0}
     stops = assurance.error_stops(spark.createDataFrame([("a", False)] * 98 + [("a", True)] * 2 + [("b", False)] * 97 + [("b", True)] * 3 + [("c", None)], "target string, error boolean"))
     assert {r.target: r.stop for r in stops.collect()} == {"a": False, "b": True, "c": True}
@@ -43,9 +43,12 @@ def test_metrics_of_nothing_are_null(spark):
 
 def test_conflicts_keep_the_originals(spark):
     data = [("T1", "a", "escalate", 0.9, ["E1", "E2"]), ("T1", "b", "monitor", 0.9, ["E1"]), ("T2", "a", "escalate", 0.9, ["E1"]), ("T2", "b", "monitor", 0.2, ["E1"]), ("T3", "a", "monitor", 0.9, []), ("T3", "b", "monitor", 0.1, None)]
-    got = {r.task: r for r in assurance.agent_conflicts(spark.createDataFrame(data, "task string, agent string, disposition string, confidence double, evidence_ids array<string>")).collect()}
+    every = spark.createDataFrame(data, "task string, agent string, disposition string, confidence double, evidence_ids array<string>")
+    results, claims = every.drop("evidence_ids"), every.select("task", "agent", F.explode("evidence_ids").alias("evidence_id"))
+    got = {r.task: r for r in assurance.agent_conflicts(results, claims).collect()}
     assert set(got) == {"T1", "T2"} and got["T1"].decision == "review" and got["T2"].decision == "escalate"
-    assert got["T1"].common_evidence == ["E1"] and got["T1"].disputed_evidence == ["E2"] and [r.disposition for r in got["T1"].results] == ["escalate", "monitor"]
+    assert (got["T1"].common_evidence, got["T1"].disputed_evidence) == (1, 1) and [r.disposition for r in got["T1"].results] == ["escalate", "monitor"]
+    assert rows(assurance.disputes(results, claims)) == rows(spark.createDataFrame([("T1", "E1", 2, True), ("T1", "E2", 1, False), ("T2", "E1", 2, True)], "task string, evidence_id string, agents int, common boolean"))
 
 
 def test_nulls_are_never_a_pass(spark):
@@ -82,12 +85,30 @@ def test_long_chain_and_tampering(spark):
     assert {r.chain_id: r.first_broken for r in audit.chain_state(forged).collect()} == {"A": 1500, "B": None}
 
 
-def test_large_groups_list_their_first_alerts(spark):
+def test_large_groups_keep_all_evidence(spark):
     n = grouping.LISTED + 50
-    alerts = spark.range(1, n + 1).select(F.lit("k").alias("dedup_key"), F.col("id").alias("seq"), F.concat(F.lit("ALERT-"), F.col("id").cast("string")).alias("alert_id"), F.array(F.concat(F.lit("EVID-"), F.col("id").cast("string"))).alias("evidence_ids"), F.lit("s").alias("signature"), F.lit("a").alias("asset_id"), F.lit("low").alias("severity"), F.lit("t").alias("event_time"))
-    g = grouping.group(alerts).first()
-    assert g["count"] == n and len(g.alert_ids) == len(g.evidence_ids) == grouping.LISTED and g.alert_ids[-1] == f"ALERT-{grouping.LISTED}"
-    assert [r.place for r in grouping.members(alerts).orderBy("seq").collect()] == list(range(1, n + 1))
+    alerts = spark.range(1, n + 3).select(F.when(F.col("id") <= n, "k").otherwise("small").alias("dedup_key"), F.col("id").alias("seq"), F.concat(F.lit("ALERT-"), F.col("id").cast("string")).alias("alert_id"), F.array(F.concat(F.lit("EVID-"), F.col("id").cast("string"))).alias("evidence_ids"), F.lit("s").alias("signature"), F.lit("a").alias("asset_id"), F.lit("low").alias("severity"), F.lit("t").alias("event_time"))
+    groups = store.save(grouping.group(alerts), "groups")
+    got = {r.dedup_key: r for r in grouping.with_lists(groups, alerts).collect()}
+    assert (got["k"]["count"], got["k"].evidence_count, got["k"].alert_ids, got["k"].evidence_ids) == (n, n, None, None)
+    assert (got["small"].alert_ids, got["small"].evidence_ids) == ([f"ALERT-{n + 1}", f"ALERT-{n + 2}"], [f"EVID-{n + 1}", f"EVID-{n + 2}"])
+    assert grouping.evidence(alerts).where("dedup_key = 'k'").count() == n
+    assert [r.place for r in grouping.members(alerts).where("dedup_key = 'k'").orderBy("seq").collect()] == list(range(1, n + 1))
+
+
+def test_a_package_is_hashed_over_all_its_evidence(spark):
+    n = 2500
+    of = spark.range(1, n + 1).select(F.lit("INC-1").alias("incident_id"), F.format_string("EVID-%04d", "id").alias("evidence_id"))
+    evidence = of.where("evidence_id <> 'EVID-0003'").select("evidence_id", F.concat(F.lit("sha256:"), F.sha2("evidence_id", 256)).alias("content_hash"))
+    lines = assurance.evidence_lines(of, evidence)
+    h = lambda x: "sha256:" + hashlib.sha256(x.encode()).hexdigest()
+    want = [f"{e}={'missing' if e == 'EVID-0003' else h(e)}" for e in (f"EVID-{i:04d}" for i in range(1, n + 1))]
+    want = h(h(",".join(h(",".join(want[a:b])) for a, b in ((0, 999), (999, 1999), (1999, n)))))
+    row = assurance.evidence_digests(lines.repartition(5)).first()
+    assert (row.n_evidence, row.evidence_digest) == (n, want)
+    package = spark.createDataFrame([("INC-1", row.evidence_digest), ("INC-2", None)], "incident_id string, evidence_digest string")
+    assert {r.incident_id: r.intact for r in assurance.checked_package(package, lines).collect()} == {"INC-1": True, "INC-2": True}
+    assert {r.incident_id: r.intact for r in assurance.checked_package(package, lines.where("evidence_no <> 2400")).collect()} == {"INC-1": False, "INC-2": True}
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster():

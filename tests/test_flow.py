@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigilake.functions.text import content_hash, lines
-from vigilake.operators import audit, collections_, design, normalize, policy, remediation, replay, scan, triage, workflow
+from vigilake.operators import audit, collections_, design, grouping, normalize, policy, remediation, replay, scan, triage, workflow
 from vigilake.plans.flow import COLLECTIONS, RUN_AT, flow_states, invariants, outcomes, run_flow
 from vigilake.sources import raw
 
@@ -40,7 +40,10 @@ def test_ingest_groups_and_scores(flow):
     assert (flow.evidence.count(), flow.alerts.count()) == (2, 4)
     ssh, tls = flow.alert_groups.orderBy("group_no").collect()
     assert (ssh.group_id, ssh.dedup_key, ssh["count"], ssh.severity, ssh.risk_score, ssh.risk_band) == ("AG-0001", "ssh_failed_password:web-01:198.51.100.23", 3, "medium", 70, "high")
-    assert (tls["count"], tls.severity, tls.risk_score, tls.risk_band, tls.alert_ids, tls.evidence_ids) == (1, "medium", 50, "medium", ["ALERT-0004"], ["EVID-0002"])
+    assert (tls["count"], tls.severity, tls.risk_score, tls.risk_band, tls.evidence_count) == (1, "medium", 50, "medium", 1)
+    listed = grouping.with_lists(flow.alert_groups, flow.alerts).where("group_no = 2").first()
+    assert (listed.alert_ids, listed.evidence_ids) == (["ALERT-0004"], ["EVID-0002"])
+    assert sorted(map(tuple, flow.group_evidence.collect())) == [("AG-0001", "EVID-0001"), ("AG-0002", "EVID-0002")]
     assert (ssh.first_seen, ssh.last_seen) == ("2026-07-06T21:10:15Z", "2026-07-06T21:10:22Z")
     assert tls.first_seen == "2026-07-06T21:10:00.000000Z"
 
@@ -127,8 +130,8 @@ def test_policy_hash_follows_what_decides(spark):
 
 
 def test_triage_rules(spark):
-    rows = [(1, "ssh_failed_password", "low", 3, ["E"]), (2, "ssh_failed_password", "high", 2, ["E"]), (3, "other", "medium", 9, ["E"]), (4, "ssh_failed_password", "critical", 9, []), (5, "suspicious_outbound_tls", "critical", 1, ["E"])]
-    groups = spark.createDataFrame(rows, "group_no long, signature string, risk_band string, count int, evidence_ids array<string>").withColumns({"group_id": F.lit("AG"), "asset_id": F.lit("a"), "severity": F.lit("low")})
+    rows = [(1, "ssh_failed_password", "low", 3, 1), (2, "ssh_failed_password", "high", 2, 1), (3, "other", "medium", 9, 1), (4, "ssh_failed_password", "critical", 9, 0), (5, "suspicious_outbound_tls", "critical", 1, 1)]
+    groups = spark.createDataFrame(rows, "group_no long, signature string, risk_band string, count int, evidence_count long").withColumns({"group_id": F.lit("AG"), "asset_id": F.lit("a"), "severity": F.lit("low")})
     got = {r.group_no: (r.disposition, r.confidence, list(r.recommended_action_types), list(r.attack_techniques)) for r in triage.triage(groups).collect()}
     assert got == {1: ("escalate", 0.85, ["harden_ssh_access"], ["T1110"]), 2: ("escalate", 0.7, [], ["T1110"]), 3: ("monitor", 0.6, [], []), 4: ("monitor", 0.3, [], ["T1110"]), 5: ("escalate", 0.7, [], ["T1071.001"])}
     assert {r.group_no for r in triage.incidents(triage.triage(groups), RUN_AT).collect()} == {1, 2, 5}

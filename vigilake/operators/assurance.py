@@ -45,10 +45,10 @@ def soc_metrics(judged: DataFrame) -> DataFrame:
         "duplicate_reduction": F.round(1 - F.try_divide(f("groups"), f("alerts")), 6), "alerts_per_incident": _share(f("alerts"), f("incidents"))})
 
 
-def ai_metrics(results: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(metric, value) over results (evidence_ids, confidence, disposition, confirmed) and the evidence (evidence_id) that exists."""
-    c = results.agg(F.count("*").alias("n"), F.count_if(F.size("evidence_ids") > 0).alias("grounded"), F.count_if(F.col("confidence") < LOW_CONFIDENCE).alias("low"), F.count_if(F.col("disposition") == "escalate").alias("escalated"), F.count_if((F.col("disposition") == "escalate") & ~F.col("confirmed")).alias("refused"))
-    claims = results.select(F.explode("evidence_ids").alias("evidence_id")).groupBy("evidence_id").agg(F.count("*").alias("n"))
+def ai_metrics(results: DataFrame, claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(metric, value) over results (evidence_count, confidence, disposition, confirmed), what they claim (evidence_id, a row for each) and the evidence (evidence_id) that exists."""
+    c = results.agg(F.count("*").alias("n"), F.count_if(F.col("evidence_count") > 0).alias("grounded"), F.count_if(F.col("confidence") < LOW_CONFIDENCE).alias("low"), F.count_if(F.col("disposition") == "escalate").alias("escalated"), F.count_if((F.col("disposition") == "escalate") & ~F.col("confirmed")).alias("refused"))
+    claims = claims.groupBy("evidence_id").agg(F.count("*").alias("n"))
     known = evidence.select("evidence_id").distinct().withColumn("known", F.lit(True))
     claimed = claims.join(known, "evidence_id", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("claims"), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("invented"))
     f = F.col
@@ -56,8 +56,8 @@ def ai_metrics(results: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def grc_metrics(mappings: DataFrame, risks: DataFrame) -> DataFrame:
-    """(metric, value) over mappings (control_id, expected_control, evidence_ids) and risks (statement, asset_id)."""
-    m = mappings.agg(F.count("*").alias("n"), F.count_if(F.col("control_id") == F.col("expected_control")).alias("right"), F.count_if(F.size("evidence_ids") > 0).alias("backed"))
+    """(metric, value) over mappings (control_id, expected_control, evidence_count) and risks (statement, asset_id)."""
+    m = mappings.agg(F.count("*").alias("n"), F.count_if(F.col("control_id") == F.col("expected_control")).alias("right"), F.count_if(F.col("evidence_count") > 0).alias("backed"))
     named = F.contains("statement", "asset_id") & ~F.contains("statement", F.lit("n/a"))
     r = risks.agg(F.count("*").alias("risks"), F.count_if(F.coalesce(named, F.lit(False))).alias("whole"))
     f = F.col
@@ -81,32 +81,40 @@ def error_stops(requests: DataFrame, most: float = STOP_RATE) -> DataFrame:
 def safety_checks(judged: DataFrame, confirmed: DataFrame, rules: DataFrame, plans: DataFrame) -> DataFrame:
     """(name, violations, passed) of the thresholds that nothing may break.
 
-    judged: expected_priority, predicted, evidence_ids; confirmed: predicted of groups that became confirmed incidents; rules: expiry; plans: rollback.
+    judged: expected_priority, predicted, evidence_count; confirmed: predicted of groups that became confirmed incidents; rules: expiry; plans: rollback.
     """
     def check(df: DataFrame, name: str, broken: Column) -> DataFrame:
         return df.agg(F.count_if(F.coalesce(broken, F.lit(True))).alias("violations")).select(F.lit(name).alias("name"), "violations", (F.col("violations") == 0).alias("passed"))
 
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     return reduce(DataFrame.unionByName, [
-        check(judged, "no urgent alert is suppressed", F.col("expected_priority").isin(*URGENT) & (F.col("predicted") == "suppress")), check(confirmed, "no confirmed incident is missed", F.col("predicted") != "escalate"), check(judged, "triage refers to evidence", F.size("evidence_ids") <= 0),
+        check(judged, "no urgent alert is suppressed", F.col("expected_priority").isin(*URGENT) & (F.col("predicted") == "suppress")), check(confirmed, "no confirmed incident is missed", F.col("predicted") != "escalate"), check(judged, "triage refers to evidence", F.col("evidence_count") <= 0),
         check(rules, "suppression rules expire", blank("expiry")), check(plans, "plans can be rolled back", blank("rollback")),
     ])
 
 
-def agent_conflicts(results: DataFrame) -> DataFrame:
-    """Tasks on which agents disagree: results (task, agent, disposition, confidence, evidence_ids; a few agents to a task).
+def agent_conflicts(results: DataFrame, claims: DataFrame) -> DataFrame:
+    """Tasks on which agents disagree: results (task, agent, disposition, confidence; a few agents to a task), claims (task, agent, evidence_id).
 
-    The originals stay as they are, in order of agent; evidence that all share is common, the other disputed. Resolved by rule
-    only if all results that have evidence and are not of low confidence agree; else a human reviews.
+    The originals stay as they are, in order of agent; common and disputed count the evidence that all share and the rest (`disputes`
+    names it). Resolved by rule only if all results that have evidence and are not of low confidence agree; else a human reviews.
     """
-    sound = (F.size("evidence_ids") > 0) & (F.col("confidence") >= LOW_CONFIDENCE)
-    c = results.groupBy("task").agg(
-        F.countDistinct("disposition").alias("views"), F.array_sort(F.collect_list(F.struct("agent", "disposition", "confidence"))).alias("results"), F.collect_list("evidence_ids").alias("all"), F.count_if(F.size("evidence_ids") <= 0).alias("without_evidence"),
+    has = claims.select("task", "agent").distinct().withColumn("grounded", F.lit(True))
+    sound = F.coalesce("grounded", F.lit(False)) & (F.col("confidence") >= LOW_CONFIDENCE)
+    c = results.join(has, ["task", "agent"], "left").groupBy("task").agg(
+        F.countDistinct("disposition").alias("views"), F.array_sort(F.collect_list(F.struct("agent", "disposition", "confidence"))).alias("results"), F.count_if(F.col("grounded").isNull()).alias("without_evidence"),
         F.countDistinct(F.when(sound, F.col("disposition"))).alias("sound_views"), F.min(F.when(sound, F.col("disposition"))).alias("sound_view"))
-    common = F.array_sort(F.aggregate("all", F.element_at("all", 1), lambda a, x: F.array_intersect(a, x)))
-    every = F.array_distinct(F.flatten("all"))
     by_rule = F.col("sound_views") == 1
-    return c.where("views > 1").select("task", "results", common.alias("common_evidence"), F.array_sort(F.array_except(every, common)).alias("disputed_evidence"), "without_evidence", F.when(by_rule, F.col("sound_view")).otherwise("review").alias("decision"), F.when(by_rule, "sound-results-agree/1").otherwise("human").alias("resolver"))
+    c = c.where("views > 1").select("task", "results", "without_evidence", F.when(by_rule, F.col("sound_view")).otherwise("review").alias("decision"), F.when(by_rule, "sound-results-agree/1").otherwise("human").alias("resolver"))
+    counts = disputes(results, claims).groupBy("task").agg(F.count_if("common").alias("common_evidence"), F.count_if(~F.col("common")).alias("disputed_evidence"))
+    return c.join(counts, "task", "left").na.fill(0, ["common_evidence", "disputed_evidence"])
+
+
+def disputes(results: DataFrame, claims: DataFrame) -> DataFrame:
+    """(task, evidence_id, agents, common) of tasks on which agents disagree: how many of its agents claim the evidence, and whether all do."""
+    split = results.groupBy("task").agg(F.countDistinct("disposition").alias("views"), F.countDistinct("agent").alias("all")).where("views > 1").select("task", "all")
+    each = claims.groupBy("task", "evidence_id").agg(F.countDistinct("agent").cast("int").alias("agents"))
+    return each.join(split, "task").select("task", "evidence_id", "agents", (F.col("agents") == F.col("all")).alias("common"))
 
 
 def finding_chain(findings: DataFrame, controls: DataFrame, risks: DataFrame, plans: DataFrame) -> DataFrame:
@@ -189,19 +197,54 @@ def job_states(queue: DataFrame, changes: DataFrame) -> DataFrame:
     return c.withColumn("state", F.when(F.col("failed") > 0, "failed").when(F.col("done") == F.col("checks"), "done").when(F.col("queued") == F.col("checks"), "queued").otherwise("running"))
 
 
-def evidence_package(incidents: DataFrame, mappings: DataFrame, risks: DataFrame, plans: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One audit-ready row per incident: what it was mapped to and planned, its evidence's hashes in order of id, and the hash of all that."""
-    of = incidents.select("incident_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id", "content_hash"), "evidence_id", "left")
-    hashes = of.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.concat_ws("=", "evidence_id", F.coalesce("content_hash", F.lit("missing"))))).alias("evidence"))
+#: Evidence that is hashed as one list: so many numbers of evidence, and then so many of these hashes.
+HASHED = 1000
+
+
+def evidence_lines(incident_evidence: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Every piece of evidence of every incident with its hash: (incident_id, evidence_no, evidence_id, content_hash); `missing` where it does not exist.
+
+    evidence_no: the number that ends the id, null if none does.
+    """
+    of = incident_evidence.join(evidence.select("evidence_id", "content_hash"), "evidence_id", "left")
+    return of.select("incident_id", F.expr("try_cast(substring_index(evidence_id, '-', -1) AS bigint)").alias("evidence_no"), "evidence_id", F.coalesce("content_hash", F.lit("missing")).alias("content_hash"))
+
+
+def evidence_digests(lines: DataFrame) -> DataFrame:
+    """(incident_id, n_evidence, evidence_digest): a hash over all of an incident's evidence, whatever its amount.
+
+    Lines are hashed in order by the thousands of their numbers, these hashes by the millions, and so on three times: no list has
+    more than HASHED rows up to a billion pieces of evidence.
+    """
+    def hashed(df: DataFrame, by: list[str], item, n) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct(F.col("at"), item.alias("x"))))
+        return df.groupBy(*by).agg(content_hash(F.array_join(F.transform(rows, lambda r: r["x"]), ",")).alias("h"), n.alias("n"))
+
+    at = lines.select("incident_id", "evidence_no", F.col("evidence_id").alias("at"), F.concat_ws("=", "evidence_id", "content_hash").alias("line"))
+    out = hashed(at.withColumn("block", F.expr(f"evidence_no div {HASHED}")), ["incident_id", "block"], F.col("line"), F.count("*"))
+    out = hashed(out.select("incident_id", F.expr(f"block div {HASHED}").alias("group"), F.col("block").alias("at"), "h", "n"), ["incident_id", "group"], F.col("h"), F.sum("n"))
+    out = hashed(out.select("incident_id", F.col("group").alias("at"), "h", "n"), ["incident_id"], F.col("h"), F.sum("n"))
+    return out.select("incident_id", F.col("n").alias("n_evidence"), F.col("h").alias("evidence_digest"))
+
+
+def evidence_package(incidents: DataFrame, mappings: DataFrame, risks: DataFrame, plans: DataFrame, lines: DataFrame) -> DataFrame:
+    """One audit-ready row per incident: what it was mapped to and planned, the digest of its evidence (lines, which go into the package as a table of their own), and the hash of all that."""
     out = incidents.select("incident_id", "title", "severity").join(mappings.select("incident_id", "control_id"), "incident_id", "left").join(risks.select(F.col("related_incident_id").alias("incident_id"), "risk_id"), "incident_id", "left")
-    out = out.join(plans.select(F.col("created_from").alias("incident_id"), "action_plan_id"), "incident_id", "left").join(hashes, "incident_id", "left")
-    parts = ["incident_id", "title", "severity", "control_id", "risk_id", "action_plan_id"]
-    return out.withColumn("package_hash", content_hash(F.concat_ws("|", *(F.coalesce(c, F.lit("-")) for c in parts), F.array_join("evidence", ","))))
+    out = out.join(plans.select(F.col("created_from").alias("incident_id"), "action_plan_id"), "incident_id", "left").join(evidence_digests(lines), "incident_id", "left")
+    parts = ["incident_id", "title", "severity", "control_id", "risk_id", "action_plan_id", "evidence_digest"]
+    return out.withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0).cast("long"))).withColumn("package_hash", content_hash(F.concat_ws("|", *(F.coalesce(c, F.lit("-")) for c in parts))))
+
+
+def write_package(package: DataFrame, lines: DataFrame, path: str) -> None:
+    """The package as JSON lines in new folders: incidents, and their evidence."""
+    package.write.json(f"{path}/incidents")
+    lines.write.json(f"{path}/evidence")
 
 
-def write_package(package: DataFrame, path: str) -> None:
-    """The package as JSON lines in a new folder."""
-    package.write.json(path)
+def checked_package(package: DataFrame, lines: DataFrame) -> DataFrame:
+    """package (as it was read back) with intact: its evidence is there as it was when it was packed."""
+    again = evidence_digests(lines).select("incident_id", F.col("evidence_digest").alias("__d"))
+    return package.join(again, "incident_id", "left").withColumn("intact", F.col("evidence_digest").eqNullSafe(F.col("__d"))).drop("__d")
 
 
 # fixed values: what may be uploaded

@@ -17,7 +17,7 @@ def control_mappings(incidents: DataFrame) -> DataFrame:
     joined = incidents.join(F.broadcast(dimension(spark, "signature_controls")), "signature").join(F.broadcast(dimension(spark, "controls")), "control_id")
     found = numbered(joined, ["incident_no"], F.floor(F.col("incident_no") / BUCKET), "mapping_no")
     why = F.concat(F.lit("Incident evidences control "), "control_id", F.lit(" ("), "control_title", F.lit(")."))
-    return found.select(number("MAP", F.col("mapping_no")).alias("mapping_id"), "incident_id", "control_id", F.lit(MAPPING_CONFIDENCE).alias("confidence"), why.alias("rationale"), "evidence_ids")
+    return found.select(number("MAP", F.col("mapping_no")).alias("mapping_id"), "incident_id", "control_id", F.lit(MAPPING_CONFIDENCE).alias("confidence"), why.alias("rationale"), "evidence_count")
 
 
 def risks(incidents: DataFrame) -> DataFrame:
@@ -26,4 +26,4 @@ def risks(incidents: DataFrame) -> DataFrame:
     statement = F.concat(F.lit("Observed activity ("), seen, F.lit(") on "), "asset_id", F.lit(" could lead to compromise if unaddressed."))
     return incidents.select(
         number("RISK", F.col("incident_no")).alias("risk_id"), F.concat(F.lit("Exposure from "), "title").alias("title"), statement.alias("statement"), F.lit("medium").alias("likelihood"), F.col("severity").alias("impact"),
-        lookup(F.col("severity"), BAND_BY_SEVERITY).alias("inherent_band"), F.lit(None).cast("string").alias("owner"), F.lit("open").alias("treatment_status"), F.lit(None).cast("string").alias("residual_band"), F.col("incident_id").alias("related_incident_id"), "evidence_ids")
+        lookup(F.col("severity"), BAND_BY_SEVERITY).alias("inherent_band"), F.lit(None).cast("string").alias("owner"), F.lit("open").alias("treatment_status"), F.lit(None).cast("string").alias("residual_band"), F.col("incident_id").alias("related_incident_id"), "evidence_count")

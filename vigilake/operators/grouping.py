@@ -26,10 +26,15 @@ def band(score_: Column) -> Column:
     return out.otherwise("informational")
 
 
-#: A group's row lists so many of its alerts, the first ones, and their evidence; all of them are in `members`.
+#: Lists of alerts and evidence are made for groups of so many alerts; larger ones have theirs in `members` and `evidence` alone.
 LISTED = 1000
 
 
+def evidence(alerts: DataFrame) -> DataFrame:
+    """The evidence of every group, whole: distinct (dedup_key, evidence_id)."""
+    return alerts.select("dedup_key", F.explode("evidence_ids").alias("evidence_id")).distinct()
+
+
 def members(alerts: DataFrame) -> DataFrame:
     """Every alert (dedup_key, seq, alert_id, evidence_ids) with its place in its group, from 1 on.
 
@@ -42,13 +47,24 @@ def members(alerts: DataFrame) -> DataFrame:
     return rows.join(before, ["dedup_key", "__b"]).withColumn("place", place).drop("__b", "__before")
 
 
-def group(alerts: DataFrame) -> DataFrame:
-    """One row per dedup key, numbered by its first alert. Counts, scores and times are those of all its alerts; the lists have LISTED alerts at most."""
-    listed = members(alerts).where(F.col("place") <= LISTED).groupBy("dedup_key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "alert_id"))), lambda x: x["alert_id"]).alias("alert_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence_ids")))).alias("evidence_ids"))
+def group(alerts: DataFrame, evidence_: DataFrame | None = None) -> DataFrame:
+    """One row per dedup key, numbered by its first alert, over all its alerts and evidence; what these are is in `members` and `evidence`.
+
+    evidence_: the result of `evidence` as a table, if there is one already.
+    """
+    backed = (evidence(alerts) if evidence_ is None else evidence_).groupBy("dedup_key").agg(F.count("*").alias("evidence_count"))
     grouped = alerts.groupBy("dedup_key").agg(
         F.min_by("signature", "seq").alias("signature"), F.min_by("asset_id", "seq").alias("asset_id"), F.max_by("severity", weight(F.col("severity"))).alias("severity"), F.count("*").cast("int").alias("count"),
         F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"), F.min("seq").alias("first_seq"))
-    grouped = save(grouped.join(listed, "dedup_key"), "grouped")
+    grouped = save(grouped.join(backed, "dedup_key", "left").withColumn("evidence_count", F.coalesce("evidence_count", F.lit(0).cast("long"))), "grouped")
     out = numbered(grouped, ["first_seq"], F.floor(F.col("first_seq") / BUCKET), "group_no").withColumn("risk_score", score(F.col("severity"), F.col("count"), F.col("asset_id")))
-    return out.select(number("AG", F.col("group_no")).alias("group_id"), "group_no", "dedup_key", "signature", "asset_id", "severity", "count", "alert_ids", "evidence_ids", "first_seen", "last_seen", "risk_score", band(F.col("risk_score")).alias("risk_band"))
+    return out.select(number("AG", F.col("group_no")).alias("group_id"), "group_no", "dedup_key", "signature", "asset_id", "severity", "count", "evidence_count", "first_seen", "last_seen", "risk_score", band(F.col("risk_score")).alias("risk_band"))
+
+
+def with_lists(groups: DataFrame, alerts: DataFrame, most: int = LISTED) -> DataFrame:
+    """groups with alert_ids and evidence_ids as lists, for reports: whole, or null for a group of more than `most` alerts. No list is ever cut."""
+    few = groups.where(F.col("count") <= most).select("dedup_key")
+    mine = alerts.select("dedup_key", "seq", "alert_id", "evidence_ids").join(few, "dedup_key", "left_semi")
+    lists = mine.groupBy("dedup_key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seq", "alert_id"))), lambda x: x["alert_id"]).alias("alert_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence_ids")))).alias("evidence_ids"))
+    return groups.join(lists, "dedup_key", "left")

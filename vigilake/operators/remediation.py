@@ -16,7 +16,7 @@ def action_plans(incidents: DataFrame, at: str) -> DataFrame:
     found = numbered(known, ["incident_no"], F.floor(F.col("incident_no") / BUCKET), "plan_no")
     return found.select(
         number("AP", F.col("plan_no")).alias("action_plan_id"), "plan_no", F.col("plan_title").alias("title"), "action_type", "risk_level", F.lit("proposed").alias("status"), canonical_json(asset_id=F.col("asset_id")).alias("target"), "parameters", "rollback",
-        F.lit(True).alias("requires_approval"), F.col("incident_id").alias("created_from"), "evidence_ids", F.lit(at).alias("created_at"), "asset_id")
+        F.lit(True).alias("requires_approval"), F.col("incident_id").alias("created_from"), "evidence_count", F.lit(at).alias("created_at"), "asset_id")
 
 
 def requests(plans: DataFrame, actor: str, at: str) -> DataFrame:

@@ -16,7 +16,7 @@ MIN_CONFIDENCE = 0.5
 
 @dataclass(frozen=True)
 class Agent:
-    """A named, versioned rule set: from a group's columns to struct<disposition, confidence, rationale, evidence_ids, recommended_action_types>."""
+    """A named, versioned rule set: from a group's columns to struct<disposition, confidence, rationale, recommended_action_types>."""
 
     name: str
     version: str
@@ -32,7 +32,7 @@ def _soc_rules() -> Column:
 
     high = F.col("risk_band").isin("high", "critical")
     return (
-        F.when(F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0, result("monitor", 0.3, F.lit("No linked evidence; defaulting to monitor.")))
+        F.when(F.coalesce("evidence_count", F.lit(0)) <= 0, result("monitor", 0.3, F.lit("No linked evidence; defaulting to monitor.")))
         .when((F.col("signature") == "ssh_failed_password") & (F.col("count") >= 3), result("escalate", 0.85, F.concat(F.col("count").cast("string"), F.lit(" repeated SSH authentication failures for the same source/host indicate credential brute force (T1110).")), F.array(F.lit("harden_ssh_access"))))
         .when(high, result("escalate", 0.7, F.concat(F.lit("Risk band "), "risk_band", F.lit(" warrants analyst escalation."))))
         .otherwise(result("monitor", 0.6, F.concat(F.lit("Risk band "), "risk_band", F.lit("; monitor and enrich before escalation."))))
@@ -67,17 +67,17 @@ def triage(groups: DataFrame, agent: Agent | None = None) -> DataFrame:
 def agent_runs(triaged: DataFrame, at: str, agent: Agent | None = None) -> DataFrame:
     agent = agent or resolve("soc.triage")
     output = canonical_json(disposition=F.col("disposition"), attack_techniques=F.col("attack_techniques"), recommended_action_types=F.col("recommended_action_types"))
-    return triaged.select("agent_run_id", F.lit(agent.name).alias("agent_name"), F.lit(agent.version).alias("agent_version"), F.array("group_id").alias("input_refs"), output.alias("output"), "confidence", "evidence_ids", F.lit("ok").alias("status"), F.lit(at).alias("started_at"), F.lit(at).alias("finished_at"))
+    return triaged.select("agent_run_id", F.lit(agent.name).alias("agent_name"), F.lit(agent.version).alias("agent_version"), F.array("group_id").alias("input_refs"), output.alias("output"), "confidence", "evidence_count", F.lit("ok").alias("status"), F.lit(at).alias("started_at"), F.lit(at).alias("finished_at"))
 
 
 def may_escalate() -> Column:
     """The gate: evidence, and enough confidence. Unknown means no."""
-    return F.coalesce((F.size("evidence_ids") > 0) & (F.col("confidence") >= MIN_CONFIDENCE), F.lit(False))
+    return F.coalesce((F.col("evidence_count") > 0) & (F.col("confidence") >= MIN_CONFIDENCE), F.lit(False))
 
 
 def incidents(triaged: DataFrame, at: str) -> DataFrame:
     """One incident per escalated group that passes the gate, numbered in the order of groups; keeps signature and actions for the next stages."""
     found = numbered(triaged.where(F.col("disposition") == "escalate").where(may_escalate()), ["group_no"], F.floor(F.col("group_no") / BUCKET), "incident_no")
     return found.select(
-        number("INC", F.col("incident_no")).alias("incident_id"), "incident_no", "group_no", F.concat("signature", F.lit(" on "), "asset_id").alias("title"), "severity", F.lit("open").alias("status"), "asset_id", F.array("group_id").alias("alert_group_ids"), "evidence_ids",
+        number("INC", F.col("incident_no")).alias("incident_id"), "incident_no", "group_no", F.concat("signature", F.lit(" on "), "asset_id").alias("title"), "severity", F.lit("open").alias("status"), "asset_id", F.array("group_id").alias("alert_group_ids"), "evidence_count",
         F.col("agent_run_id").alias("triage_ref"), "attack_techniques", F.lit(at).alias("created_at"), "signature", "recommended_action_types", "group_id")

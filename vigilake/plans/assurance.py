@@ -80,8 +80,8 @@ executions AS (SELECT o_orderkey % 10 <> 0 AS preflight_ok, o_orderkey % 10 <> 0
 def quality_metrics(spark, d):
     """The families ai, grc and remediation; every ninth result claims evidence that does not exist, every sixth mapping was expected otherwise."""
     f = _flow(spark, d)
-    claimed = F.when(F.col("group_no") % 9 == 0, F.concat("evidence_ids", F.array(F.lit("EVID-none")))).otherwise(F.col("evidence_ids"))
-    ai = assurance.ai_metrics(f.triaged.withColumn("confirmed", triage.may_escalate()).withColumn("evidence_ids", claimed), f.evidence)
+    claims = f.group_evidence.select("evidence_id").unionByName(f.triaged.where("group_no % 9 = 0").select(F.lit("EVID-none").alias("evidence_id")))
+    ai = assurance.ai_metrics(f.triaged.withColumn("confirmed", triage.may_escalate()), claims, f.evidence)
     number = F.substring_index("incident_id", "-", -1).cast("int")
     grc = assurance.grc_metrics(f.control_mappings.withColumn("expected_control", F.when(number % 6 == 0, "OTHER").otherwise(F.col("control_id"))), f.risks.join(f.incidents.select(F.col("incident_id").alias("related_incident_id"), "asset_id"), "related_incident_id"))
     n = F.col("o_orderkey")
@@ -113,19 +113,33 @@ def safety_thresholds(spark, d):
     return assurance.safety_checks(judged, judged.join(f.incidents.select("group_id"), "group_id", "left_semi"), rules, f.action_plans)
 
 
-@_query(S.query(S.TRIAGED + """,
-second AS (SELECT group_id, CASE WHEN group_no % 4 = 0 THEN '' ELSE string_split(evidence_ids, ',')[1] END AS evidence, CASE WHEN count < 5 THEN 'monitor' ELSE 'escalate' END AS disposition, CAST(CASE WHEN group_no % 3 = 0 THEN 0.4 ELSE 0.9 END AS DOUBLE) AS confidence FROM triaged),
-both_ AS (SELECT t.group_id AS task, t.disposition AS d1, s.disposition AS d2, t.evidence_ids <> '' AND t.confidence >= 0.5 AS s1, s.evidence <> '' AND s.confidence >= 0.5 AS s2, t.evidence_ids, s.evidence FROM triaged t JOIN second s USING (group_id) WHERE t.disposition <> s.disposition)""", """
-SELECT task, CASE WHEN s1 AND NOT s2 THEN d1 WHEN s2 AND NOT s1 THEN d2 ELSE 'review' END AS decision, CASE WHEN s1 <> s2 THEN 'sound-results-agree/1' ELSE 'human' END AS resolver, evidence AS common_evidence,
-  array_to_string(list_filter(string_split(evidence_ids, ','), lambda x: x <> evidence), ',') AS disputed_evidence, CAST(evidence = '' AS INTEGER) + CAST(evidence_ids = '' AS INTEGER) AS without_evidence, 2 AS n_results FROM both_"""))
+_SECOND = S.TRIAGED + """,
+claims AS (SELECT DISTINCT group_no, evidence_id FROM alerts JOIN groups USING (dedup_key)),
+second AS (SELECT t.group_no, t.group_id, CASE WHEN count < 5 THEN 'monitor' ELSE 'escalate' END AS disposition, CAST(CASE WHEN t.group_no % 3 = 0 THEN 0.4 ELSE 0.9 END AS DOUBLE) AS confidence, CASE WHEN t.group_no % 4 > 0 THEN (SELECT min(evidence_id) FROM claims c WHERE c.group_no = t.group_no) END AS evidence FROM triaged t),
+both_ AS (SELECT t.group_no, t.group_id AS task, t.disposition AS d1, s.disposition AS d2, t.evidence_ids <> '' AND t.confidence >= 0.5 AS s1, s.evidence IS NOT NULL AND s.confidence >= 0.5 AS s2, t.evidence_ids, s.evidence FROM triaged t JOIN second s USING (group_id) WHERE t.disposition <> s.disposition)"""
+
+
+def _two_agents(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The triage agent against one that only counts, and gives its first piece of evidence for three groups of four: results and claims."""
+    f = _flow(spark, d)
+    t, n = f.triaged, F.col("group_no")
+    view = lambda agent, disposition, confidence: t.select(F.col("group_id").alias("task"), F.lit(agent).alias("agent"), disposition.alias("disposition"), confidence.cast("double").alias("confidence"))
+    second = view("counting", F.when(F.col("count") < 5, "monitor").otherwise("escalate"), F.when(n % 3 == 0, 0.4).otherwise(0.9))
+    claims = f.group_evidence.select(F.col("group_id").alias("task"), F.lit("triage").alias("agent"), "evidence_id")
+    few = claims.join(t.where(n % 4 > 0).select(F.col("group_id").alias("task")), "task", "left_semi").groupBy("task").agg(F.min("evidence_id").alias("evidence_id")).select("task", F.lit("counting").alias("agent"), "evidence_id")
+    return view("triage", F.col("disposition"), F.col("confidence")).unionByName(second), claims.unionByName(few)
+
+
+@_query(S.query(_SECOND, """
+SELECT task, CASE WHEN s1 AND NOT s2 THEN d1 WHEN s2 AND NOT s1 THEN d2 ELSE 'review' END AS decision, CASE WHEN s1 <> s2 THEN 'sound-results-agree/1' ELSE 'human' END AS resolver, CAST(evidence IS NOT NULL AS BIGINT) AS common_evidence,
+  (SELECT count(*) FROM claims c WHERE c.group_no = b.group_no) - CAST(evidence IS NOT NULL AS BIGINT) AS disputed_evidence, CAST(evidence IS NULL AS INTEGER) + CAST(evidence_ids = '' AS INTEGER) AS without_evidence, 2 AS n_results FROM both_ b"""))
 def agent_conflicts(spark, d):
-    """The triage agent against one that only counts, and gives evidence for three groups of four."""
-    t = _flow(spark, d).triaged
-    n = F.col("group_no")
-    view = lambda agent, disposition, confidence, evidence: t.select(F.col("group_id").alias("task"), F.lit(agent).alias("agent"), disposition.alias("disposition"), confidence.cast("double").alias("confidence"), evidence.alias("evidence_ids"))
-    second = view("counting", F.when(F.col("count") < 5, "monitor").otherwise("escalate"), F.when(n % 3 == 0, 0.4).otherwise(0.9), F.when(n % 4 == 0, F.array().cast("array<string>")).otherwise(F.slice("evidence_ids", 1, 1)))
-    found = assurance.agent_conflicts(view("triage", F.col("disposition"), F.col("confidence"), F.col("evidence_ids")).unionByName(second))
-    return found.select("task", "decision", "resolver", _text("common_evidence"), _text("disputed_evidence"), "without_evidence", F.size("results").alias("n_results"))
+    return assurance.agent_conflicts(*_two_agents(spark, d)).select("task", "decision", "resolver", "common_evidence", "disputed_evidence", "without_evidence", F.size("results").alias("n_results"))
+
+
+@_query(S.query(_SECOND, "SELECT task, evidence_id, CASE WHEN evidence_id = evidence THEN 2 ELSE 1 END AS agents, coalesce(evidence_id = evidence, false) AS common FROM both_ JOIN claims USING (group_no)"))
+def agent_disputes(spark, d):
+    return assurance.disputes(*_two_agents(spark, d))
 
 
 @_query("""
@@ -204,19 +218,48 @@ def check_schedule(spark, d):
     return assurance.job_states(queue, changes)
 
 
-@_query(S.query(S.PLANS + """,
-of AS (SELECT incident_id, unnest(string_split(evidence_ids, ',')) AS evidence_id FROM incidents),
-h AS (SELECT printf('EVID-%04d', evidence_no) AS evidence_id, 'sha256:' || sha256(data) AS content_hash FROM evidence),
-e AS (SELECT incident_id, string_agg(evidence_id || '=' || content_hash, ',' ORDER BY evidence_id || '=' || content_hash) AS evidence, count(*) AS n_evidence FROM of JOIN h USING (evidence_id) GROUP BY incident_id),
-x AS (SELECT i.incident_id, i.title, i.severity, m.control_id, printf('RISK-%04d', i.incident_no) AS risk_id, p.action_plan_id, e.evidence, e.n_evidence FROM incidents i LEFT JOIN mappings m USING (incident_id) LEFT JOIN plans p USING (incident_id) LEFT JOIN e USING (incident_id))""", """
-SELECT incident_id, control_id, risk_id, action_plan_id, n_evidence, 'sha256:' || sha256(incident_id || '|' || title || '|' || severity || '|' || coalesce(control_id, '-') || '|' || risk_id || '|' || coalesce(action_plan_id, '-') || '|' || evidence) AS package_hash FROM x"""))
-def evidence_package(spark, d):
-    """Written as JSON to a new folder and read back."""
-    f = _flow(spark, d)
-    package = assurance.evidence_package(f.incidents, f.control_mappings, f.risks, f.action_plans, f.evidence)
+_PACKED = """,
+lines AS (SELECT DISTINCT incident_id, evidence_no, printf('EVID-%04d', evidence_no) AS evidence_id, 'sha256:' || sha256(data) AS content_hash FROM alerts JOIN incidents USING (dedup_key) JOIN evidence e ON printf('EVID-%04d', e.evidence_no) = alerts.evidence_id),
+h1 AS (SELECT incident_id, evidence_no // 1000 AS block, 'sha256:' || sha256(string_agg(evidence_id || '=' || content_hash, ',' ORDER BY evidence_id)) AS h, count(*) AS n FROM lines GROUP BY ALL),
+h2 AS (SELECT incident_id, block // 1000 AS part, 'sha256:' || sha256(string_agg(h, ',' ORDER BY block)) AS h, sum(n) AS n FROM h1 GROUP BY incident_id, block // 1000),
+e AS (SELECT incident_id, 'sha256:' || sha256(string_agg(h, ',' ORDER BY part)) AS evidence_digest, CAST(sum(n) AS BIGINT) AS n_evidence FROM h2 GROUP BY incident_id),
+x AS (SELECT i.incident_id, i.title, i.severity, m.control_id, printf('RISK-%04d', i.incident_no) AS risk_id, p.action_plan_id, e.evidence_digest, e.n_evidence FROM incidents i LEFT JOIN mappings m USING (incident_id) LEFT JOIN plans p USING (incident_id) LEFT JOIN e USING (incident_id))"""
+_PACKAGE = "SELECT incident_id, control_id, risk_id, action_plan_id, n_evidence, 'sha256:' || sha256(incident_id || '|' || title || '|' || severity || '|' || coalesce(control_id, '-') || '|' || risk_id || '|' || coalesce(action_plan_id, '-') || '|' || evidence_digest) AS package_hash, true AS intact FROM x"
+
+
+def _packed(spark, f) -> DataFrame:
+    """Written as JSON to a new folder, read back, and checked against the evidence that was written with it."""
+    lines = assurance.evidence_lines(f.incident_evidence, f.evidence)
+    package = assurance.evidence_package(f.incidents, f.control_mappings, f.risks, f.action_plans, lines)
     path = fresh_path(spark, "package")
-    assurance.write_package(package, path)
-    return spark.read.schema(package.schema).json(path).select("incident_id", "control_id", "risk_id", "action_plan_id", F.size("evidence").alias("n_evidence"), "package_hash")
+    assurance.write_package(package, lines, path)
+    again = assurance.checked_package(spark.read.schema(package.schema).json(f"{path}/incidents"), spark.read.schema(lines.schema).json(f"{path}/evidence"))
+    return again.select("incident_id", "control_id", "risk_id", "action_plan_id", "n_evidence", "package_hash", "intact")
+
+
+@_query(S.query(S.PLANS + _PACKED, _PACKAGE))
+def evidence_package(spark, d):
+    return _packed(spark, _flow(spark, d))
+
+
+def _one_address(spark, d):
+    error, n = F.col("event_type") == "error", F.col("event_id")
+    events = _table(spark, d, "events").withColumns({"user_id": F.when(error, F.lit(7).cast("long")).otherwise(F.col("user_id")), "event_id": n * 6 + F.when(error, 1).otherwise(n % 6)})
+    return run_flow(raw.event_sources(events, 30))
+
+
+_HOT = S.PLANS.replace("event_id // 1000 AS file_no", "event_id // 30 AS file_no").replace("FROM events)", "FROM (SELECT * REPLACE (CASE WHEN event_type = 'error' THEN 7 ELSE user_id END AS user_id, event_id * 6 + CASE WHEN event_type = 'error' THEN 1 ELSE event_id % 6 END AS event_id) FROM events))")
+
+
+@_query(S.query(_HOT + _PACKED, _PACKAGE))
+def hot_group_package(spark, d):
+    """The same where one address fails to log in to one host in all error events, over files of five events: a group with more evidence than any list holds."""
+    return _packed(spark, _one_address(spark, d))
+
+
+@_query(S.query(_HOT, "SELECT group_id, count, len(string_split(evidence_ids, ',')) AS evidence_count, risk_score, disposition FROM triaged"))
+def hot_group_counts(spark, d):
+    return _one_address(spark, d).triaged.select("group_id", "count", "evidence_count", "risk_score", "disposition")
 
 
 @_query("""

@@ -43,13 +43,22 @@ def alert_ids_numbered(spark, d):
 
 
 def alert_groups_scored(spark, d):
-    return _flow(spark, d).alert_groups.select("dedup_key", "signature", "asset_id", "severity", "count", _joined("alert_ids"), _joined("evidence_ids"), "first_seen", "last_seen", "risk_score", "risk_band")
+    f = _flow(spark, d)
+    return grouping.with_lists(f.alert_groups, f.alerts).select("dedup_key", "signature", "asset_id", "severity", "count", _joined("alert_ids"), _joined("evidence_ids"), "first_seen", "last_seen", "risk_score", "risk_band")
 
 
 def alert_group_members(spark, d):
     return grouping.members(_flow(spark, d).alerts).select("dedup_key", "place", "alert_id")
 
 
+def group_evidence(spark, d):
+    return _flow(spark, d).group_evidence
+
+
+def incident_evidence(spark, d):
+    return _flow(spark, d).incident_evidence
+
+
 def group_first_appearance(spark, d):
     return _flow(spark, d).alert_groups.select("group_id", "dedup_key")
 
@@ -67,7 +76,7 @@ def escalation_gate(spark, d):
 
 
 def incidents(spark, d):
-    return _flow(spark, d).incidents.select("incident_id", "title", "severity", "status", "asset_id", _joined("alert_group_ids"), _joined("evidence_ids"), "triage_ref", _joined("attack_techniques"), "created_at")
+    return _flow(spark, d).incidents.select("incident_id", "title", "severity", "status", "asset_id", _joined("alert_group_ids"), "evidence_count", "triage_ref", _joined("attack_techniques"), "created_at")
 
 
 def control_mappings(spark, d):
@@ -411,7 +420,7 @@ def handoff_lineage(spark, d):
     return design.handoffs(_table(spark, d, "supplier").select(n.alias("task"), parent.cast("long").alias("parent")), 5)
 
 
-_NAMES = """alert_groups_scored alert_group_members parse_auth_lines parse_eve_lines alert_ids_numbered group_first_appearance triage_dispositions agent_runs escalation_gate incidents control_mappings risk_register action_plans
+_NAMES = """alert_groups_scored alert_group_members group_evidence incident_evidence parse_auth_lines parse_eve_lines alert_ids_numbered group_first_appearance triage_dispositions agent_runs escalation_gate incidents control_mappings risk_register action_plans
 policy_decisions policy_gates target_allowlist scope_policy_hash flow_outcomes flow_summary inbox_by_disposition queue_top evidence_hashes evidence_integrity audit_chain_build audit_chain_verify audit_chain_tampered
 workflow_counts last_flow_state state_changes invariant_checks replay_diff run_comparison secret_scan_lines secret_scan_raw secret_scan_counts redact_identity commit_email_dedup idempotent_merge conditional_append
 upsert_last_write collection_documents eval_confusion eval_metrics candidate_ttl source_gate typed_target_match transition_check repeated_tool_calls document_dedup document_chunks entity_extract conflict_detect

@@ -14,7 +14,7 @@ from vigilake.sources.store import save
 
 RUN_AT = "2026-07-06T21:15:00Z"
 #: What a replay must reproduce.
-COLLECTIONS = ("evidence", "alerts", "alert_groups", "agent_runs", "incidents", "control_mappings", "risks", "action_plans", "policy_decisions")
+COLLECTIONS = ("evidence", "alerts", "alert_groups", "group_evidence", "agent_runs", "incidents", "incident_evidence", "control_mappings", "risks", "action_plans", "policy_decisions")
 
 
 class Flow:
@@ -34,9 +34,18 @@ class Flow:
     def alerts(self) -> DataFrame:
         return save(normalize.parse(raw.source_lines(self.evidence)), "alerts")
 
+    @cached_property
+    def key_evidence(self) -> DataFrame:
+        return save(grouping.evidence(self.alerts), "key-evidence")
+
     @cached_property
     def alert_groups(self) -> DataFrame:
-        return save(grouping.group(self.alerts), "groups")
+        return save(grouping.group(self.alerts, self.key_evidence), "groups")
+
+    @cached_property
+    def group_evidence(self) -> DataFrame:
+        """All evidence of every group: (group_id, evidence_id)."""
+        return self.key_evidence.join(self.alert_groups.select("dedup_key", "group_id"), "dedup_key").select("group_id", "evidence_id")
 
     @cached_property
     def triaged(self) -> DataFrame:
@@ -50,6 +59,11 @@ class Flow:
     def incidents(self) -> DataFrame:
         return save(triage.incidents(self.triaged, self.at), "incidents")
 
+    @cached_property
+    def incident_evidence(self) -> DataFrame:
+        """All evidence of every incident, and so of its mapping, risk and plan: (incident_id, evidence_id)."""
+        return self.group_evidence.join(self.incidents.select("group_id", "incident_id"), "group_id").select("incident_id", "evidence_id")
+
     @cached_property
     def control_mappings(self) -> DataFrame:
         return grc.control_mappings(self.incidents)
@@ -100,9 +114,9 @@ def invariants(flow: Flow, chains: DataFrame) -> DataFrame:
     def holds(df: DataFrame, name: str, condition) -> DataFrame:
         return df.agg(F.bool_and(F.coalesce(condition, F.lit(False))).alias("passed")).select(F.lit(name).alias("name"), F.coalesce("passed", F.lit(True)).alias("passed"))
 
-    out = holds(flow.alert_groups, "every group has evidence", F.size("evidence_ids") > 0)
+    out = holds(flow.alert_groups, "every group has evidence", F.col("evidence_count") > 0)
     for df, name, condition in (
-        (flow.incidents, "every incident has evidence", F.size("evidence_ids") > 0), (flow.action_plans, "every plan needs approval", F.col("requires_approval")), (flow.policy_decisions, "nothing is executed", F.col("effect") == "deny"), (chains, "every audit chain is intact", F.col("intact")),
+        (flow.incidents, "every incident has evidence", F.col("evidence_count") > 0), (flow.action_plans, "every plan needs approval", F.col("requires_approval")), (flow.policy_decisions, "nothing is executed", F.col("effect") == "deny"), (chains, "every audit chain is intact", F.col("intact")),
     ):
         out = out.unionByName(holds(df, name, condition))
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from vigilake.functions.knowledge import NO_CREDENTIALS, PLACEHOLDERS, SECRET_PATTERNS
 from vigilake.operators.audit import GENESIS
+from vigilake.operators.grouping import LISTED
 from vigilake.plans import sql as S
 from vigilake.plans.flow import COLLECTIONS, RUN_AT
 
@@ -55,14 +56,16 @@ ORACLE_SQL = {
     "parse_auth_lines": _q(S.ALERTS, "SELECT title, asset_id, event_time, dedup_key, severity, evidence_id AS evidence_ids FROM auth"),
     "parse_eve_lines": _q(S.ALERTS, "SELECT title, asset_id, event_time, dedup_key, severity, evidence_id AS evidence_ids FROM eve"),
     "alert_ids_numbered": _q(S.ALERTS, "SELECT printf('ALERT-%04d', seq) AS alert_id, source, dedup_key, event_time FROM alerts"),
-    "alert_groups_scored": _q(S.GROUPS, "SELECT dedup_key, signature, asset_id, severity, count, alert_ids, evidence_ids, first_seen, last_seen, risk_score, risk_band FROM groups"),
+    "alert_groups_scored": _q(S.GROUPS, f"SELECT dedup_key, signature, asset_id, severity, count, CASE WHEN count <= {LISTED} THEN alert_ids END AS alert_ids, CASE WHEN count <= {LISTED} THEN evidence_ids END AS evidence_ids, first_seen, last_seen, risk_score, risk_band FROM groups"),
     "alert_group_members": _q(S.ALERTS, "SELECT dedup_key, row_number() OVER (PARTITION BY dedup_key ORDER BY seq) AS place, printf('ALERT-%04d', seq) AS alert_id FROM alerts"),
+    "group_evidence": _q(S.GROUPS, "SELECT DISTINCT group_id, evidence_id FROM alerts JOIN groups USING (dedup_key)"),
+    "incident_evidence": _q(S.INCIDENTS, "SELECT DISTINCT incident_id, evidence_id FROM alerts JOIN incidents USING (dedup_key)"),
     "group_first_appearance": _q(S.GROUPS, "SELECT group_id, dedup_key FROM groups"),
     "triage_dispositions": _q(S.TRIAGED, "SELECT group_id, disposition, confidence, rationale, attack_techniques, actions FROM triaged"),
     "agent_runs": _q(S.TRIAGED, f"""SELECT agent_run_id, 'soc.triage' AS agent_name, '0.2.0' AS agent_version, group_id AS input_refs,
   '{{"attack_techniques":["' || attack_techniques || '"],"disposition":"' || disposition || '","recommended_action_types":[' || CASE WHEN actions = '' THEN '' ELSE '"' || actions || '"' END || ']}}' AS output, confidence, 'ok' AS status, '{RUN_AT}' AS started_at FROM triaged"""),
     "escalation_gate": _q(S.TRIAGED, "SELECT disposition, evidence_ids <> '' AND confidence >= 0.5 AS passes, count(*) AS groups FROM triaged GROUP BY ALL"),
-    "incidents": _q(S.INCIDENTS, f"SELECT incident_id, title, severity, 'open' AS status, asset_id, group_id AS alert_group_ids, evidence_ids, agent_run_id AS triage_ref, attack_techniques, '{RUN_AT}' AS created_at FROM incidents"),
+    "incidents": _q(S.INCIDENTS, f"SELECT incident_id, title, severity, 'open' AS status, asset_id, group_id AS alert_group_ids, len(string_split(evidence_ids, ',')) AS evidence_count, agent_run_id AS triage_ref, attack_techniques, '{RUN_AT}' AS created_at FROM incidents"),
     "control_mappings": _q(S.PLANS, "SELECT mapping_id, incident_id, control_id, CAST(0.8 AS DOUBLE) AS confidence, 'Incident evidences control ' || control_id || ' (' || control_title || ').' AS rationale FROM mappings"),
     "risk_register": _q(S.INCIDENTS, """SELECT printf('RISK-%04d', incident_no) AS risk_id, 'Exposure from ' || title AS title, 'Observed activity (' || CASE WHEN attack_techniques = '' THEN 'n/a' ELSE attack_techniques END || ') on ' || asset_id || ' could lead to compromise if unaddressed.' AS statement,
   'medium' AS likelihood, severity AS impact, CASE severity WHEN 'info' THEN 'informational' ELSE severity END AS inherent_band, 'open' AS treatment_status, incident_id AS related_incident_id FROM incidents"""),
