@@ -428,7 +428,8 @@ windowed_alert_counts suppression_match baseline_findings approval_binding
 scope_compile intake_screening vulnerability_enrichment boundary_rechecks memory_entries handoff_lineage""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}
 
-from vigilake.plans import assurance, twins  # noqa: E402
+from vigilake.plans import assurance, operations, twins  # noqa: E402
 
-QUERIES |= assurance.QUERIES
-ORACLE_SQL = twins.ORACLE_SQL | assurance.twins(lambda select: twins._scan(True, select))
+QUERIES |= assurance.QUERIES | operations.QUERIES
+ORACLE_SQL = twins.ORACLE_SQL | assurance.twins(lambda select: twins._scan(True, select)) | operations.ORACLE_SQL
+ORACLE_SQL |= {name: ORACLE_SQL[other] for name, other in operations.SAME.items()}

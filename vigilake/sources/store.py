@@ -52,3 +52,37 @@ def save(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in order; none if there is no such folder."""
+    fs, p = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written whole."""
+    fs, p = file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file; false if it is there already (of several that try, one succeeds where the file system creates atomically)."""
+    fs, p = file_system(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        if fs.exists(p):
+            return False
+        raise e
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
