@@ -162,11 +162,12 @@ def near_texts():
     return out + [(400, out[-1][1], "s", "en"), (400, "some other text of few words", "s", "en"), (401, "some other text of few words", "s", "en"), (402, "", "s", "en"), (402, "e f g h", "s", "en"), (399, "e f g h", "s", "en")]
 
 
-@pytest.mark.parametrize("small", [minhash_dedup.SMALL, 1])
-def test_minhash(spark, small):
+@pytest.mark.parametrize("block", [minhash_dedup.BLOCK, 1])
+def test_minhash(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     texts = near_texts()
     df = spark.createDataFrame(texts, SCHEMA).withColumns({"n": F.lit(1), "node": F.lit(2), "rep": F.lit("r"), "keys": F.lit(0), "h1": F.lit(3)})
-    got = [tuple(r) for r in minhash_dedup.similarity_components(df, small=small).select("doc_id", "n_shingles", "component_id").collect()]
+    got = [tuple(r) for r in minhash_dedup.similarity_components(df).select("doc_id", "n_shingles", "component_id").collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, components(texts, 2, 80)))
     kept = minhash_dedup.dedup(df)
     assert kept.columns == df.columns

@@ -6,12 +6,12 @@ of bins of its own (optimal densification), the same for all documents. BANDS ke
 an equal key are in one bucket. A pair of similarity s shares no bucket with a probability of about (1 - s**ROWS)**BANDS:
 5 in 10**9 at 0.8.
 
-Buckets give stars: every member is compared with the bucket's leader alone, the one of the least hash of doc_id, which is the
-same in many of the buckets that similar documents share. So pairs are at most BANDS per document, whatever the size of a
-group. Candidates that pass tests of size and of a sketch (one bit of each bin) are confirmed on the full sets, links are
-closed to components. Documents that are similar to each other but not to their leader are left: they are in buckets that still
-hold several components. Such a bucket of at most SMALL documents has its pairs of different components tested within the join;
-a larger one is cut by further bands of its members (two similar ones agree in four of ten) and treated in the same way again.
+Buckets give stars: every member is compared with the bucket's leader alone, the one that meets most others in all its buckets
+(of many copies of a text, that which they were made from). So pairs are at most BANDS per document, whatever the size of a
+group. Candidates that pass tests of size, of a sketch (one bit of each bin) and of a parity map of the whole set (an exact
+bound) are confirmed on the full sets, links are closed to components. Documents that are similar to each other but not to
+their leader are left: they are in buckets that still hold several components. There the members outside the bucket's main
+component are compared with all others of other components, in blocks and with the same tests inside the join.
 
 Equal sets are one class from the start and are known by their size and two sums of 64-bit hashes.
 
@@ -31,21 +31,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm.common import checked, connected_components, save, table
-from vigilake.llm.jaccard_join import FRAGMENTS, _A, _B, _sums
+from vigilake.llm.jaccard_join import FRAGMENTS, MAP_BITS, _A, _B, _maps, _maps_agree, _sums
 from vigilake.llm.words import NOT_SPACE, mix, shingle_sets, slices, words
 
 #: Shingle length in words, and the similarity as a fraction.
 WORDS, SHARE = 2, (80, 100)
 #: Bins of the permutation (a power of two), bands, and bins in a band.
 BINS, BANDS, ROWS = 256, 48, 5
-#: Buckets of so many documents have their open pairs tested; larger ones are cut by so many further bands, so many times at most.
-SMALL, FURTHER, DEPTH = 200, 12, 3
+#: Members outside a bucket's main component are compared with the bucket in blocks of so many.
+BLOCK = 2000
 #: Standard deviations by which a sketch may differ from what is expected at the threshold.
 SIGMAS = 8
 #: Sketches of so many documents (40 bytes each) may be broadcast.
 SKETCHES_HELD = 500_000
 
-_SKETCH, _PARTS = "doc_id long, n long, h1 long, h2 long, keys array<long>, bits array<long>", "doc_id long, n long, h1 long, h2 long, fragment int, tokens array<long>"
+_SKETCH, _PARTS = "doc_id long, n long, h1 long, h2 long, keys array<long>, bits array<long>, map array<long>", "doc_id long, n long, h1 long, h2 long, fragment int, tokens array<long>"
 
 
 def _orders(bins: int) -> np.ndarray:
@@ -65,13 +65,13 @@ def signature(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
     return value[source]
 
 
-def _sets(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Every row's set as sorted hashes, and its identity: size and two sums."""
+def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Every row's set as sorted hashes; its identity, which is size and two sums; and its parity map."""
     h, _, _, rows = words(data, offsets, NOT_SPACE)
     sets = list(shingle_sets(h, rows, n))
     size = np.array([len(s) for s in sets], np.int64)
     every, ends = np.concatenate(sets), np.concatenate(([0], np.cumsum(size)))
-    return sets, size, _sums(mix(every ^ _A), ends), _sums(mix(every ^ _B), ends)
+    return sets, size, _sums(mix(every ^ _A), ends), _sums(mix(every ^ _B), ends), _maps(every, ends)
 
 
 def _sketched(n: int):
@@ -80,13 +80,13 @@ def _sketched(n: int):
         factor = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
         band = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for part, data, offsets in slices(batches, "text"):
-            sets, size, a, b = _sets(part, data, offsets, n)
+            sets, size, a, b, maps = _sets(data, offsets, n)
             values = np.array([signature(s, place) for s in sets if len(s)], np.uint64).reshape(-1, BINS)
             keys = mix((mix(values[:, : BANDS * ROWS]).reshape(-1, BANDS, ROWS) * factor).sum(2, dtype=np.uint64) ^ band).view(np.int64)
             bits = np.packbits((mix(values) & np.uint64(1)).astype(bool), axis=1, bitorder="little").view(np.int64)
             # rows without shingles have empty lists
             lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((size > 0) * x.shape[1]))).astype(np.int32)), pa.array(x.ravel())) for x in (keys, bits)]
-            yield pa.record_batch([part.column(0), pa.array(size), pa.array(a), pa.array(b), *lists], ["doc_id", "n", "h1", "h2", "keys", "bits"])
+            yield pa.record_batch([part.column(0), pa.array(size), pa.array(a), pa.array(b), *lists, maps], ["doc_id", "n", "h1", "h2", "keys", "bits", "map"])
 
     return run
 
@@ -97,7 +97,7 @@ def _parts(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // FRAGMENTS)
         for part, data, offsets in slices(batches, "text"):
-            sets, size, a, b = _sets(part, data, offsets, n)
+            sets, size, a, b, _ = _sets(data, offsets, n)
             ends = np.cumsum([0, *(k for s in sets for k in np.diff([0, *np.searchsorted(s, edges), len(s)]))]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
             each = pa.array(np.repeat(np.arange(len(size)), FRAGMENTS))
@@ -137,12 +137,16 @@ class _Search:
     def __init__(self, docs: DataFrame, sketch: DataFrame, classes: DataFrame, repeated: bool, n: int, share: tuple[int, int]):
         self.docs, self.classes, self.repeated, self.n, self.share = docs, classes, repeated, n, share
         of = classes.select("node", F.col("rep").alias("doc_id"), "n", "h1", "h2")
-        mine = sketch.join(of, ["doc_id", "n", "h1", "h2"]).select("node", F.col("n").cast("int").alias("n"), "keys", "bits")
+        mine = sketch.join(of, ["doc_id", "n", "h1", "h2"]).select("node", F.col("n").cast("int").alias("n"), "keys", "bits", "map")
         self.sketches = save(mine.dropDuplicates(["node"]) if repeated else mine, "sketches")
         self.groups = None
 
-    def bits(self, side: str) -> DataFrame:
-        return self.sketches.select(F.col("node").alias(side), *(F.col("bits")[k].alias(f"{side}{k}") for k in range(_BITS)))
+    def bits(self, side: str, *more: str) -> DataFrame:
+        return self.sketches.select(F.col("node").alias(side), *(F.col("bits")[k].alias(f"{side}{k}") for k in range(_BITS)), *more)
+
+    def maps_agree(self, x: str, y: str, n: str, m: str) -> Column:
+        longs = lambda c: [F.col(c)[k] for k in range(MAP_BITS // 64)]
+        return _maps_agree(F.col(n), F.col(m), longs(x), longs(y), self.share)
 
     def sides(self, pairs: DataFrame, side: str) -> DataFrame:
         """The sets of one side of pairs in parts. The text of a class is that of its representative."""
@@ -164,50 +168,47 @@ class _Search:
         self.groups = save(connected_components(links), "groups")
 
     def stars(self, posts: DataFrame) -> DataFrame:
-        """Compare the members of every bucket with its leader. Returns posts (key, band, node, n) of buckets of several, with the number of members.
+        """Compare the members of every bucket with its leader. Returns posts (key, node, n) of buckets of several members.
 
-        The leaders are an aggregate that is joined back: a bucket of very many members is dealt over several tasks.
+        The leader is the member that meets most others in all its buckets: of copies of one text, that which they were made from.
+        Sizes and leaders are aggregates that are joined back: a bucket of very many members is dealt over several tasks.
         """
-        led = posts.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
-        shared = save(posts.join(led.select("key", "members", F.col("lead.node").alias("y"), F.col("lead.n").alias("ny")), "key"), "shared")
-        pairs = _pairs(shared.where(close("n", "ny", self.share)).select(F.col("node").alias("x"), F.col("n").alias("nx"), "y", "ny"))
+        sizes = posts.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        shared = save(posts.join(sizes, "key"), "shared")
+        met = shared.groupBy("node").agg(F.sum("members").alias("met"))
+        led = shared.join(met, "node").groupBy("key").agg(F.max(F.struct("met", F.xxhash64("node").alias("h"), "node", "n")).alias("lead"))
+        both = shared.join(led.select("key", F.col("lead.node").alias("y"), F.col("lead.n").alias("ny")), "key")
+        pairs = _pairs(both.where(close("n", "ny", self.share)).select(F.col("node").alias("x"), F.col("n").alias("nx"), "y", "ny"))
         near = pairs.join(checked(self.bits("a"), SKETCHES_HELD), "a").join(checked(self.bits("b"), SKETCHES_HELD), "b").where(may_agree("a", "b", "na", "nb", self.share))
-        self.link(save(near.select("a", "b", "na", "nb"), "near"))
-        return shared.select("key", "band", "node", "n", "members")
+        near = save(near.select("a", "b", "na", "nb"), "near")
+        mapped = near.join(self.sketches.select(F.col("node").alias("a"), F.col("map").alias("map_a")), "a").join(self.sketches.select(F.col("node").alias("b"), F.col("map").alias("map_b")), "b")
+        self.link(save(mapped.where(self.maps_agree("map_a", "map_b", "na", "nb")).select("a", "b", "na", "nb"), "mapped"))
+        return shared
+
+    def rest(self, shared: DataFrame) -> None:
+        """Compare what the stars did not settle: in buckets of several components, those outside the main one with all others.
 
-    def still_open(self, shared: DataFrame) -> DataFrame:
-        """The rows of buckets that hold several components, with their component."""
+        Pairs are tested in the join, in blocks of the former; a row of a bucket meets each of its blocks.
+        """
         of = self.groups.withColumnRenamed("node", "__node")
-        mine = shared.join(of, F.col("node") == F.col("__node"), "left").select(*shared.columns, F.coalesce("component", "node").alias("component"))
-        several = mine.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        return save(mine.join(several, "key", "left_semi"), "open")
-
-    def within(self, rows: DataFrame) -> None:
-        """Compare the pairs of different components within buckets; they are tested in the join."""
-        mine = save(rows.join(self.bits("w"), F.col("node") == F.col("w")), "within")
-        x, y = (mine.select(F.col("key").alias(f"key_{s}"), F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}"), *(F.col(f"w{k}").alias(f"{s}{k}") for k in range(_BITS))) for s in "xy")
-        met = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("cx") < F.col("cy")) & may_agree("x", "y", "nx", "ny", self.share))
+        mine = shared.join(of, F.col("node") == F.col("__node"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        parts = mine.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts"), (F.sum("c") - F.max("c")).alias("others"))
+        open_ = parts.where("parts > 1").select("key", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
+        mine = save(mine.join(open_, "key").join(self.bits("w", "map"), F.col("node") == F.col("w")), "open")
+        block = {"x": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "y": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}
+        side = lambda s: mine.select(F.col("key").alias(f"key_{s}"), block[s].alias(f"block_{s}"), F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}"), (F.col("component") == F.col("main")).alias(f"main_{s}"), *(F.col(f"w{k}").alias(f"{s}{k}") for k in range(_BITS)), F.col("map").alias(f"map_{s}"))
+        same = (F.col("key_x") == F.col("key_y")) & (F.col("block_x") == F.col("block_y"))
+        apart = (F.col("cx") != F.col("cy")) & (F.col("main_y") | (F.col("x") < F.col("y")))
+        met = side("x").where("not main_x").join(side("y"), same & apart & may_agree("x", "y", "nx", "ny", self.share) & self.maps_agree("map_x", "map_y", "nx", "ny"))
         found = save(_pairs(met.select("x", "nx", "y", "ny")), "rest")
         if found.take(1):
             self.link(found)
 
-    def run(self, small: int) -> None:
-        each = F.posexplode("keys").alias("band", "key")
-        posts = self.sketches.select("node", "n", each)
-        for depth in range(DEPTH + 1):
-            rows = self.still_open(self.stars(posts))
-            last = depth == DEPTH
-            self.within(rows if last else rows.where(F.col("members") <= small))
-            large = rows.where(F.col("members") > small)
-            if last or not large.take(1):
-                return
-            # each large bucket is cut by bands that come after its own
-            step = F.explode(F.sequence(F.lit(1 + depth * FURTHER), F.lit((1 + depth) * FURTHER))).alias("step")
-            more = large.select("key", "band", "node", "n", step).join(self.sketches.select("node", "keys"), "node")
-            posts = save(more.select("node", "n", "band", F.xxhash64("key", F.get("keys", (F.col("band") + F.col("step")) % BANDS)).alias("key")), "posts")
-
-
-def similarity_components(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHARE, small: int = SMALL) -> DataFrame:
+    def run(self) -> None:
+        self.rest(self.stars(self.sketches.select("node", "n", F.explode("keys").alias("key"))))
+
+
+def similarity_components(docs: DataFrame, n: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     docs = docs.select("doc_id", "text")
     sketch = save(docs.mapInArrow(_sketched(n), _SKETCH), "sketch")
@@ -216,7 +217,7 @@ def similarity_components(docs: DataFrame, n: int = WORDS, share: tuple[int, int
     classes = save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     repeated = bool(own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1))
     search = _Search(docs, sketch, classes, repeated, n, share)
-    search.run(small)
+    search.run()
     located = save(own.where("doc_id is not null").join(classes.select("n", "h1", "h2", "node"), ["n", "h1", "h2"]).select("doc_id", "node"), "located")
     if repeated:  # the rows of one id are linked
         least = located.groupBy("doc_id").agg(F.min("node").alias("b"))
