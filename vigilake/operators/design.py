@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilake.functions.names import host_name
 from vigilake.functions.text import checked
 from vigilake.operators import scan
 
@@ -61,20 +62,30 @@ def typed_match(target: Column, kind: Column, value: Column, apex: Column) -> Co
     )
 
 
+def _let(x: Column, f) -> Column:
+    """f(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def ipv6(x: Column) -> Column:
-    """An address as its eight groups of four small hex digits, joined by colons; null if it is none. Embedded IPv4 parts are not read."""
+    """An address as its eight groups of four small hex digits, joined by colons; null if it is none. It may end with an IPv4 address and stand in brackets."""
     half = lambda part: F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
-    low = F.lower(x)
-    left, right = half(F.split_part(low, F.lit("::"), F.lit(1))), half(F.split_part(low, F.lit("::"), F.lit(2)))
-    gap = F.when(F.contains(low, F.lit("::")), F.greatest(8 - F.size(left) - F.size(right), F.lit(0))).otherwise(0)
-    groups = F.concat(left, F.array_repeat(F.lit("0"), gap), right)
-    ok = F.regexp_like(low, F.lit(r"^[0-9a-f:]*:[0-9a-f:]*$")) & (F.size(groups) == 8) & F.forall(groups, lambda g: F.length(g).between(1, 4))
-    return F.when(ok, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ":"))
 
+    def groups(low: Column) -> Column:
+        left, right = half(F.split_part(low, F.lit("::"), F.lit(1))), half(F.split_part(low, F.lit("::"), F.lit(2)))
+        gap = F.when(F.contains(low, F.lit("::")), F.greatest(8 - F.size(left) - F.size(right), F.lit(1))).otherwise(0)
+        return F.concat(left, F.array_repeat(F.lit("0"), gap), right)
+
+    def without_dots(low: Column) -> Column:
+        tail = lambda v4: F.when(v4.isNull(), low).otherwise(F.concat(F.regexp_replace(low, r"[^:]*$", ""), F.lower(F.hex(F.floor(v4 / 65536))), F.lit(":"), F.lower(F.hex(v4 % 65536))))
+        return F.when(F.contains(low, F.lit(".")), _let(ipv4(F.substring_index(low, ":", -1)), tail)).otherwise(low)
+
+    def joined(low: Column) -> Column:
+        ok = F.regexp_like(low, F.lit(r"^[0-9a-f:]*:[0-9a-f:]*$")) & ~F.regexp_like(low, F.lit("::.*::"))
+        fits = lambda g: F.when((F.size(g) == 8) & F.forall(g, lambda p: F.length(p).between(1, 4)), F.array_join(F.transform(g, lambda p: F.lpad(p, 4, "0")), ":"))
+        return F.when(ok, _let(groups(low), fits))
 
-def _name(x: Column) -> Column:
-    """A host name without case and final dot."""
-    return F.regexp_replace(F.lower(x), r"\.$", "")
+    return _let(F.regexp_replace(F.lower(x), r"^\[(.*)\]$", "$1"), lambda low: _let(without_dots(low), joined))
 
 
 def _address(x: Column) -> Column:
@@ -82,29 +93,71 @@ def _address(x: Column) -> Column:
     return F.coalesce(ipv4(x).cast("string"), ipv6(x))
 
 
-def _target_keys(target: Column, tags: Column, longest: Column) -> Column:
-    """All keys (kind, key) under which a rule for the target may stand; longest: of the url prefixes that rules have."""
-    labels, ip = F.split(_name(target), r"\."), ipv4(target)
+def _bits6(x: Column) -> tuple[Column, Column]:
+    """The two halves of an IPv6 address (its digits, see `_digits6`) as longs."""
+    return tuple(F.conv(F.substr(x, F.lit(at), F.lit(16)), 16, -10).cast("long") for at in (1, 17))
+
+
+def _digits6(x: Column) -> Column:
+    return F.replace(ipv6(x), F.lit(":"), F.lit(""))
+
+
+def _net6(high: Column, low: Column, size: Column) -> Column:
+    """The network of so many bits that an address is in, as a key."""
+    ones = lambda n: F.when(n >= 64, F.lit(-1).cast("long")).when(n > 0, F.call_function("shiftleft", F.lit(-1).cast("long"), (64 - n).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.concat(F.lower(F.hex(high.bitwiseAND(ones(size)))), F.lit("/"), F.lower(F.hex(low.bitwiseAND(ones(size - 64)))), F.lit("/"), size.cast("string"))
+
+
+def networks(nets: DataFrame) -> DataFrame:
+    """nets (net, ...) with key: a network of either kind of address, written with a prefix length or as a single address; null if it is none. Bits beyond the prefix do not count."""
+    value, given = F.split_part("net", F.lit("/"), F.lit(1)), F.contains("net", F.lit("/"))
+    size = F.when(given, F.try_to_number(F.split_part("net", F.lit("/"), F.lit(2)), F.lit("999")).cast("int"))
+    n4, n6 = F.coalesce(size, F.when(~given, 32)), F.coalesce(size, F.when(~given, 128))
+    return nets.withColumn("key", F.coalesce(F.when(n4.between(0, 32), _net(ipv4(value), n4)), F.when(n6.between(0, 128), _let(_digits6(value), lambda d: _net6(*_bits6(d), n6)))))
+
+
+def longest_prefix(targets: DataFrame, nets: DataFrame) -> DataFrame:
+    """targets (target, ...) with net, the smallest of nets (net) that holds the address, of either kind, and bits, its length; null if there is none.
+
+    A target is looked up once for each length that occurs among the networks (161 at most), by an equi-join; of networks that
+    are the same, the first in order of their text is given.
+    """
+    known = networks(nets.select("net").distinct()).where("key is not null").groupBy("key").agg(F.min("net").alias("net"))
+    size = F.substring_index("key", "/", -1).cast("int")
+    six = F.size(F.split("key", "/")) == 3
+    lengths = {bool(r.six): sorted(r.sizes) for r in known.groupBy(six.alias("six")).agg(F.collect_set(size).alias("sizes")).collect()}  # two rows
+    sizes = lambda kind: F.array(*(F.lit(n) for n in lengths.get(kind, []))).cast("array<int>")
+    ip, (high, low) = F.col("__ip"), _bits6(F.col("__six"))
+    keys = F.when(ip.isNotNull(), F.transform(sizes(False), lambda n: _net(ip, n))).when(high.isNotNull(), F.transform(sizes(True), lambda n: _net6(high, low, n)))
+    tried = targets.select("target").where("target is not null").distinct().withColumns({"__ip": ipv4(F.col("target")), "__six": _digits6(F.col("target"))}).select("target", F.explode(keys).alias("key"))
+    best = tried.join(checked(known), "key").groupBy("target").agg(F.max_by(F.struct("net", size.alias("bits")), size).alias("b"))
+    return targets.join(best.select(F.col("target").alias("__t"), "b.net", "b.bits"), F.col("target") == F.col("__t"), "left").drop("__t")
+
+
+def _target_keys(target: Column, name: Column, six: Column, tags: Column, longest: Column, lengths: list[int]) -> Column:
+    """All keys (kind, key) under which a rule for the target may stand; longest: of the url prefixes that rules have; lengths: of their IPv6 networks."""
+    labels, ip, (high, low) = F.split(name, r"\."), ipv4(target), _bits6(six)
     key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
     one = lambda kind, k: F.array(key(kind, k))
     suffix = lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     above = F.when(F.size(labels) > 1, F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: key("domain", suffix(i))))
     nets = F.when(ip.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(32)), lambda n: key("cidr", _net(ip, n))))
+    nets6 = [F.when(high.isNotNull(), F.transform(F.array(*map(F.lit, lengths)), lambda n: key("cidr", _net6(high, low, n))))] if lengths else []
     prefixes = F.when(longest > 0, F.transform(F.sequence(F.lit(1), F.least(F.length(target), longest)), lambda n: key("url_prefix", F.left(target, n))))
-    parts = [one("host", _name(target)), one("apex", _name(target)), one("ip", _address(target)), above, nets, prefixes, F.transform(tags, lambda t: key("tag", F.lower(t)))]
+    parts = [one("host", name), one("apex", name), one("ip", _address(target)), above, nets, *nets6, prefixes, F.transform(tags, lambda t: key("tag", F.lower(t)))]
     return F.flatten(F.array_compact(F.array(*parts)))
 
 
 def _net(ip: Column, size: Column) -> Column:
-    return F.concat_ws("/", F.floor(ip / F.pow(F.lit(2.0), 32 - size).cast("long")).cast("string"), size.cast("string"))
+    return F.concat(F.floor(ip / F.pow(F.lit(2.0), 32 - size).cast("long")).cast("string"), F.lit("/"), size.cast("string"))
 
 
 def _rule_keys(rules: DataFrame) -> DataFrame:
     """rules as (layer, rank, kind, key); a domain that includes its apex stands under two keys. Rules of unknown layers or kinds fit nothing."""
     kind, value = F.col("kind"), F.col("value")
-    size = F.coalesce(F.try_to_number(F.split_part(value, F.lit("/"), F.lit(2)), F.lit("99")).cast("int"), F.lit(32))
-    key = F.when(kind.isin("host", "domain"), _name(value)).when(kind == "url_prefix", value).when(kind == "ip", _address(value)).when(kind == "cidr", _net(ipv4(F.split_part(value, F.lit("/"), F.lit(1))), size)).when(kind == "tag", F.lower(value))
+    key = F.when(kind.isin("host", "domain"), host_name(value)).when(kind == "url_prefix", value).when(kind == "ip", _address(value)).when(kind == "cidr", F.col("__net")).when(kind == "tag", F.lower(value))
     kinds = F.when((kind == "domain") & F.coalesce("include_apex", F.lit(False)), F.array(F.lit("domain"), F.lit("apex"))).otherwise(F.array(kind))
+    rules = networks(rules.withColumn("net", F.when(kind == "cidr", value))).withColumnRenamed("key", "__net")
     ranked = rules.select("layer", F.array_position(F.array(*map(F.lit, LAYERS)), F.col("layer")).alias("rank"), F.explode(kinds).alias("kind"), key.alias("key"))
     return ranked.where("rank > 0 and key is not null")
 
@@ -116,16 +169,18 @@ LAYERS = ("platform_deny", "tenant_deny", "scope_deny", "scope_allow")
 def scope_verdict(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """targets (target, and tags array<string> if they have any) with the layer that decides and allow or deny; rules: layer, kind, value, include_apex.
 
-    Kinds: host, domain (names below it), url_prefix, ip (either version), cidr (IPv4) and tag; names are compared without case and final
-    dot, as they are written (international names are not turned into their ASCII form). Every target is looked up under all the keys that
-    could fit it (as `typed_match` says), so that rules are found by an equi-join, however many there are.
+    Kinds: host, domain (names below it), url_prefix, ip and cidr (either version) and tag; names are compared without case and final dot,
+    international ones in their ASCII form (see `names.host_name`). Every target is looked up under all the keys that could fit it (as
+    `typed_match` says, and beyond it for IPv6 and international names), so that rules are found by an equi-join, however many there are.
     """
     tags = F.col("tags") if "tags" in targets.columns else F.array().cast("array<string>")
     keyed = _rule_keys(rules)
     longest = F.lit(keyed.where("kind = 'url_prefix'").agg(F.max(F.length("key"))).first()[0] or 0)
+    six = keyed.where("kind = 'cidr'").select(F.split("key", "/").alias("k")).where("size(k) = 3")
+    lengths = sorted(int(r[0]) for r in six.select(F.col("k")[2]).distinct().collect())  # 129 at most
     own = ["target", *(["tags"] if "tags" in targets.columns else [])]
-    wanted = targets.select(own).where("target is not null").distinct()
-    tried = wanted.select(*own, F.explode(_target_keys(F.col("target"), F.coalesce(tags, F.array().cast("array<string>")), longest)).alias("k")).select(*own, "k.kind", "k.key").where("key is not null")
+    wanted = targets.select(own).where("target is not null").distinct().withColumns({"__name": host_name(F.col("target")), "__six": _digits6(F.col("target"))})
+    tried = wanted.select(*own, F.explode(_target_keys(F.col("target"), F.col("__name"), F.col("__six"), F.coalesce(tags, F.array().cast("array<string>")), longest, lengths)).alias("k")).select(*own, "k.kind", "k.key").where("key is not null")
     best = keyed.groupBy("kind", "key").agg(F.min("rank").alias("rank"))
     hit = tried.join(checked(best), ["kind", "key"]).groupBy(own).agg(F.min("rank").alias("rank"))
     layer = F.element_at(F.array(*map(F.lit, LAYERS)), F.col("rank").cast("int"))

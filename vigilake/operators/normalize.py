@@ -58,3 +58,52 @@ def parse(lines: DataFrame, parsers: dict = PARSERS) -> DataFrame:
     bucket = F.col("source_ord") * 1_000_000 + F.floor(F.col("file_no") / 1000)
     out = numbered(found, ["source_ord", "file_no", "line_no"], bucket)
     return out.select(number("ALERT", F.col("seq")).alias("alert_id"), "seq", *ALERT, F.array("evidence_id").alias("evidence_ids"))
+
+
+#: Keys of a JSON alert that may be absent but not null, and the one that must be a whole number.
+TEXT_KEYS, NUMBER_KEY = ("$.src_ip", "$.alert.signature", "$.timestamp"), "$.alert.severity"
+
+
+def _auth_reason() -> Column:
+    month = F.regexp_extract("line", SSH, 1)
+    return F.when(F.col("line").rlike(SSH) & ~month.isin(*MONTHS), "unknown_month")
+
+
+def _eve_reason() -> Column:
+    v = F.try_parse_json("line")
+    null = F.lit(False)
+    for path in (*TEXT_KEYS, NUMBER_KEY):
+        null = null | F.coalesce(F.is_variant_null(F.try_variant_get(v, path, "variant")), F.lit(False))
+    number = F.try_variant_get(v, NUMBER_KEY, "variant").isNotNull() & F.try_variant_get(v, NUMBER_KEY, "int").isNull()
+    alert = F.try_variant_get(v, "$.event_type", "string") == "alert"
+    blank = F.col("line") == ""
+    return F.when(blank, F.lit(None)).when(v.isNull(), "not_json").when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), "not_an_object").when(alert & null, "null_value").when(alert & number, "no_number")
+
+
+REASONS = {"linux_auth": _auth_reason, "suricata_eve": _eve_reason}
+
+
+def with_reasons(lines: DataFrame) -> DataFrame:
+    """lines with reason: why a line cannot be parsed; null if it can, or if it is one that the parser leaves out."""
+    reason = F.lit(None).cast("string")
+    for kind, why in REASONS.items():
+        reason = F.when(F.col("source_type") == kind, why()).otherwise(reason)
+    return lines.withColumn("reason", reason)
+
+
+def parse_sound(marked: DataFrame) -> DataFrame:
+    """The alerts of lines that can be parsed (marked: a table of `with_reasons`); where `parse` stops at the first malformed line, the others go on."""
+    return parse(marked.where("reason is null").drop("reason"))
+
+
+def quarantined(marked: DataFrame) -> DataFrame:
+    """The lines that cannot be parsed: (evidence_id, line_no, reason, line); with the evidence they can be looked at and read again."""
+    return marked.where("reason is not null").select("evidence_id", "line_no", "reason", "line")
+
+
+def line_totals(marked: DataFrame, alerts: DataFrame) -> DataFrame:
+    """(evidence_id, lines, blank, alerts, left_out, quarantined): what became of each file's lines; they add up."""
+    found = alerts.select(F.explode("evidence_ids").alias("evidence_id")).groupBy("evidence_id").agg(F.count("*").alias("alerts"))
+    c = marked.groupBy("evidence_id").agg(F.count("*").alias("lines"), F.count_if((F.col("line") == "") & F.col("reason").isNull()).alias("blank"), F.count("reason").alias("quarantined"))
+    out = c.join(found, "evidence_id", "left").withColumn("alerts", F.coalesce("alerts", F.lit(0).cast("long")))
+    return out.withColumn("left_out", F.col("lines") - F.col("blank") - F.col("alerts") - F.col("quarantined"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,17 @@ def rebuilt_sources(evidence: DataFrame, vault: DataFrame) -> DataFrame:
     return found.select(F.col("source").alias("name") if "source" in found.columns else "name", "source_type", "media_type", "source_ord", "file_no", data.alias("data"))
 
 
+def fingerprint(rows: DataFrame) -> DataFrame:
+    """One row (n, high, low): the number of rows, and sums of two 60-bit parts of their hashes.
+
+    Equal collections have equal fingerprints, whatever their order and partitioning, repeated rows included; a row's hash is that of
+    its canonical JSON (columns by name, nulls kept).
+    """
+    h = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substr("h", F.lit(at), F.lit(15)), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return rows.select(h.alias("h")).agg(F.count("*").alias("n"), part(1).alias("high"), part(16).alias("low"))
+
+
 def difference(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
     """One row: the collection, how many rows are on one side only, and whether it is equal; order and partitioning do not matter."""
     columns = sorted(left.columns)
@@ -29,9 +42,11 @@ def difference(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
 
 
 def compare(a, b, collections: tuple[str, ...]) -> DataFrame:
-    out = None
-    for name in collections:
-        left, right = (getattr(x, name).drop("data") for x in (a, b))
-        row = difference(left, right, name)
-        out = row if out is None else out.unionByName(row)
-    return out
+    """A row as of `difference` for each collection. One aggregate tells which are equal; rows are compared only where fingerprints differ."""
+    sides = {name: [getattr(x, name).drop("data") for x in (a, b)] for name in collections}
+    prints = reduce(DataFrame.unionByName, [fingerprint(df).select(F.lit(name).alias("name"), F.lit(k).alias("side"), F.struct("n", "high", "low").alias("f")) for name, both in sides.items() for k, df in enumerate(both)])
+    found = {(r.name, r.side): tuple(r.f) for r in prints.collect()}  # two rows for each collection
+    equal = [name for name in collections if found[name, 0] == found[name, 1] and sorted(sides[name][0].columns) == sorted(sides[name][1].columns)]
+    spark = sides[collections[0]][0].sparkSession
+    out = spark.createDataFrame([(name, 0, 0, True) for name in equal], "collection string, only_left long, only_right long, equal boolean")
+    return reduce(DataFrame.unionByName, [difference(*sides[name], name) for name in collections if name not in equal], out)

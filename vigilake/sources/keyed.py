@@ -78,7 +78,9 @@ class KeyedTable:
 
     def get(self, value) -> DataFrame:
         """The row of one key, if there is one: of each table one bucket is read, and of that the row groups that may have the key."""
-        mine = self._rows().where((F.col("bucket") == self._bucket(F.lit(value))) & (F.col(self.key) == F.lit(value)))
+        rows = self._rows()
+        wanted = F.lit(value).cast(rows.schema[self.key].dataType)
+        mine = rows.where((F.col("bucket") == self._bucket(wanted)) & (F.col(self.key) == wanted))
         return self._last(mine.drop("bucket")).drop("batch")
 
     def compact(self) -> None:

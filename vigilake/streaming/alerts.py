@@ -33,3 +33,12 @@ def sessions(events: DataFrame, gap: str = "5 minutes", late: str = "10 minutes"
     """Bursts of events of one key, ended by a gap."""
     found = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "key").agg(F.count("*").alias("n"))
     return found.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "key", "n")
+
+
+def without_repeats(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
+    """events (ts, ...) of a stream without rows that repeat the keys of one that came before, as collectors send them again.
+
+    A row is known for as long as lateness lets a repetition arrive, so that state is bounded; what is later than that is left out.
+    ts should be among the keys: then the result is that of `dropDuplicates` on the whole log, but for rows that come too late.
+    """
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
