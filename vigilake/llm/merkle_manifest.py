@@ -111,7 +111,7 @@ def manifest(docs: DataFrame, forged: Column | None = None) -> DataFrame:
     forged: another leaf to carry along (bytes; null: none), such as that of the row as it is found later.
     """
     source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # in order of bytes, null first
-    rows = docs.select("doc_id", source.alias("grp"), leaf().alias("node"), (F.lit(None).cast("binary") if forged is None else forged).alias("forged"))
+    rows = save(docs.select("doc_id", source.alias("grp"), leaf().alias("node"), (F.lit(None).cast("binary") if forged is None else forged).alias("forged")), "hashed")
     leaves = _placed(rows, ["grp", "doc_id", "node"])
     levels = _levels(leaves)
     subroots = save(_tops(leaves, levels), "subroots")
