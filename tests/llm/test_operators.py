@@ -583,18 +583,14 @@ def decisions(texts, labels, part):
         return round(1 - len(set(pairs)) / len(pairs), 4) if pairs else 0.0
 
     models = {x: kneser_ney([t or "" for i, t, y in trusted if y == x and part[i] > 0]) for x in {x for *_, x in trusted}}
-    scores, shares = defaultdict(list), []
-    for x in models:
-        own = [(i, t) for i, t, y in trusted if y == x and t]
-        held = [(i, t) for i, t in own if part[i] == 0]
-        if len(held) >= quality_lm.FEW:
-            scores[x] = [models[x](t) for _, t in held]
-        else:
-            held = own
-            folds = {f: kneser_ney([t or "" for i, t, y in trusted if y == x and part[i] != f]) for f in {part[i] for i, _ in own}}
-            scores[x] = [folds[part[i]](t) for i, t in own]
-        shares += [repeated(t) for _, t in held]
-    bound = {x: round(float(np.quantile(np.round(v, 4), quality_lm.QUANTILE)), 4) for x, v in scores.items()}
+    held = {x: [t for i, t, y in trusted if y == x and t and part[i] == 0] for x in models}
+    scores = {x: np.round([models[x](t) for t in v], 4) for x, v in held.items()}
+    shares = [repeated(t) for v in held.values() for t in v]
+    spread = np.quantile(np.concatenate([np.round(v / np.median(v), 4) for v in scores.values() if len(v)]), quality_lm.QUANTILE)
+    bound = {}
+    for x, v in scores.items():
+        weight = len(v) / (len(v) + quality_lm.DRAWN)
+        bound[x] = round(float(weight * np.quantile(v, quality_lm.QUANTILE) + (1 - weight) * np.median(v) * spread if len(v) else np.quantile(np.concatenate(list(scores.values())), quality_lm.QUANTILE)), 4)
     most = max(np.quantile(shares, quality_lm.QUANTILE), quality_lm.REPEATED)
     return {(i, t): bool(t) and ((x or "") not in bound or round(models[x or ""](t), 4) <= bound[x or ""]) and repeated(t) <= most for i, t, _, x in texts}, bound
 

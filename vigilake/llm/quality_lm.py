@@ -5,13 +5,14 @@ documents but a held-out part. Its counts are grouped and joined as tables: n-gr
 from the counts of counts, order by order. The n-grams of the corpus are gathered from all documents, and the count
 tables are joined to them shard by shard, so that each gets its probability by backing off through the orders.
 Scored n-grams are held by each task if there are few enough (HELD_GRAMS); else every document's n-grams are joined with them.
-A document is rejected if its perplexity per byte exceeds the QUANTILE of the held-out trusted documents of its language.
-Where these are few, all trusted documents of the language are scored instead, each by a model of the other parts
-(cross-fitting). Repetition looks like good text to a model of a few bytes: a document is rejected as well if of its word
-pairs a larger share has stood in it before than trusted documents have.
+A document is rejected if its perplexity per byte exceeds the threshold of its language: the QUANTILE of the held-out trusted
+documents, in every language in the same way (see `thresholds`). Repetition looks like good text to a model of a few bytes: a
+document is rejected as well if of its word pairs a larger share has stood in it before than trusted documents have; that
+decision has a column of its own.
 
 Defined results: a null or empty text has a null perplexity and is rejected; a null language counts as one of its own;
-a language without trusted text has no threshold, and its documents are only held against the share of repeated pairs;
+a language without trusted text has no threshold, and its documents are only held against the share of repeated pairs (one
+with trusted text of which none was held out gets the quantile of all languages);
 a document with contradicting labels is not trusted; rows with null ids are scored but not trusted; repeated rows each
 give a row; extra columns are kept by `keep_good`. Empty tables give empty results, and without labels all text is kept.
 """
@@ -30,8 +31,8 @@ from vigilake.llm.common import checked, save, table
 from vigilake.llm.words import NOT_SPACE, slices, windows, words
 
 ORDER, QUANTILE = 5, 0.98
-#: One in HELD_OUT trusted documents sets the threshold and does not train; a language with fewer than FEW of them is cross-fitted.
-HELD_OUT, FEW = 5, 200
+#: One in HELD_OUT trusted documents sets the threshold and does not train; so many held-out texts weigh as much as all languages' spread.
+HELD_OUT, DRAWN = 5, 200
 #: Texts with at most this share of repeated word pairs are never rejected for them.
 REPEATED = 0.3
 #: No byte is less probable than this.
@@ -202,35 +203,37 @@ class Scorer:
         return docs.join(mean.withColumnRenamed("uid", "__uid"), "__uid", "left").drop("__uid")
 
 
-def _cross_fitted(trusted: DataFrame, part: Column, held: int) -> DataFrame:
-    """trusted (doc_id, lang, text, __lang) with __repeated and __perplexity, each document's under a model of the other parts."""
-    model = lambda f: F.concat("__lang", F.lit("\0"), f.cast("string"))
-    others = F.filter(F.sequence(F.lit(0), F.lit(HELD_OUT - 1)), lambda f: f != part)
-    own = trusted.withColumn("lang", model(part))
-    return Scorer(own, train(trusted.withColumn("__other", F.explode(others)).select(model(F.col("__other")).alias("lang"), "text")), held)(own)
+def thresholds(scored: DataFrame, languages: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """(__lang, __threshold) for each of languages (__lang) from held-out perplexities scored (__lang, __perplexity, not null).
+
+    The language's own quantile, drawn towards what its median and the spread of all languages say: of n held-out texts the
+    weight is n / (n + DRAWN). So a language of three texts has a threshold that is not its worst one, and one of thousands its own.
+    A language without held-out texts gets the quantile of all.
+    """
+    own = scored.groupBy("__lang").agg(F.percentile("__perplexity", F.lit(quantile)).alias("own"), F.percentile("__perplexity", F.lit(0.5)).alias("middle"), F.count("*").alias("n"))
+    spread = scored.join(checked(own.select("__lang", "middle")), "__lang").agg(F.percentile(F.round(F.col("__perplexity") / F.col("middle"), 4), F.lit(quantile)).alias("spread"), F.percentile("__perplexity", F.lit(quantile)).alias("all"))
+    weight = F.col("n") / (F.col("n") + DRAWN)
+    value = F.coalesce(weight * F.col("own") + (1 - weight) * F.col("middle") * F.col("spread"), F.col("all"))
+    return languages.join(own, "__lang", "left").crossJoin(F.broadcast(spread)).select("__lang", F.round(value, 4).alias("__threshold"))  # spread: one row
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, held: int = HELD_GRAMS) -> DataFrame:
-    """docs (doc_id, text, lang, ...) with __perplexity, __threshold and __keep. Trusted: labels' quality 1 and toxic not 1."""
+    """docs (doc_id, text, lang, ...) with __perplexity, __threshold, __repetitive and __keep. Trusted: labels' quality 1 and toxic not 1."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
     good = checked(save(good, "trusted"))
     slim = docs.select("doc_id", "lang", "text")
     trusted = slim.join(good, "doc_id", "left_semi").withColumn("__lang", F.coalesce("lang", F.lit("")))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT))
     scorer = Scorer(slim, train(trusted.where(part > 0)), held)
-    few = trusted.where("text <> ''").groupBy("__lang").agg(F.count(F.when(part == 0, 1)).alias("n")).where(F.col("n") < FEW).select("__lang")
-    few = save(few, "few")
-    scored = scorer(trusted.where(part == 0).join(checked(few), "__lang", "left_anti")).select("__lang", "__repeated", "__perplexity")
-    if few.take(1):
-        scored = scored.unionByName(_cross_fitted(trusted.join(checked(few), "__lang", "left_semi"), part, held).select("__lang", "__repeated", "__perplexity"))
+    scored = scorer(trusted.where(part == 0)).select("__lang", "__repeated", "__perplexity")
     # rounded, so that the exact quantile counts a bounded number of distinct values
     scored = save(scored.where("__perplexity is not null").select("__lang", F.round("__repeated", 4).alias("__repeated"), F.round("__perplexity", 4).alias("__perplexity")), "held_out")
-    bound = scored.groupBy("__lang").agg(F.round(F.percentile("__perplexity", F.lit(quantile)), 4).alias("__threshold"))
+    bound = thresholds(scored, save(trusted.where("text <> ''").select("__lang").distinct(), "languages"), quantile)
     most = scored.agg(F.percentile("__repeated", F.lit(quantile))).first()[0]
-    fresh = F.lit(True) if most is None else F.col("__repeated") <= max(most, REPEATED)
+    repetitive = F.lit(False) if most is None else F.col("__repeated") > max(most, REPEATED)
     out = scorer(docs).withColumn("__lang", F.coalesce("lang", F.lit(""))).join(checked(save(bound, "bounds")), "__lang", "left")
-    keep = F.col("__perplexity").isNotNull() & (F.col("__threshold").isNull() | (F.round("__perplexity", 4) <= F.col("__threshold"))) & fresh
-    return out.select(*docs.columns, "__perplexity", "__threshold", keep.alias("__keep"))
+    keep = F.col("__perplexity").isNotNull() & (F.col("__threshold").isNull() | (F.round("__perplexity", 4) <= F.col("__threshold")))
+    return out.select(*docs.columns, "__perplexity", "__threshold", repetitive.alias("__repetitive"), (keep & ~repetitive).alias("__keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -240,7 +243,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
 
 def op9_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
-    return docs.select("doc_id", "lang", F.round("__perplexity", 4).alias("perplexity"), F.col("__threshold").alias("threshold"), F.col("__keep").alias("keep"))
+    return docs.select("doc_id", "lang", F.round("__perplexity", 4).alias("perplexity"), F.col("__threshold").alias("threshold"), F.col("__repetitive").alias("repetitive"), F.col("__keep").alias("keep"))
 
 
 QUERIES = {"op9_quality_lm": op9_quality_lm}
