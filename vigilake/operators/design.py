@@ -28,6 +28,39 @@ def metrics(labelled: DataFrame) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", share(tp + tn, tp + fp + fn + tn).alias("accuracy"), share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(fp, fp + tn).alias("false_alarms"))
 
 
+def text_features(text: Column) -> dict[str, Column]:
+    """What the junk score looks at, each cut into steps: the share of letters and spaces, the mean length of words, and the share of words that came before."""
+    t = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
+    letters = F.length(F.regexp_replace(t, r"[^a-zA-Z ]", ""))
+    step = lambda a, b, size: F.coalesce(F.floor(F.try_divide(a * size, b)), F.lit(-1)).cast("int")
+    return {"letters": step(letters, F.length(t), 20), "word_length": F.least(F.coalesce(F.floor(F.try_divide(F.length(F.array_join(words, "")), F.size(words))), F.lit(-1)), F.lit(15)).cast("int"), "new_words": step(F.size(F.array_distinct(words)), F.size(words), 20)}
+
+
+def fitted(labelled: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """A naive Bayes score from rows (expected, and features in steps): (feature, step, weight), the logarithm of how much likelier a step is where something is expected; add-one smoothed.
+
+    The row of feature `` has the logarithm of the odds. A row for each step that was seen, so a small table at any size.
+    """
+    each = F.explode(F.array(F.struct(F.lit("").alias("feature"), F.lit(0).alias("step")), *(F.struct(F.lit(c).alias("feature"), F.col(c).alias("step")) for c in features)))
+    yes, no = F.count_if("expected"), F.count_if(~F.col("expected"))
+    steps = labelled.select("expected", each.alias("x")).groupBy("x.feature", "x.step").agg(yes.alias("yes"), no.alias("no"))
+    totals = labelled.agg(yes.alias("all_yes"), no.alias("all_no"))
+    both = steps.crossJoin(F.broadcast(totals))  # one row
+    seen = F.log((F.col("yes") + 1) / (F.col("no") + 1))
+    return both.select("feature", "step", F.round(F.when(F.col("feature") == "", seen).otherwise(seen - F.log((F.col("all_yes") + 1) / (F.col("all_no") + 1))), 6).alias("weight"))
+
+
+def scored(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """rows (features in steps) with score and predicted: the sum of the weights of their steps is above zero; steps that were never seen add nothing."""
+    by = {(r.feature, r.step): r.weight for r in weights.collect()}  # some dozens of rows
+    value = F.lit(by.get(("", 0), 0.0))
+    for feature in sorted({f for f, _ in by if f}):
+        pairs = [F.lit(x) for (f, step), w in sorted(by.items()) if f == feature for x in (step, w)]
+        value = value + F.coalesce(F.element_at(F.create_map(*pairs), F.col(feature)), F.lit(0.0))
+    return rows.withColumn("score", F.round(value, 6)).withColumn("predicted", F.col("score") > 0)
+
+
 def fresh(candidates: DataFrame, as_of: str) -> DataFrame:
     """Knowledge candidates (retrieved_on date, ttl_days) with expired."""
     return candidates.withColumn("expired", F.date_add("retrieved_on", F.col("ttl_days")) < F.lit(as_of).cast("date"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake.functions.knowledge import NO_CREDENTIALS, PLACEHOLDERS, SECRET_PATTERNS
@@ -84,6 +84,30 @@ def write_report(found: DataFrame, path: str) -> None:
     report(found).write.json(path)
 
 
+def read_report(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A report in the order of its files and lines: its columns, position (from 1), and in_order: it stands after the one before it as `report` orders them.
+
+    A file's lines keep their order in one task; the first line of a file is compared with the last one of the file before it.
+    """
+    # a file is one partition's lines from its start: ids ascend within it
+    rows = spark.read.schema(schema).option("wholetext", "false").json(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
+    sizes = rows.groupBy("__file").agg(F.count("*").alias("__n"))  # one row for each file
+    before = sizes.select("__file", (F.sum("__n").over(Window.orderBy("__file")) - F.col("__n")).alias("__before"))
+    inner = Window.partitionBy("__file").orderBy("__block", "__row")
+    key = F.struct(rank(F.col("severity")).alias("rank"), "location", "line", "place")
+    out = rows.join(before, "__file").withColumns({"position": F.row_number().over(inner) + F.col("__before"), "__key": key})
+    ends = out.groupBy("__file").agg(F.max_by("__key", "position").alias("__last"), F.min("position").alias("__first"))
+    ends = ends.select("__file", F.lag("__last").over(Window.orderBy("__file")).alias("__end"))
+    last = F.coalesce(F.lag("__key").over(inner), F.col("__end"))
+    out = out.join(ends, "__file").withColumn("in_order", F.coalesce(F.col("__key") >= last, F.lit(True)))
+    return out.drop("__file", "__block", "__row", "__before", "__key", "__end")
+
+
+def exit_code(found: DataFrame, fail_on: str) -> int:
+    """What a check of that strictness (high, medium or never) ends with: 1 if it fails."""
+    return int(threshold(found).where(F.col("fail_on") == fail_on).first().failed)
+
+
 #: Histories of more bytes are not scanned.
 MAX_HISTORY_BYTES = 25_000_000
 

@@ -158,15 +158,16 @@ def finding_chain(spark, d):
 
 
 @_query(S.query(S.GROUPS + """,
-intel AS (SELECT '192.0.2.' || s_suppkey AS asset_id, s_suppkey % 2 = 0 AS known_exploited, s_suppkey % 10 / 10 AS likelihood, s_suppkey % 3 = 0 AS old FROM supplier WHERE s_suppkey < 30)""", """
+intel AS (SELECT '192.0.2.' || s_suppkey AS asset_id, s_suppkey % 2 = 0 AS known_exploited, s_suppkey % 10 / 10 AS likelihood, s_suppkey % 3 = 0 AS old FROM (SELECT s_suppkey % 250 AS s_suppkey, row_number() OVER (PARTITION BY s_suppkey % 250 ORDER BY supplier.s_suppkey DESC) AS place FROM supplier) WHERE place = 1)""", """
 SELECT group_id, risk_score, CASE WHEN likelihood IS NULL THEN 'missing' WHEN old THEN 'stale' ELSE 'used' END AS intel_state,
   least(100, risk_score + CASE WHEN old OR old IS NULL THEN 0 ELSE CASE WHEN known_exploited THEN 15 ELSE 0 END + CAST(round(likelihood * 10) AS INTEGER) END) AS intel_score, CASE WHEN NOT old THEN 'feed/' || asset_id END AS source_ref
 FROM groups LEFT JOIN intel USING (asset_id)"""))
 def intelligence_score(spark, d):
-    """Intelligence on thirty addresses, every third of it stale; the other assets have none."""
-    n = F.col("s_suppkey")
+    """Intelligence on addresses from all suppliers, the last one of each address, every third of it stale; the other assets have none."""
+    n = F.col("n")
     asset = F.concat(F.lit("192.0.2."), n.cast("string"))
-    intel = _table(spark, d, "supplier").where(n < 30).select(asset.alias("asset_id"), (n % 2 == 0).alias("known_exploited"), (n % 10 / 10).alias("likelihood"), F.when(n % 3 == 0, "2025-01-01").otherwise("2026-07-01").cast("date").alias("retrieved_on"), F.lit(30).alias("ttl_days"), F.concat(F.lit("feed/"), asset).alias("source_ref"))
+    last = _table(spark, d, "supplier").groupBy((F.col("s_suppkey") % 250).alias("n")).agg(F.max("s_suppkey").alias("s_suppkey"))
+    intel = last.select(asset.alias("asset_id"), (n % 2 == 0).alias("known_exploited"), (n % 10 / 10).alias("likelihood"), F.when(n % 3 == 0, "2025-01-01").otherwise("2026-07-01").cast("date").alias("retrieved_on"), F.lit(30).alias("ttl_days"), F.concat(F.lit("feed/"), asset).alias("source_ref"))
     return assurance.with_intelligence(_flow(spark, d).alert_groups, intel, "2026-07-06").select("group_id", "risk_score", "intel_state", "intel_score", "source_ref")
 
 
@@ -311,18 +312,26 @@ def file_scan_counts(spark, d):
 
 
 def file_scan_report(spark, d):
-    """The report as it is written, read back: in order of severity, and whether a check of each strictness fails."""
+    """The report as it is written, read back in the order of its files and lines: that order itself, and whether a check of each strictness fails."""
     found = scan.findings(_files(spark, d))
     path = fresh_path(spark, "report")
     scan.write_report(found, path)
-    again = spark.read.schema(scan.report(found).schema).json(path)
-    return scan.threshold(again).join(again.agg(F.count("*").alias("findings")), how="cross")  # both are a few rows
+    again = scan.read_report(spark, path, scan.report(found).schema)
+    per = again.groupBy("severity").agg(F.count("*").alias("findings"), F.min("position").alias("first_place"), F.max("position").alias("last_place"), F.count_if(~F.col("in_order")).alias("out_of_order"))
+    fails = scan.threshold(again).groupBy().pivot("fail_on", ["high", "medium", "never"]).agg(F.first("failed"))
+    return per.join(fails.select(*(F.col(c).alias(f"fails_{c}") for c in ("high", "medium", "never"))), how="cross")  # one row
 
 
 def history_scan(spark, d):
-    """Each source's documents as one history: findings, or one row where it is too large to scan."""
+    """Histories of texts by brand and by source: findings of all that are not too large, and a row for each that is."""
+    from vigilake.plans import catalogue
+
     docs = _table(spark, d, "documents").select(F.col("source").alias("history"), F.col("doc_id").alias("seq"), "text")
-    found = scan.history_findings(docs, 150_000)
+    number = F.substring_index("location", "-", -1).cast("long")
+    brands = catalogue._notes(spark, d).select(number.alias("p_partkey"), "text").join(_table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
+    # one brand's history is as long as no other: each of its texts stands behind a megabyte of blanks
+    long = F.when(F.col("p_brand") == "Brand#11", F.concat(F.repeat(F.lit(" "), F.lit(1_000_000)), F.lit("\n"), "text")).otherwise(F.col("text"))
+    found = scan.history_findings(docs.unionByName(brands.select(F.col("p_brand").alias("history"), F.col("p_partkey").alias("seq"), long.alias("text"))))
     return found.groupBy("severity", "rule", "location").agg(F.count("*").alias("n"))
 
 
@@ -379,10 +388,16 @@ def twins(scan_sql) -> dict[str, str]:
     """All SQL twins; scan_sql(select): findings of the notes and documents as `found`."""
     found = scan_sql("SELECT severity, rule, count(*) AS n FROM found WHERE starts_with(location, 'part-') AND CAST(split_part(location, '-', 2) AS BIGINT) % 4 > 0 GROUP BY severity, rule")
     report = scan_sql("""
-, mine AS (SELECT severity FROM found WHERE starts_with(location, 'part-') AND CAST(split_part(location, '-', 2) AS BIGINT) % 4 > 0)
-SELECT fail_on, CASE fail_on WHEN 'high' THEN count(*) FILTER (WHERE severity = 'HIGH') > 0 WHEN 'medium' THEN count(*) FILTER (WHERE severity IN ('HIGH', 'MEDIUM')) > 0 ELSE false END AS failed, count(*) AS findings FROM mine, (VALUES ('high'), ('medium'), ('never')) v(fail_on) GROUP BY fail_on""")
+, mine AS (SELECT severity FROM found WHERE starts_with(location, 'part-') AND CAST(split_part(location, '-', 2) AS BIGINT) % 4 > 0),
+c AS (SELECT severity, count(*) AS findings, CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END AS place FROM mine GROUP BY severity),
+p AS (SELECT *, CAST(sum(findings) OVER (ORDER BY place) AS BIGINT) AS last_place FROM c)
+SELECT severity, findings, last_place - findings + 1 AS first_place, last_place, CAST(0 AS BIGINT) AS out_of_order, (SELECT bool_or(severity = 'HIGH') FROM c) AS fails_high, (SELECT bool_or(severity <> 'INFO') FROM c) AS fails_medium, false AS fails_never FROM p""")
     history = scan_sql("""
-, sized AS (SELECT source, sum(octet_length(encode(text))) > 150000 AS large FROM documents GROUP BY source),
-placed AS (SELECT f.severity, f.rule, 'history:' || d.source AS location, large FROM found f JOIN documents d ON f.location = 'doc-' || d.doc_id JOIN sized USING (source))
-SELECT severity, rule, location, count(*) AS n FROM placed WHERE NOT large GROUP BY ALL UNION ALL SELECT 'INFO', 'history-scan-skipped', 'history:' || source, 1 FROM sized WHERE large""")
+, sized AS (
+  SELECT source AS history, sum(octet_length(encode(text))) > 25000000 AS large FROM documents GROUP BY source
+  UNION ALL SELECT p_brand, sum(octet_length(encode(text)) + CASE WHEN p_brand = 'Brand#11' THEN 1000001 ELSE 0 END) > 25000000 FROM notes JOIN part ON location = 'part-' || p_partkey GROUP BY p_brand),
+placed AS (
+  SELECT f.severity, f.rule, d.source AS history FROM found f JOIN documents d ON f.location = 'doc-' || d.doc_id
+  UNION ALL SELECT f.severity, f.rule, p_brand FROM found f JOIN part ON f.location = 'part-' || p_partkey)
+SELECT severity, rule, 'history:' || history AS location, count(*) AS n FROM placed JOIN sized USING (history) WHERE NOT large GROUP BY ALL UNION ALL SELECT 'INFO', 'history-scan-skipped', 'history:' || history, 1 FROM sized WHERE large""")
     return ORACLE_SQL | {"file_scan_counts": found, "file_scan_report": report, "history_scan": history}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vigilake.operators import audit, collections_, design, grouping, policy, replay, scan, triage, workflow
 from vigilake.plans.flow import COLLECTIONS, RUN_AT, Flow, flow_states, invariants, outcomes, run_flow
+from vigilake.plans.flow import run_report as flow_report
 from vigilake.sources import raw
 from vigilake.sources.store import save
 
@@ -121,7 +122,14 @@ def target_allowlist(spark, d):
 
 
 def scope_policy_hash(spark, d):
-    return policy.bound(_scopes(spark).drop("policy_hash")).select("scope_id", "policy_hash")
+    """A scope for every order: its customer may act on its host and on names below a domain; some have no end, or nobody in them."""
+    n, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    actors = F.when(n % 7 == 0, F.array().cast("array<string>")).when(n % 3 == 0, F.array(F.lit("ops"), F.concat(F.lit("c"), c))).otherwise(F.array(F.concat(F.lit("c"), c)))
+    targets = F.when(n % 5 == 0, F.array(F.lit("web-01"))).otherwise(F.array(F.lit("web-01"), F.concat(F.lit("*.d"), (n % 11).cast("string"), F.lit(".example"))))
+    scopes = _table(spark, d, "orders").select(
+        F.concat(F.lit("S-"), n.cast("string")).alias("scope_id"), (n % 4 + 1).cast("int").alias("scope_version"), (n % 2 == 0).alias("approved"), (n % 5).cast("int").alias("autonomy_level"), actors.alias("allowed_actors"), targets.alias("target_allowlist"),
+        F.when(n % 6 > 0, F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit("T00:00:00Z"))).alias("valid_from"), F.when(n % 4 > 0, F.concat(F.date_add(F.col("o_orderdate").cast("date"), 90).cast("string"), F.lit("T00:00:00Z"))).alias("valid_until"))
+    return policy.bound(scopes).select("scope_id", "policy_hash")
 
 
 def _outcomes(spark, d) -> DataFrame:
@@ -207,6 +215,10 @@ def invariant_checks(spark, d):
     return invariants(_flow(spark, d), audit.chain_state(_chains(spark, d)))
 
 
+def run_report(spark, d):
+    return flow_report(_flow(spark, d), audit.chain_state(_chains(spark, d)))
+
+
 def replay_diff(spark, d):
     """The run against one from its own evidence, with another partitioning."""
     f = _flow(spark, d)
@@ -281,10 +293,11 @@ def collection_documents(spark, d):
 
 
 def _labelled(spark, d) -> DataFrame:
-    """Predicted junk: texts in which letters are few. Expected: the label's quality 0."""
-    letters = F.length(F.regexp_replace("text", r"[^a-zA-Z ]", ""))
-    docs = _table(spark, d, "documents").select("doc_id", F.coalesce(letters < 0.85 * F.length("text"), F.lit(True)).alias("predicted"))
-    return docs.join(_table(spark, d, "labels").select("doc_id", (F.col("quality") == 0).alias("expected")), "doc_id")
+    """Predicted junk by a score that is fitted to four labels of five, and is judged on the fifth. Expected: the label's quality 0."""
+    docs = _table(spark, d, "documents").select("doc_id", *(x.alias(name) for name, x in design.text_features(F.col("text")).items()))
+    labelled = docs.join(_table(spark, d, "labels").select("doc_id", (F.col("quality") == 0).alias("expected")), "doc_id")
+    held_out = F.col("doc_id") % 5 == 0
+    return design.scored(labelled.where(held_out), design.fitted(labelled.where(~held_out), tuple(design.text_features(F.col("text"))))).select("expected", "predicted")
 
 
 def eval_confusion(spark, d):
@@ -422,7 +435,7 @@ def handoff_lineage(spark, d):
 
 _NAMES = """alert_groups_scored alert_group_members group_evidence incident_evidence parse_auth_lines parse_eve_lines alert_ids_numbered group_first_appearance triage_dispositions agent_runs escalation_gate incidents control_mappings risk_register action_plans
 policy_decisions policy_gates target_allowlist scope_policy_hash flow_outcomes flow_summary inbox_by_disposition queue_top evidence_hashes evidence_integrity audit_chain_build audit_chain_verify audit_chain_tampered
-workflow_counts last_flow_state state_changes invariant_checks replay_diff run_comparison secret_scan_lines secret_scan_raw secret_scan_counts redact_identity commit_email_dedup idempotent_merge conditional_append
+workflow_counts last_flow_state state_changes invariant_checks run_report replay_diff run_comparison secret_scan_lines secret_scan_raw secret_scan_counts redact_identity commit_email_dedup idempotent_merge conditional_append
 upsert_last_write collection_documents eval_confusion eval_metrics candidate_ttl source_gate typed_target_match transition_check repeated_tool_calls document_dedup document_chunks entity_extract conflict_detect
 windowed_alert_counts suppression_match baseline_findings approval_binding
 scope_compile intake_screening vulnerability_enrichment boundary_rechecks memory_entries handoff_lineage""".split()

@@ -120,3 +120,32 @@ def invariants(flow: Flow, chains: DataFrame) -> DataFrame:
     ):
         out = out.unionByName(holds(df, name, condition))
     return out
+
+
+def run_report(flow: Flow, chains: DataFrame) -> DataFrame:
+    """A run as rows (part, name, value): what came of it (summary), every group with its decision (group), and the checks (check: PASS or FAIL).
+
+    Beyond `invariants`: the evidence is as it was stored, at least one incident was made, no plan has been executed, and a replay from the vault gives the same collections.
+    """
+    from vigilake.operators import replay
+
+    row = lambda df, part, name, value: df.select(F.lit(part).alias("part"), name.alias("name"), value.cast("string").alias("value"))
+    out = None
+    for name, df in (("evidence", flow.evidence), ("alerts", flow.alerts), ("groups", flow.alert_groups), ("incidents", flow.incidents)):
+        counted = row(df.agg(F.count("*").alias("n")), "summary", F.lit(name), F.col("n"))
+        out = counted if out is None else out.unionByName(counted)
+    done = outcomes(flow)
+    said = F.concat_ws(" ", "disposition", F.col("confidence").cast("string"), F.coalesce("incident_id", F.lit("-")), F.coalesce("control_id", F.lit("-")), F.coalesce("action_plan_id", F.lit("-")), F.upper(F.coalesce("effect", F.lit("-"))), F.coalesce("reason_code", F.lit("-")))
+    out = out.unionByName(row(done, "group", F.col("group_id"), said))
+    vault = raw.vault(flow.evidence)
+    again = run_flow(replay.rebuilt_sources(flow.evidence, vault), flow.scope, flow.actor, flow.at)
+    judge = lambda df, name, ok: df.agg(F.coalesce(ok, F.lit(True)).alias("passed")).select(F.lit(name).alias("name"), "passed")
+    checks = invariants(flow, chains).unionByName(judge(replay.integrity(flow.evidence.select("evidence_id", "storage_ref"), vault), "evidence integrity", F.bool_and("intact")))
+    checks = checks.unionByName(judge(flow.incidents, "at least one incident", F.count("*") > 0)).unionByName(judge(flow.action_plans, "no plan has been executed", F.bool_and(F.col("status").isin("draft", "proposed"))))
+    checks = checks.unionByName(judge(replay.compare(flow, again, COLLECTIONS), "a replay gives the same", F.bool_and("equal")))
+    return out.unionByName(row(checks, "check", F.col("name"), F.when(F.col("passed"), "PASS").otherwise("FAIL")))
+
+
+def exit_code(report: DataFrame) -> int:
+    """What a run ends with: 0 if all checks of its report have passed, else 1."""
+    return int(bool(report.where("part = 'check' AND value <> 'PASS'").take(1)))

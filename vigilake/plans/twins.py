@@ -52,6 +52,14 @@ def _scan(skip: bool, select: str) -> str:
 
 _ip = lambda x: f"(CASE WHEN regexp_matches({x}, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') THEN CAST(split_part({x}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({x}, '.', 2) AS BIGINT) * 65536 + CAST(split_part({x}, '.', 3) AS BIGINT) * 256 + CAST(split_part({x}, '.', 4) AS BIGINT) END)"
 
+# the junk score: steps of features, their weights from the labels that train, and the sum of weights for the others
+_FIT = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS ws, quality = 0 AS e FROM documents JOIN labels USING (doc_id)),
+x AS (SELECT doc_id, e, coalesce(CAST(floor(length(regexp_replace(t, '[^a-zA-Z ]', '', 'g')) * 20 / nullif(length(t), 0)) AS INTEGER), -1) AS letters, least(coalesce(CAST(floor(length(array_to_string(ws, '')) / nullif(len(ws), 0)) AS INTEGER), -1), 15) AS word_length, coalesce(CAST(floor(len(list_distinct(ws)) * 20 / nullif(len(ws), 0)) AS INTEGER), -1) AS new_words FROM t),
+a AS (SELECT count(*) FILTER (WHERE e) AS y, count(*) FILTER (WHERE NOT e) AS n FROM x WHERE doc_id % 5 <> 0),
+s AS (SELECT feature, step, count(*) FILTER (WHERE e) AS y, count(*) FILTER (WHERE NOT e) AS n FROM (SELECT e, z.f AS feature, z.s AS step FROM (SELECT e, unnest([{'f': 'letters', 's': letters}, {'f': 'word_length', 's': word_length}, {'f': 'new_words', 's': new_words}]) AS z FROM x WHERE doc_id % 5 <> 0)) GROUP BY ALL),
+w AS (SELECT feature, step, round(ln((s.y + 1) / (s.n + 1)) - ln((a.y + 1) / (a.n + 1)), 6) AS weight FROM s, a),
+l AS (SELECT x.e, round((SELECT round(ln((y + 1) / (n + 1)), 6) FROM a) + coalesce(w1.weight, 0) + coalesce(w2.weight, 0) + coalesce(w3.weight, 0), 6) > 0 AS p FROM x LEFT JOIN w w1 ON w1.feature = 'letters' AND w1.step = letters LEFT JOIN w w2 ON w2.feature = 'word_length' AND w2.step = word_length LEFT JOIN w w3 ON w3.feature = 'new_words' AND w3.step = new_words WHERE doc_id % 5 = 0)"""
+
 ORACLE_SQL = {
     "parse_auth_lines": _q(S.ALERTS, "SELECT title, asset_id, event_time, dedup_key, severity, evidence_id AS evidence_ids FROM auth"),
     "parse_eve_lines": _q(S.ALERTS, "SELECT title, asset_id, event_time, dedup_key, severity, evidence_id AS evidence_ids FROM eve"),
@@ -86,7 +94,11 @@ messages(reason_code, message) AS (VALUES {", ".join(f"({S.text(k)}, {S.text(v)}
 SELECT scope_id, reason_code, CASE WHEN reason_code = 'ALLOW_OK' THEN 'allow' ELSE 'deny' END AS effect, message, count(*) AS n, min(request_id) AS first_request FROM decided JOIN messages USING (reason_code) GROUP BY ALL""",
     "target_allowlist": """WITH t AS (SELECT s_suppkey, lower(replace(s_name, '#', '-')) || CASE s_nationkey % 3 WHEN 0 THEN '.example.internal' WHEN 1 THEN 'example.internal' ELSE '' END AS target FROM supplier)
 SELECT s_suppkey, target, target = 'supplier-000000001' OR target = '*' OR target = '*.example.internal' OR (ends_with(target, '.example.internal') AND target <> 'example.internal') AS allowed FROM t""",
-    "scope_policy_hash": f"WITH {_SCOPES.lstrip()}\nSELECT scope_id, 'sha256:' || sha256({_CANONICAL}) AS policy_hash FROM scopes",
+    "scope_policy_hash": f"""
+WITH scopes AS (
+  SELECT 'S-' || o_orderkey AS scope_id, o_orderkey % 4 + 1 AS scope_version, o_orderkey % 5 AS autonomy_level, CASE WHEN o_orderkey % 7 = 0 THEN CAST([] AS VARCHAR[]) WHEN o_orderkey % 3 = 0 THEN ['ops', 'c' || o_custkey] ELSE ['c' || o_custkey] END AS actors, CASE WHEN o_orderkey % 5 = 0 THEN ['web-01'] ELSE ['web-01', '*.d' || (o_orderkey % 11) || '.example'] END AS targets,
+    CASE WHEN o_orderkey % 6 > 0 THEN CAST(o_orderdate AS DATE) || 'T00:00:00Z' END AS valid_from, CASE WHEN o_orderkey % 4 > 0 THEN (CAST(o_orderdate AS DATE) + 90) || 'T00:00:00Z' END AS valid_until FROM orders)
+SELECT scope_id, 'sha256:' || sha256({_CANONICAL}) AS policy_hash FROM scopes""",
     "flow_outcomes": _q(S.OUTCOMES, "SELECT flow_id, group_id, signature, risk_score, risk_band, disposition, incident_id, control_id, printf('RISK-%04d', incident_no) AS risk_id, CASE impact WHEN 'info' THEN 'informational' ELSE impact END AS inherent_band, action_plan_id, effect, reason_code FROM outcomes"),
     "flow_summary": _q(S.PLANS, "SELECT *, round(alerts / groups, 6) AS alerts_per_group FROM (SELECT (SELECT count(*) FROM evidence) AS evidence, (SELECT count(*) FROM alerts) AS alerts, (SELECT count(*) FROM groups) AS groups, (SELECT count(*) FROM incidents) AS incidents, (SELECT count(*) FROM plans) AS plans)"),
     "inbox_by_disposition": _q(S.TRIAGED, "SELECT disposition, risk_band, CASE WHEN disposition = 'escalate' AND confidence >= 0.8 THEN 'P0' WHEN disposition = 'escalate' THEN 'P1' WHEN disposition = 'monitor' THEN 'P2' ELSE 'P3' END AS priority, count(*) AS groups, CAST(sum(count) AS BIGINT) AS alerts, max(risk_score) AS top_score FROM triaged GROUP BY ALL"),
@@ -103,6 +115,9 @@ UNION ALL SELECT flow_id, 'artifact', count(*) + count(incident_id) + count(acti
 SELECT flow_id, arg_max(status, seq) AS status, arg_max(incident_id, seq) FILTER (WHERE incident_id IS NOT NULL) AS related_incident_id FROM c GROUP BY flow_id""",
     "invariant_checks": _q(S.DECISIONS, """SELECT 'every group has evidence' AS name, bool_and(evidence_ids <> '') AS passed FROM groups UNION ALL SELECT 'every incident has evidence', bool_and(evidence_ids <> '') FROM incidents UNION ALL SELECT 'every plan needs approval', true
 UNION ALL SELECT 'nothing is executed', bool_and(reason_code <> 'ALLOW_OK') FROM decisions UNION ALL SELECT 'every audit chain is intact', true"""),
+    "run_report": _q(S.OUTCOMES, """SELECT 'summary' AS part, 'evidence' AS name, CAST(count(*) AS VARCHAR) AS value FROM evidence UNION ALL SELECT 'summary', 'alerts', CAST(count(*) AS VARCHAR) FROM alerts UNION ALL SELECT 'summary', 'groups', CAST(count(*) AS VARCHAR) FROM groups UNION ALL SELECT 'summary', 'incidents', CAST(count(*) AS VARCHAR) FROM incidents
+UNION ALL SELECT 'group', group_id, disposition || ' ' || CAST(confidence AS VARCHAR) || ' ' || coalesce(incident_id, '-') || ' ' || coalesce(control_id, '-') || ' ' || coalesce(action_plan_id, '-') || ' ' || coalesce(upper(effect), '-') || ' ' || coalesce(reason_code, '-') FROM outcomes
+UNION ALL SELECT 'check', unnest(['every group has evidence', 'every incident has evidence', 'every plan needs approval', 'nothing is executed', 'every audit chain is intact', 'evidence integrity', 'at least one incident', 'no plan has been executed', 'a replay gives the same']), 'PASS'"""),
     "replay_diff": "SELECT unnest([" + ", ".join(map(S.text, COLLECTIONS)) + "]) AS collection, CAST(0 AS BIGINT) AS only_left, CAST(0 AS BIGINT) AS only_right, true AS equal",
     "run_comparison": _q(S.GROUPS, """, less AS (SELECT dedup_key, count(*) AS count, min(event_time) AS first_seen FROM alerts WHERE file_no % 10 <> 9 GROUP BY dedup_key),
 a AS (SELECT count(*) AS n FROM (SELECT dedup_key, count, first_seen FROM groups EXCEPT ALL SELECT * FROM less)), b AS (SELECT count(*) AS n FROM (SELECT * FROM less EXCEPT ALL SELECT dedup_key, count, first_seen FROM groups))
@@ -120,8 +135,8 @@ UNION ALL SELECT o_custkey, 'new', min(o_orderkey) FROM orders WHERE o_custkey N
     "conditional_append": "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN p_name ELSE p_name || ' + ring added' END AS p_name FROM part",
     "upsert_last_write": "SELECT o_custkey AS key, max(o_orderkey) AS seq, arg_max(o_orderstatus, o_orderkey) AS status, min(o_orderkey) AS first_seq FROM orders GROUP BY o_custkey",
     "collection_documents": """SELECT 'N-' || n_nationkey AS obj_id, '{"id":"N-' || n_nationkey || '","name":"' || n_name || '","note":null}' AS doc FROM nation""",
-    "eval_confusion": """WITH l AS (SELECT quality = 0 AS expected, coalesce(length(regexp_replace(text, '[^a-zA-Z ]', '', 'g')) < 0.85 * length(text), true) AS predicted FROM documents JOIN labels USING (doc_id)) SELECT expected, predicted, count(*) AS n FROM l GROUP BY ALL""",
-    "eval_metrics": """WITH l AS (SELECT quality = 0 AS e, coalesce(length(regexp_replace(text, '[^a-zA-Z ]', '', 'g')) < 0.85 * length(text), true) AS p FROM documents JOIN labels USING (doc_id)),
+    "eval_confusion": _FIT + " SELECT e AS expected, p AS predicted, count(*) AS n FROM l GROUP BY ALL",
+    "eval_metrics": _FIT + """,
 c AS (SELECT count(*) FILTER (WHERE e AND p) AS tp, count(*) FILTER (WHERE NOT e AND p) AS fp, count(*) FILTER (WHERE e AND NOT p) AS fn, count(*) FILTER (WHERE NOT e AND NOT p) AS tn FROM l)
 SELECT tp, fp, fn, tn, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS false_alarms FROM c""",
     "candidate_ttl": "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 * 5 AS INTEGER) < DATE '1998-01-01' AS expired, count(*) AS n FROM orders GROUP BY ALL",
