@@ -82,30 +82,43 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, held: int = HELD_KE
     return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in [*docs.columns, "__lines", "__removed"]))
 
 
+def _without(text: str | None, hit) -> tuple[str | None, int, int, bytes | None]:
+    """(text, lines, removed, whole): the text without the lines that hit (of the list of lines: True where one goes) names; if only white space is left, the text as it was, and its key."""
+    parts = [] if text is None else text.split("\n")
+    gone = hit(parts)
+    hits = sum(gone)
+    kept = "\n".join(x for x, y in zip(parts, gone, strict=True) if not y) if hits else text
+    bare = hits > 0 and not kept.strip(_EDGES + "\n")
+    return text if bare else kept, len(parts), hits, md5(text.encode()).digest() if bare else None
+
+
+def _with_cut(part: pa.RecordBatch, rows: list[tuple], drop: tuple[str, ...] = ()) -> pa.RecordBatch:
+    new, lines, removed, whole = zip(*rows, strict=True)
+    columns = {name: pa.array(new, pa.string()) if name == "text" else part.column(k) for k, name in enumerate(part.schema.names) if name not in drop}
+    return pa.record_batch([*columns.values(), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(whole, pa.binary())], [*columns, "__lines", "__removed", "__whole"])
+
+
 def _cut(known):
-    """The text without boilerplate lines; if only white space is left, the text as it was and its key in __whole."""
+    """The text without boilerplate lines, with __lines, __removed and __whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = known.value
+        hit = lambda parts: [bool(x := line.strip(_EDGES)) and md5(x.encode()).digest() in keys for line in parts]
         for part, _, _ in slices(batches, "text"):
-            at, new, lines, removed, whole = part.schema.get_field_index("text"), [], [], [], []
-            for text in part.column(at):
-                text = text.as_py()
-                parts = [] if text is None else text.split("\n")
-                stays = [not (x := line.strip(_EDGES)) or md5(x.encode()).digest() not in keys for line in parts]
-                hits = len(stays) - sum(stays)
-                kept = "\n".join(x for x, y in zip(parts, stays, strict=True) if y) if hits else text
-                bare = hits > 0 and not kept.strip(_EDGES + "\n")
-                new.append(text if bare else kept)
-                whole.append(md5(text.encode()).digest() if bare else None)
-                lines.append(len(parts))
-                removed.append(hits)
-            columns = [*part.columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(whole, pa.binary())]
-            columns[at] = pa.array(new, pa.string())
-            yield pa.record_batch(columns, [*part.schema.names, "__lines", "__removed", "__whole"])
+            yield _with_cut(part, [_without(text, hit) for text in part.column(part.schema.get_field_index("text")).to_pylist()])
 
     return run
 
 
+def _cut_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _cut, where __hit has the places of a text's boilerplate lines (null: none): once through its lines."""
+    for part, _, _ in slices(batches, "text"):
+        rows = []
+        for text, spots in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("text", "__hit")), strict=True):
+            gone = set(spots or ())
+            rows.append(_without(text, lambda parts: [i in gone for i in range(len(parts))]))  # noqa: B023
+        yield _with_cut(part, rows, ("__hit",))
+
+
 def _cut_by_join(docs: DataFrame, common: DataFrame) -> DataFrame:
     """As _cut, for more boilerplate lines than a task may hold: their places are found by a join and brought back to each text."""
     # which lines of which text: texts are keyed by their digest, so that copies are looked up once
@@ -113,14 +126,8 @@ def _cut_by_join(docs: DataFrame, common: DataFrame) -> DataFrame:
     spots = texts.select("text_key", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("text_key", "at", _key(_line(F.col("line"))).alias("line_key")).distinct()
     # distinct above is per text: a line that a text repeats keeps all its places
     hit = spots.join(common, "line_key", "left_semi").groupBy("text_key").agg(F.collect_list("at").alias("__hit"))
-    out = docs.withColumn("__key", _key(F.col("text"))).join(hit.withColumnRenamed("text_key", "__key"), "__key", "left")
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__hit", i)), "\n")
-    out = out.withColumn("__new", F.when(F.col("__hit").isNull(), F.col("text")).otherwise(kept))
-    out = out.withColumn("__bare", F.col("__hit").isNotNull() & (F.btrim("__new", F.lit(_EDGES + "\n")) == ""))
-    new = {"text": F.when(F.col("__bare"), F.col("text")).otherwise(F.col("__new"))}
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns), lines.alias("__lines"), F.when(F.col("__hit").isNull(), 0).otherwise(F.size("__hit")).cast("long").alias("__removed"), F.when(F.col("__bare"), F.col("__key")).alias("__whole"))
+    met = docs.withColumn("__key", _key(F.col("text"))).join(hit.withColumnRenamed("text_key", "__key"), "__key", "left").select(*docs.columns, "__hit")
+    return met.mapInArrow(_cut_spots, T.StructType([*docs.schema.fields, *T.StructType.fromDDL("__lines long, __removed long, __whole binary").fields]))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
