@@ -10,10 +10,11 @@ neighbours by a Gaussian, and a threshold that splits the smoothed ratios in two
    what is in them counts (in those with dense lines, if any); without them the ratios decide alone.
 2. In the region every line stays, however short, but those of a container that is nothing but links, and those marked
    weakly as boilerplate (a part of a class name or id, such as `promo` in `promo-box`, or any mark on a paragraph or list
-   item) without a dense line. Marked lines count as dense by their own ratio, not by their neighbours'.
+   item) without a dense line. An ordered list within an article stays, though it be all links (references). Marked lines count as dense by their own ratio, not by their neighbours'.
 3. What HTML itself says to be no article text never counts and never stays: script, style, nav, aside, footer, form and
    their like, a header outside of an article, hidden elements, and containers whose role, or whose whole class name or id,
-   is that of boilerplate (`class="comments"`).
+   is that of boilerplate (`class="comments"`). Within an article, names of controls (`class="search"`, `id="form"`) are weak
+   marks: such a container stays if it has a dense line.
 
 Text: character references decoded, white space inside a block turned into one space, ends trimmed, blocks in page order,
 one line feed between them. Defined results: a null or empty html, or one without content, gives an empty text; a page
@@ -24,7 +25,7 @@ each give a row; other columns are not read. An empty table gives an empty resul
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -43,10 +44,12 @@ MOST, LINKED = 0.9, 0.9
 
 # fixed values: HTML element names by role
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = frozenset("aside button canvas datalist dialog footer form head iframe map math menu nav noscript object option script select style svg template textarea title".split())
+_DROP = frozenset("aside button canvas datalist dialog footer form head iframe map menu nav noscript object option script select style svg template textarea title".split())
 _CONTAINER = frozenset("article body center details div fieldset main ol section table ul".split())
 _BLOCK = _CONTAINER | _DROP | frozenset("address blockquote caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr legend li ol p pre summary tbody td tfoot th thead tr ul".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: Of the names below, those of controls and links: prose in a container of such a name is article text after all, if it stands in the article.
+_CONTROLS = frozenset("breadcrumb breadcrumbs form header login masthead menu nav navbar navigation search share sharing skip social toolbar widget".split())
 _HINTS = frozenset(
     """ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
     disclaimer footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay popup promo
@@ -85,6 +88,8 @@ class _Lines(HTMLParser):
         self.parents = [0]
         self.whole = {0: False}  # containers that are not looked into any further
         self.stack = [_Open("", False, 0, 0, 0)]
+        self.open: Counter[str] = Counter()  # names in the stack
+        self.ordered: set[int] = set()  # containers that are ordered lists in an article
         self.parts: list[str] = []
         self.tags = self.linked = self.marks = self.articles = 0
         self.link = False
@@ -99,7 +104,7 @@ class _Lines(HTMLParser):
         if tag in _BLOCK:
             self.flush()
             if self.stack[-1].tag in ("p", "li", "dt", "dd") and self.stack[-1].tag in (tag, "p"):
-                self.stack.pop()  # its end tag may be left out
+                self.open[self.stack.pop().tag] -= 1  # its end tag may be left out
         self.tags += 1
         if tag == "a":
             self.link = True
@@ -117,7 +122,7 @@ class _Lines(HTMLParser):
             elif name in ("class", "id") and value and tag not in ("html", "body", "main"):
                 names = value.lower().split()
                 whole = not _HINTS.isdisjoint(names)
-                drop |= whole and tag in _CONTAINER
+                drop |= whole and tag in _CONTAINER and not (top.article and _CONTROLS.issuperset(_HINTS.intersection(names)))
                 weak |= whole or not _HINTS.isdisjoint(re.split(r"[^a-z0-9]+", value.lower()))
         if tag in _BLOCK or drop or weak:
             container, marked, article = top.container, top.marked, top.article
@@ -126,6 +131,8 @@ class _Lines(HTMLParser):
                     self.parents.append(container)
                     container = len(self.parents) - 1
                     self.whole[container] = tag in ("article", "main")
+                    if tag == "ol" and article and not weak:
+                        self.ordered.add(container)
                     if self.whole[container] and not article:
                         self.articles += 1
                         article = self.articles
@@ -135,16 +142,17 @@ class _Lines(HTMLParser):
             if drop and tag not in _BLOCK and not top.dropped:
                 self.parts.append(" ")
             self.stack.append(_Open(tag, top.dropped or drop, container, marked, article))
+            self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.link = False
         if tag in _BLOCK:
             self.flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                del self.stack[k:]
-                break
+        if self.open[tag]:  # every element is closed once, so that stray end tags cost nothing
+            while (last := self.stack.pop().tag) != tag:
+                self.open[last] -= 1
+            self.open[tag] -= 1
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1].dropped:
@@ -230,7 +238,7 @@ def main_text(html: str | None) -> str:
         inside[c] = inside[parents[c]]
     # menus: containers of several lines of nothing but links
     total, linked, several = _sums(sizes, of, parents), _sums([x.linked for x in lines], of, parents), _sums([1] * len(lines), of, parents)
-    menu = [c != at and several[c] > 1 and linked[c] >= LINKED * total[c] for c in range(len(parents))]
+    menu = [c != at and c not in parser.ordered and several[c] > 1 and linked[c] >= LINKED * total[c] for c in range(len(parents))]
     for c in range(at + 1, len(parents)):
         menu[c] |= inside[c] and c != at and menu[parents[c]]
     good = {x.marked for x, d in zip(lines, dense, strict=True) if d}
