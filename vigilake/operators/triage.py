@@ -22,6 +22,10 @@ class Agent:
     version: str
     decide: Callable[[], Column]
 
+    def judge(self, groups: DataFrame) -> DataFrame:
+        """groups with the columns of the result."""
+        return groups.withColumn("__r", self.decide()).select("*", "__r.*").drop("__r")
+
 
 def _soc_rules() -> Column:
     """The first rule that holds decides. Without evidence nothing is escalated."""
@@ -56,15 +60,17 @@ def resolutions(wanted: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("registered").isNull(), "unknown").when(F.col("version") != F.col("registered"), "other_version").otherwise("ok"))
 
 
-def triage(groups: DataFrame, agent: Agent | None = None) -> DataFrame:
-    """groups with disposition, confidence, rationale, recommended_action_types, attack_techniques and the number of the run."""
+def triage(groups: DataFrame, agent=None) -> DataFrame:
+    """groups with disposition, confidence, rationale, recommended_action_types, attack_techniques and the number of the run.
+
+    agent: an `Agent`, or any that has name, version and judge (such as `model_agent.ModelAgent`).
+    """
     agent = agent or resolve("soc.triage")
     none = F.array().cast("array<string>")
-    out = groups.withColumn("__r", agent.decide()).select("*", "__r.*").drop("__r")
-    return out.withColumns({"attack_techniques": F.coalesce(lookup(F.col("signature"), ATTACK_TECHNIQUES), none), "agent_run_id": number("AR", F.col("group_no"))})
+    return agent.judge(groups).withColumns({"attack_techniques": F.coalesce(lookup(F.col("signature"), ATTACK_TECHNIQUES), none), "agent_run_id": number("AR", F.col("group_no"))})
 
 
-def agent_runs(triaged: DataFrame, at: str, agent: Agent | None = None) -> DataFrame:
+def agent_runs(triaged: DataFrame, at: str, agent=None) -> DataFrame:
     agent = agent or resolve("soc.triage")
     output = canonical_json(disposition=F.col("disposition"), attack_techniques=F.col("attack_techniques"), recommended_action_types=F.col("recommended_action_types"))
     return triaged.select("agent_run_id", F.lit(agent.name).alias("agent_name"), F.lit(agent.version).alias("agent_version"), F.array("group_id").alias("input_refs"), output.alias("output"), "confidence", "evidence_count", F.lit("ok").alias("status"), F.lit(at).alias("started_at"), F.lit(at).alias("finished_at"))

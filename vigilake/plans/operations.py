@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.operators import audit, design, normalize, replay, stops
+from vigilake.operators import audit, design, model_agent, normalize, replay, stops, triage
 from vigilake.plans import sql as S
 from vigilake.plans.flow import run_flow
 from vigilake.sources import json_lists, raw
@@ -236,3 +236,19 @@ def chain_forks(spark, d):
     other = marked.where((F.expr("cast(substring(chain_id, 3) as bigint)") % 5 == 0) & (F.col("seq") > F.col("first"))).withColumn("actor", F.lit("other"))
     second = audit.chained(other.select(events.columns), audit.heads(begun))
     return audit.forks(chain.unionByName(second)).select("chain_id", "branches")
+
+
+def model_triage(spark, d):
+    """A model fitted to the rule agent's decisions on a bounded sample, applied to all groups: how its dispositions agree with the rules'.
+
+    No twin: a fitted model; tests hold it against a plain gradient descent.
+    """
+    decided = run_flow(raw.event_sources(_table(spark, d, "events"))).triaged
+    registry = model_agent.Registry(triage.resolve("soc.triage"), model_agent.fit_agent(decided, "1"))
+    rules = decided.select("group_id", F.col("disposition").alias("expected"))
+    groups = decided.drop("disposition", "confidence", "rationale", "recommended_action_types", "attack_techniques", "agent_run_id")
+    found = triage.triage(groups, registry.resolve("soc.model", "1"))
+    return found.join(rules, "group_id").groupBy("expected", F.col("disposition").alias("predicted"), "risk_band").agg(F.count("*").alias("groups"), F.round(F.avg("confidence"), 3).alias("confidence"))
+
+
+QUERIES["model_triage"] = model_triage
