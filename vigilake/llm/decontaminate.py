@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 from vigilake.llm.common import save, table
 from vigilake.llm.words import _LOWER, ALNUM, slices, windows, words
 
-#: Words in a window; how many test windows a task may hold (about 150 bytes each).
-WINDOW, HELD_WINDOWS = 10, 1_000_000
+#: Words in a window; how many test windows a task may hold, and how many bytes of them (words, and 16 bytes for each window and each item of one).
+WINDOW, HELD_WINDOWS, HELD_BYTES = 10, 1_000_000, 150_000_000
 #: A document of which more than this share of words is hit is dropped whole.
 DROP_SHARE = 0.5
 
@@ -54,24 +55,28 @@ def _item_windows(n: int):
 
 
 class _Scanner:
-    """The test windows as one task holds them."""
-
-    def __init__(self, rows: list[tuple[int, int, bytes, list[int]]]):
-        self.items = {(m, key): ids for m, _, key, ids in rows}
-        by = defaultdict(list)
-        for m, h, _, _ in rows:
-            by[m].append(h)
-        self.sets = {m: np.unique(np.array(h, np.int64).view(np.uint64)) for m, h in by.items()}
-        self.quick = {}
-        for m, h in self.sets.items():
+    """The test windows as one task holds them: for each length their sorted hashes, and the words and items of all in one array each (see `_packed`)."""
+
+    def __init__(self, held: dict[int, tuple]):
+        self.held, self.quick = held, {}
+        for m, (h, *_) in held.items():
             self.quick[m] = np.zeros(1 << 20, bool)
             self.quick[m][(h >> np.uint64(44)).astype(np.int64)] = True
 
+    def items(self, m: int, h: int, key: bytes, j: int) -> np.ndarray | None:
+        """The items of the window with these words; j: the first of its hash."""
+        known, words_, ends, ids, id_ends = self.held[m]
+        while j < len(known) and known[j] == h:
+            if words_[ends[j] : ends[j + 1]] == key:
+                return ids[id_ends[j] : id_ends[j + 1]]
+            j += 1
+        return None
+
     def scan(self, data: np.ndarray, offsets: np.ndarray):
         """(starts, ends, row offsets, hit words, for each row the ids of its items)."""
         h, starts, ends, rows = words(data, offsets, ALNUM)
         change, found, low = np.zeros(len(h) + 1, np.int64), defaultdict(set), _LOWER[data]
-        for m, known in self.sets.items():
+        for m, (known, *_) in self.held.items():
             w = windows(h, m)
             at = np.flatnonzero(self.quick[m][(w >> np.uint64(44)).astype(np.int64)])
             at = at[known[np.minimum(np.searchsorted(known, w[at]), len(known) - 1)] == w[at]]
@@ -79,10 +84,10 @@ class _Scanner:
             inside = at + m <= rows[row + 1]
             at, row = at[inside], row[inside]
             for i, r, key in zip(at.tolist(), row.tolist(), _keys(low, starts, ends, at, m), strict=True):
-                if ids := self.items.get((m, key)):
+                if (ids := self.items(m, w[i], key, int(np.searchsorted(known, w[i])))) is not None:
                     change[i] += 1
                     change[i + m] -= 1
-                    found[r].update(ids)
+                    found[r].update(ids.tolist())
         return starts, ends, rows, np.cumsum(change[:-1]) > 0, found
 
     def cut(self, text: bytes) -> bytes:
@@ -149,9 +154,24 @@ def item_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 def _held(grams: DataFrame, most: int):
-    """The windows as a broadcast value, or None where there are more than `most`."""
-    rows = grams.limit(most + 1).collect()
-    return grams.sparkSession.sparkContext.broadcast([(r.m, r.hash, bytes(r.key), list(r.item_ids)) for r in rows]) if len(rows) <= most else None
+    """The windows as a broadcast value, or None where there are more than `most`, or more than HELD_BYTES of them."""
+    size = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("key") + 16 + 16 * F.size("item_ids")), F.lit(0)).alias("bytes")).first()
+    if size.n > most or size.bytes > HELD_BYTES:
+        return None
+    return grams.sparkSession.sparkContext.broadcast(_packed(grams.select("m", "hash", "key", "item_ids").toArrow()))
+
+
+def _packed(rows: pa.Table) -> dict[int, tuple]:
+    """For each length: (hashes, sorted; the windows' words in one string of bytes; where each begins; the items' ids; where each window's begin)."""
+    out = {}
+    for m in pc.unique(rows.column("m")).to_pylist():
+        own = rows.filter(pc.equal(rows.column("m"), m))
+        h = own.column("hash").to_numpy().view(np.uint64)
+        own = own.select(["key", "item_ids"]).take(pa.array(np.argsort(h, kind="stable"))).combine_chunks()
+        key, ids = own.column("key").cast(pa.large_binary()), own.column("item_ids")
+        sizes = lambda c: np.concatenate(([0], np.cumsum(c.to_numpy()))).astype(np.int64)
+        out[m] = (np.sort(h), b"".join(key.to_pylist()), sizes(pc.binary_length(key)), pc.list_flatten(ids).to_numpy(), sizes(pc.list_value_length(ids)))
+    return out
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, most: int = HELD_WINDOWS) -> DataFrame:
