@@ -283,16 +283,11 @@ def source_files(spark, d):
         sources.where(F.col("source_type") == kind).select(F.decode("data", "UTF-8").alias("value")).write.text(path)
         own = raw.read_sources(spark, path, kind, media).select("*", F.lit(raw.ORDER[kind]).alias("source_ord"))
         read = own if read is None else read.unionByName(own)
-    named = read.select("*", F.row_number().over(_by_name()).alias("file_no"))
+    # the files of a folder are named part-00000 and so on: ten of them are numbered at a time
+    named = numbered(read, ["source_ord", "name"], F.concat_ws("/", "source_ord", F.left(F.substring_index("name", "/", -1), F.lit(9))), "file_no")
     return normalize.parse(raw.source_lines(raw.with_evidence(named, "2026-07-06T21:15:00Z"))).groupBy("source").agg(F.count("*").alias("alerts"), F.countDistinct("dedup_key").alias("keys"))
 
 
-def _by_name():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("source_type").orderBy("name")
-
-
 def _files(spark, d) -> DataFrame:
     """The notes as text files below a folder, those of every fourth part under a prefix that is skipped, and a binary one."""
     from vigilake.plans import catalogue
