@@ -47,12 +47,9 @@ def members(alerts: DataFrame) -> DataFrame:
     return rows.join(before, ["dedup_key", "__b"]).withColumn("place", place).drop("__b", "__before")
 
 
-def group(alerts: DataFrame, evidence_: DataFrame | None = None) -> DataFrame:
-    """One row per dedup key, numbered by its first alert, over all its alerts and evidence; what these are is in `members` and `evidence`.
-
-    evidence_: the result of `evidence` as a table, if there is one already.
-    """
-    backed = (evidence(alerts) if evidence_ is None else evidence_).groupBy("dedup_key").agg(F.count("*").alias("evidence_count"))
+def group(alerts: DataFrame) -> DataFrame:
+    """One row per dedup key, numbered by its first alert, over all its alerts and evidence; what these are is in `members` and `evidence`."""
+    backed = evidence(alerts).groupBy("dedup_key").agg(F.count("*").alias("evidence_count"))
     grouped = alerts.groupBy("dedup_key").agg(
         F.min_by("signature", "seq").alias("signature"), F.min_by("asset_id", "seq").alias("asset_id"), F.max_by("severity", weight(F.col("severity"))).alias("severity"), F.count("*").cast("int").alias("count"),
         F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"), F.min("seq").alias("first_seq"))

@@ -34,18 +34,14 @@ class Flow:
     def alerts(self) -> DataFrame:
         return save(normalize.parse(raw.source_lines(self.evidence)), "alerts")
 
-    @cached_property
-    def key_evidence(self) -> DataFrame:
-        return save(grouping.evidence(self.alerts), "key-evidence")
-
     @cached_property
     def alert_groups(self) -> DataFrame:
-        return save(grouping.group(self.alerts, self.key_evidence), "groups")
+        return save(grouping.group(self.alerts), "groups")
 
     @cached_property
     def group_evidence(self) -> DataFrame:
         """All evidence of every group: (group_id, evidence_id)."""
-        return self.key_evidence.join(self.alert_groups.select("dedup_key", "group_id"), "dedup_key").select("group_id", "evidence_id")
+        return grouping.evidence(self.alerts).join(self.alert_groups.select("dedup_key", "group_id"), "dedup_key").select("group_id", "evidence_id")
 
     @cached_property
     def triaged(self) -> DataFrame:
