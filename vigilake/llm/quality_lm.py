@@ -33,7 +33,7 @@ from vigilake.llm.words import NOT_SPACE, slices, windows, words
 ORDER, QUANTILE = 5, 0.98
 #: One in HELD_OUT trusted documents sets the threshold and does not train; so many held-out texts weigh as much as all languages' spread.
 HELD_OUT, DRAWN = 5, 200
-#: Texts with at most this share of repeated word pairs are never rejected for them.
+#: Texts with at most this share of repeated word pairs are never rejected for them; none are where nothing is trusted.
 REPEATED = 0.3
 #: No byte is less probable than this.
 LEAST_P = 1e-12
@@ -228,9 +228,10 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, held:
     scored = scorer(trusted.where(part == 0)).select("__lang", "__repeated", "__perplexity")
     # rounded, so that the exact quantile counts a bounded number of distinct values
     scored = save(scored.where("__perplexity is not null").select("__lang", F.round("__repeated", 4).alias("__repeated"), F.round("__perplexity", 4).alias("__perplexity")), "held_out")
-    bound = thresholds(scored, save(trusted.where("text <> ''").select("__lang").distinct(), "languages"), quantile)
+    languages = save(trusted.where("text <> ''").select("__lang").distinct(), "languages")
+    bound = thresholds(scored, languages, quantile)
     most = scored.agg(F.percentile("__repeated", F.lit(quantile))).first()[0]
-    repetitive = F.lit(False) if most is None else F.col("__repeated") > max(most, REPEATED)
+    repetitive = F.col("__repeated") > max(most or 0, REPEATED) if languages.take(1) else F.lit(False)
     out = scorer(docs).withColumn("__lang", F.coalesce("lang", F.lit(""))).join(checked(save(bound, "bounds")), "__lang", "left")
     keep = F.col("__perplexity").isNotNull() & (F.col("__threshold").isNull() | (F.round("__perplexity", 4) <= F.col("__threshold")))
     return out.select(*docs.columns, "__perplexity", "__threshold", repetitive.alias("__repetitive"), (keep & ~repetitive).alias("__keep"))
