@@ -12,8 +12,12 @@ Of the pairs looked at, those go on that pass three exact tests: of size, of pla
 has a bit for each of MAP_BITS classes of n-grams, set where the document has an odd number of them; the bits in which
 two maps differ are at most the n-grams in which the documents differ.
 
-The order of n-grams comes from a table of fixed size (2**LEVEL_BITS bytes): each place has the logarithm of how often the
-shared n-grams that fall on it occur. Any order that all tasks have in common is right; this one keeps the lists short.
+The order of n-grams comes from a table of the most frequent ones (NGRAMS_HELD at most, chosen by their counts over all
+documents) with the logarithm of how often each occurs; all others count as rare. Any order that all tasks have in common
+is right; this one keeps the lists short, and an n-gram that is not in the table never lends its place to another. Counts
+are of n-grams that repeat within COUNTED shingles of a task. One that repeats only across tasks shows by the length of its
+list: where lists of more than LEADER_LOAD documents come out that were not ranked, their n-grams are ranked by that
+length and the prefixes are taken again, RANKINGS times at most (what is then still long is compared as it is).
 
 Equal sets are known by their size and two sums of 64-bit hashes: of 10**10 documents, two with different sets pass for
 equal with a probability of about 10**-18.
@@ -40,8 +44,10 @@ from vigilake.llm.words import NOT_SPACE, mix, shingle_sets, slices, words
 WORDS, SHARE = 5, (75, 100)
 #: The n-gram space is cut into so many fragments for counting.
 FRAGMENTS = 8
-#: Places in the table of frequencies, and steps for each doubling of a frequency.
-LEVEL_BITS, STEPS = 22, 8
+#: N-grams in the table of frequencies (9 bytes each), steps for each doubling of a frequency, and how often prefixes are taken.
+NGRAMS_HELD, STEPS, RANKINGS = 1_000_000, 8, 3
+#: Bits of the hash by which most n-grams that are not in the table are told (a byte for each value).
+SIEVE_BITS = 22
 #: Bits of a parity map, and of the folded ones by which pairs are tested first; folded maps of so many documents (40 bytes each) may be broadcast.
 MAP_BITS, FOLD_BITS, FOLDS_HELD = 1024, 256, 500_000
 #: Shingles that a task looks through at a time for shared ones.
@@ -101,9 +107,30 @@ def _profile(n: int):
     return run
 
 
-def _in_order(every: np.ndarray, ends: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class _Ranks:
+    """The levels of the n-grams that are held; 0 for all others."""
+
+    def __init__(self, tokens: np.ndarray, levels: np.ndarray):
+        self.tokens, self.levels = tokens, levels
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)
+        self.sieve[self._spot(tokens)] = True
+
+    @staticmethod
+    def _spot(tokens: np.ndarray) -> np.ndarray:
+        return (tokens & np.uint64((1 << SIEVE_BITS) - 1)).astype(np.int64)
+
+    def of(self, every: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(every), np.uint8)
+        if len(self.tokens):
+            may = np.flatnonzero(self.sieve[self._spot(every)])
+            at = np.minimum(np.searchsorted(self.tokens, every[may]), len(self.tokens) - 1)
+            level[may] = np.where(self.tokens[at] == every[may], self.levels[at], 0)
+        return level
+
+
+def _in_order(every: np.ndarray, ends: np.ndarray, ranks: _Ranks) -> tuple[np.ndarray, np.ndarray]:
     """Every row's n-grams put in the global order, and their levels."""
-    level = levels[(every & np.uint64(len(levels) - 1)).astype(np.int64)]
+    level = ranks.of(every)
     if level.any():
         order = np.lexsort((level, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))  # stable: equal levels stay by hash
         every, level = every[order], level[order]
@@ -112,10 +139,10 @@ def _in_order(every: np.ndarray, ends: np.ndarray, levels: np.ndarray) -> tuple[
 
 def _prefixes(n: int, share: tuple[int, int], held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = held.value
+        ranks = _Ranks(*held.value)
         for part, data, offsets in slices(batches, "text"):
             every, ends = _gathered(data, offsets, n)
-            every, level = _in_order(every, ends, levels)
+            every, level = _in_order(every, ends, ranks)
             size = np.diff(ends)
             take = np.where(size > 0, size - -(-size * share[0] // share[1]) + 1, 0)
             row = np.repeat(np.arange(len(size)), take)
@@ -147,14 +174,42 @@ def _segments(n: int):
     return run
 
 
-def _levels(profile: DataFrame) -> np.ndarray:
-    """The table of frequencies: 2**LEVEL_BITS bytes at any size of the input, of which the driver gets those that are not 0."""
-    spot = F.col("a").bitwiseAND(F.lit((1 << LEVEL_BITS) - 1)).cast("int").alias("spot")
-    level = F.least(F.round(F.log2(F.sum("n")) * STEPS), F.lit(255)).cast("short").alias("level")
-    got = profile.where("kind = 1").groupBy(spot).agg(level).toArrow()
-    levels = np.zeros(1 << LEVEL_BITS, np.uint8)
-    levels[got.column("spot").to_numpy()] = got.column("level").to_numpy()
-    return levels
+def _counts(profile: DataFrame) -> DataFrame:
+    """(token, level) of the n-grams that were seen to repeat."""
+    return profile.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.least(F.round(F.log2(F.sum("n")) * STEPS), F.lit(255)).cast("short").alias("level"))
+
+
+def _most_frequent(counts: DataFrame, held: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens (sorted) and levels of about `held` n-grams: those of the highest levels, and of the level that does not fit whole a part by hash."""
+    cut, room, part = 256, held, 0
+    for level, number in sorted(counts.groupBy("level").count().collect(), reverse=True):  # at most 255 rows
+        if number > room:
+            part = 1000 * room // number
+            break
+        cut, room = level, room - number
+    chosen = (F.col("level") >= cut) | ((F.col("level") == level) & (F.pmod(F.xxhash64("token"), F.lit(1000)) < part)) if part else F.col("level") >= cut
+    got = counts.where(chosen).toArrow()
+    tokens, levels = got.column("token").to_numpy().view(np.uint64), got.column("level").to_numpy().astype(np.uint8)
+    order = np.argsort(tokens)
+    return tokens[order], levels[order]
+
+
+def _posts(docs: DataFrame, counts: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+    """(token, salt, doc_id, n, place, band) for each n-gram of each document's prefix that another one's has as well."""
+    spark = docs.sparkSession
+    for ranking in range(RANKINGS):
+        held = spark.sparkContext.broadcast(_most_frequent(counts, NGRAMS_HELD))
+        posts = docs.mapInArrow(_prefixes(n, share, held), "token long, salt int, doc_id long, n int, place int")
+        posts = posts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(share[1] / share[0]))).cast("int"))
+        length = F.count("*").over(Window.partitionBy("token", "salt"))
+        posts = save(posts.withColumn("length", length).where("length > 1 or salt > 0"), "posts")
+        held.destroy()
+        if ranking + 1 == RANKINGS or not (long := posts.where((F.col("salt") == 0) & (F.col("length") > LEADER_LOAD))).take(1):
+            break
+        level = F.least(F.round(F.log2(F.max("length")) * STEPS), F.lit(255)).cast("short").alias("level")
+        more = long.groupBy("token").agg(level)
+        counts = save(counts.unionByName(more).groupBy("token").agg(F.max("level").alias("level")), "counts")
+    return posts.drop("length")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, share: tuple[int, int], n: int) -> DataFrame:
@@ -198,9 +253,15 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.when(up, F.col(p)).otherwise(F.col(q)).alias(k) for p, q, k in (("doc_id_x", "doc_id_y", "a"), ("doc_id_y", "doc_id_x", "b"), ("n_x", "n_y", "na"), ("n_y", "n_x", "nb")))).distinct()
 
 
-def _by_rows(docs: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
-    """(doc_id, component_id) where ids repeat: the distinct rows get numbers of their own and are compared by these; rows of one id are linked."""
-    rows = save(docs.where("doc_id is not null").distinct().withColumn("row", F.monotonically_increasing_id()), "rows")
+def _by_rows(docs: DataFrame, repeated: DataFrame, n: int, share: tuple[int, int]) -> DataFrame:
+    """(doc_id, component_id) where ids repeat: rows get numbers of their own and are compared by these; rows of one id are linked.
+
+    Only rows of the repeated ids are shuffled to find the distinct ones among them.
+    """
+    held = checked(repeated)
+    docs = docs.where("doc_id is not null")
+    rows = docs.join(held, "doc_id", "left_anti").unionByName(docs.join(held, "doc_id", "left_semi").distinct())
+    rows = save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     found = similarity_components(rows.select(F.col("row").alias("doc_id"), "text"), n, share).select(F.col("doc_id").alias("row"), "component_id")
     found = save(rows.select("row", "doc_id").join(found, "row"), "found")
     low = found.groupBy("doc_id").agg(F.min("component_id").alias("b"))
@@ -215,20 +276,16 @@ def similarity_components(docs: DataFrame, n: int = WORDS, share: tuple[int, int
     profile = save(docs.mapInArrow(_profile(n), _PROFILE), "profile", "kind")
     own = profile.where("kind = 0").select("doc_id", "n", "a", "b")
     maps = profile.where("kind = 0").select("doc_id", "map")
-    if own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
-        return own.select("doc_id", F.col("n").alias("n_shingles")).join(_by_rows(docs, n, share), "doc_id", "left")
+    repeated = save(own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.take(1):
+        return own.select("doc_id", F.col("n").alias("n_shingles")).join(_by_rows(docs, repeated, n, share), "doc_id", "left")
     classes = save(own.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
     # copies of a class's representative take no further part
     copies = own.where("n > 0").join(classes.where("rep < last"), ["n", "a", "b"]).where("doc_id > rep").select("doc_id").distinct()
     copies = save(copies, "copies")
     alone = docs.where("doc_id is not null").join(checked(copies), "doc_id", "left_anti")
 
-    held = docs.sparkSession.sparkContext.broadcast(_levels(profile))
-    posts = alone.mapInArrow(_prefixes(n, share, held), "token long, salt int, doc_id long, n int, place int")
-    posts = posts.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(share[1] / share[0]))).cast("int"))
-    several = F.count("*").over(Window.partitionBy("token", "salt")) > 1
-    posts = save(posts.withColumn("several", several).where("several or salt > 0").drop("several"), "posts")
-    held.destroy()
+    posts = _posts(alone, save(_counts(profile), "counts"), n, share)
     # a list's leaders: the document that shares most of its own prefix (the one that others were made from), and one by hash
     support = posts.groupBy("doc_id").agg((F.count("*") / F.first("n")).alias("support"))
     led = Window.partitionBy("token", "salt", "band")
