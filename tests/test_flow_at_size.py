@@ -1,8 +1,10 @@
 """What keeps the flow in proportion to its input: files are numbered without their data, each line is parsed once, and tasks share both."""
 
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from vigilake.operators import normalize
+from vigilake.plans import catalogue
 from vigilake.plans.flow import run_flow
 from vigilake.sources import raw
 
@@ -36,3 +38,14 @@ def test_files_of_one_number_keep_their_own_rows(spark):
     got = raw.with_evidence(_sources(spark, 30, copies=3), "x").collect()
     assert sorted(r.evidence_no for r in got) == list(range(1, 31)) and len({r.name for r in got}) == 30
     assert all(int(r.name[2:]) // 3 == (r.evidence_no - 1) // 3 for r in got)
+
+
+def test_a_report_and_its_chains_come_of_one_run(spark, monkeypatch):
+    runs = []
+    monkeypatch.setattr(catalogue, "run_flow", lambda sources: runs.append(1) or run_flow(sources))
+    monkeypatch.setattr(catalogue.audit, "chain_state", lambda chains: chains)
+    monkeypatch.setattr(catalogue, "flow_report", lambda flow, chains: flow)
+    monkeypatch.setattr(catalogue, "invariants", lambda flow, chains: flow)
+    catalogue.run_report(spark, DATA)
+    catalogue.invariant_checks(spark, DATA)
+    assert len(runs) == 2
