@@ -4,10 +4,12 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from vigilake.operators import normalize
-from vigilake.plans import catalogue
+from vigilake.plans import assurance, catalogue
 from vigilake.plans.flow import run_flow
 from vigilake.sources import raw
 
+READ = raw.read_sources
+
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -49,3 +51,11 @@ def test_a_report_and_its_chains_come_of_one_run(spark, monkeypatch):
     catalogue.run_report(spark, DATA)
     catalogue.invariant_checks(spark, DATA)
     assert len(runs) == 2
+
+
+def test_source_files_are_many_and_small(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(assurance.raw, "read_sources", lambda s, path, *kind: read.append(spark.read.format("binaryFile").load(path).count()) or READ(s, path, *kind))
+    monkeypatch.setattr(assurance, "SOURCES_PER_FILE", 1)
+    with_files = assurance.source_files(spark, DATA.replace("sf0.001", "sf0.01"))
+    assert read == [10, 10] and sorted(r.source for r in with_files.collect()) == ["linux_auth", "suricata_eve"]
