@@ -1,5 +1,7 @@
 """What keeps the flow in proportion to its input: files are numbered without their data, each line is parsed once, and tasks share both."""
 
+import re
+
 from conftest import DATA
 from pyspark.sql import functions as F
 
@@ -59,3 +61,12 @@ def test_source_files_are_many_and_small(spark, monkeypatch):
     monkeypatch.setattr(assurance, "SOURCES_PER_FILE", 1)
     with_files = assurance.source_files(spark, DATA.replace("sf0.001", "sf0.01"))
     assert read == [10, 10] and sorted(r.source for r in with_files.collect()) == ["linux_auth", "suricata_eve"]
+
+
+def test_a_replay_is_dealt_by_no_fixed_number(spark, monkeypatch):
+    runs = []
+    monkeypatch.setattr(catalogue, "run_flow", lambda sources: runs.append(sources) or run_flow(sources))
+    monkeypatch.setattr(catalogue.replay, "compare", lambda a, b, collections: None)
+    catalogue.replay_diff(spark, DATA)
+    plan = _plan(runs[1])
+    assert re.search(r"RepartitionByExpression \[name#\d+\]", plan) and not re.search(r"RepartitionByExpression \[name#\d+\], \d", plan)
