@@ -70,3 +70,10 @@ def test_a_replay_is_dealt_by_no_fixed_number(spark, monkeypatch):
     catalogue.replay_diff(spark, DATA)
     plan = _plan(runs[1])
     assert re.search(r"RepartitionByExpression \[name#\d+\]", plan) and not re.search(r"RepartitionByExpression \[name#\d+\], \d", plan)
+
+
+def test_two_runs_are_compared_over_files_rendered_once(spark, monkeypatch):
+    made, render = [], raw.event_sources
+    monkeypatch.setattr(catalogue.raw, "event_sources", lambda events: made.append(1) or render(events))
+    assert [tuple(r) for r in catalogue.run_comparison(spark, DATA).select("collection").collect()] == [("alert_groups",)]
+    assert len(made) == 1
