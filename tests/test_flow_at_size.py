@@ -77,3 +77,23 @@ def test_two_runs_are_compared_over_files_rendered_once(spark, monkeypatch):
     monkeypatch.setattr(catalogue.raw, "event_sources", lambda events: made.append(1) or render(events))
     assert [tuple(r) for r in catalogue.run_comparison(spark, DATA).select("collection").collect()] == [("alert_groups",)]
     assert len(made) == 1
+
+
+def _lines(spark, rows):
+    return spark.createDataFrame([("E1", 1, 0, kind, k, line) for k, (kind, line) in enumerate(rows)], "evidence_id string, source_ord int, file_no int, source_type string, line_no int, line string")
+
+
+def test_each_line_is_parsed_once(spark):
+    assert _plan(normalize.eve_alerts(_lines(spark, [("suricata_eve", "{}")]).repartition(2))).count("parseJson") == 1
+    auth = _plan(normalize.auth_alerts(_lines(spark, [("linux_auth", "x")]).repartition(2)))
+    assert auth.count("Failed password for (") == 2  # whether it is a failed login, and its parts
+
+
+def test_each_type_of_event_is_looked_up_once_to_find_reasons(spark):
+    assert _plan(normalize.with_reasons(_lines(spark, [("suricata_eve", "{}")]).repartition(2))).count("$.event_type") == 1
+
+
+def test_parts_of_a_login_are_as_they_stand(spark):
+    line = "Jul  6 21:10:15 wéb-01$1 sshd[11]: Failed password for a\\b$2 from 198.51.100.7 port 51\tssh2 é"
+    (got,) = normalize.auth_alerts(_lines(spark, [("linux_auth", line), ("linux_auth", "Jul 6 1 a sshd b c")])).collect()
+    assert (got.host, got.title, got.event_time) == ("wéb-01$1", "Failed SSH password for a\\b$2 from 198.51.100.7", "2026-07-06T21:10:15Z")
