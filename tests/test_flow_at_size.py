@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow.parquet as pq
 from conftest import DATA
 from pyspark.sql import functions as F
 
@@ -93,7 +94,25 @@ def test_each_type_of_event_is_looked_up_once_to_find_reasons(spark):
     assert _plan(normalize.with_reasons(_lines(spark, [("suricata_eve", "{}")]).repartition(2))).count("$.event_type") == 1
 
 
+def test_rare_line_ends_are_found_in_texts_that_have_one(spark):
+    texts = ["", "a", "a\nb", "a\nb\n", "\n\n", "a\r\nb\nc", "a\rb\r\n\r\n", *(f"a{end}b\nc{end}" for end in "\u000b\u000c\u001c\u001d\u001e\u0085  "), "ä \r\nß", "‧a\u0084"]
+    rows = spark.createDataFrame([(f"E{k:02d}", 0, k, "linux_auth", bytearray(t.encode())) for k, t in enumerate(texts)], "evidence_id string, source_ord int, file_no int, source_type string, data binary")
+    assert "contains" in _plan(raw.source_lines(rows.repartition(2))).lower()  # others are split without a pattern
+    got = {}
+    for r in sorted(raw.source_lines(rows).collect(), key=lambda r: (r.evidence_id, r.line_no)):
+        got.setdefault(r.evidence_id, []).append(r.line)
+    assert got == {f"E{k:02d}": t.splitlines() for k, t in enumerate(texts) if t}
+
+
 def test_parts_of_a_login_are_as_they_stand(spark):
     line = "Jul  6 21:10:15 wéb-01$1 sshd[11]: Failed password for a\\b$2 from 198.51.100.7 port 51\tssh2 é"
     (got,) = normalize.auth_alerts(_lines(spark, [("linux_auth", line), ("linux_auth", "Jul 6 1 a sshd b c")])).collect()
     assert (got.host, got.title, got.event_time) == ("wéb-01$1", "Failed SSH password for a\\b$2 from 198.51.100.7", "2026-07-06T21:10:15Z")
+
+
+def test_raw_sources_are_read_a_few_at_a_time(spark):
+    files = _sources(spark, 60).coalesce(1).withColumn("data", F.encode(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8000)), lambda x: F.sha2(F.concat("name", x.cast("string")), 256)), "\n"), "UTF-8"))
+    parts = [p.removeprefix("file://") for p in raw.with_evidence(files, "x").inputFiles() if "/sources-" in p]
+    metas = [pq.ParquetFile(p).metadata for p in parts]
+    rows = [m.row_group(k).num_rows for m in metas for k in range(m.num_row_groups)]
+    assert sum(rows) == 60 and max(rows) <= 20
