@@ -215,7 +215,7 @@ def _posts(docs: DataFrame, counts: DataFrame, n: int, share: tuple[int, int]) -
 def _links(docs: DataFrame, pairs: DataFrame, share: tuple[int, int], n: int) -> DataFrame:
     """The pairs (a, b, with sizes na, nb) that reach the threshold: overlaps by fragment, summed per pair."""
     def sides(col: str) -> DataFrame:
-        ids = pairs.select(F.col(col).alias("doc_id")).distinct()
+        ids = save(pairs.select(F.col(col).alias("doc_id")).distinct(), "sides")  # counted, then joined
         return docs.join(checked(ids), "doc_id", "left_semi").mapInArrow(_segments(n), "doc_id long, fragment int, tokens array<long>").select(F.col("doc_id").alias(col), "fragment", F.col("tokens").alias(f"tokens_{col}"))
 
     found = pairs.join(sides("b"), "b").join(sides("a"), ["a", "fragment"])

@@ -39,6 +39,8 @@ REPEATED = 0.3
 LEAST_P = 1e-12
 #: Scored n-grams (12 bytes each, 36 MB) that the driver collects and a task may hold.
 HELD_GRAMS = 3_000_000
+#: Tasks that write a table with a row for each language.
+FEW = 8
 #: Distinct n-grams that a task gathers before it passes them on.
 GATHERED = 400_000
 
@@ -108,7 +110,8 @@ def train(docs: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         of = [F.sum(F.when(F.col("c") == i, 1).otherwise(0)).alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
         discount = lambda i: F.when(F.col(f"n{i}") > 0, F.greatest(F.lit(0.0), i - (i + 1) * y * F.try_divide(f"n{i + 1}", f"n{i}"))).otherwise(i * 0.5).alias(f"d{i}")  # noqa: E731,B023
-        discounts = counts.groupBy("lang").agg(*of).select("lang", *(discount(i) for i in (1, 2, 3)))
+        # a row for each language, found once for all that is joined with it, and in few tasks
+        discounts = save(counts.groupBy("lang").agg(*of).select("lang", *(discount(i) for i in (1, 2, 3))).coalesce(FEW), "discounts")
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         cut = counts.join(checked(discounts), "lang").select("lang", "gram", F.shiftright("gram", 8).alias("context"), "c", d.alias("d"))
         contexts = cut.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
